@@ -92,7 +92,7 @@ def price_stats(products: DataFrame, price: str = "discounted_price") -> DataFra
             "category",
             F.col("total").alias("product_count"),
             round_half_away(F.col("s1").cast("double") / (count * 100.0), 2).alias("avg_price"),
-            ((F.col("a") + F.col("b")) / 200.0).alias("median_price"),
+            round_half_away((F.col("a") + F.col("b")) / 200.0, 3).alias("median_price"),
             round_half_away(F.sqrt(spread / (count * count)) / 100.0, 2).alias("price_stddev"),
             (F.col("lo") / 100.0).alias("min_price"),
             (F.col("hi") / 100.0).alias("max_price"),

@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from shelfscope.oracles import analysis
+    from shelfscope.oracles import analysis, store
 
-    return {**analysis.ORACLES}
+    return {**analysis.ORACLES, **store.ORACLES}

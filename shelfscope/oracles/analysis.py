@@ -193,7 +193,7 @@ select category, count(*) as product_count,
 from amazon_products group by category""",
     "price_stats": ctes("amazon_products") + """
 select category, count(*) as product_count, round(avg(discounted_price), 2) as avg_price,
-  median(cast(discounted_price as double)) as median_price, round(stddev_pop(cast(discounted_price as double)), 2) as price_stddev,
+  round(median(cast(discounted_price as double)), 3) as median_price, round(stddev_pop(cast(discounted_price as double)), 2) as price_stddev,
   cast(min(discounted_price) as double) as min_price, cast(max(discounted_price) as double) as max_price,
   cast(max(discounted_price) - min(discounted_price) as double) as price_range
 from amazon_products where discounted_price is not null group by category""",

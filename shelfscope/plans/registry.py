@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, StringType
 
-from shelfscope.operators import category, findings, overall, prices, quality
+from shelfscope.functions.text import title_category
+from shelfscope.operators import (
+    category, findings, overall, prices, quality, sessions, store,
+)
 from shelfscope.operators.histogram import rating_histogram
-from shelfscope.sources import tables
-from shelfscope.views import view
+from shelfscope.plans import analysis
+from shelfscope.sources import catalog, sinks, sqlite, tables
+from shelfscope.session import work_path
+from shelfscope.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31"
+_DAY = dt.date(2024, 1, 31)
+_MOMENT = dt.datetime(2024, 1, 31)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -84,4 +92,180 @@ ANALYSIS: dict[str, Query] = {
     "custom_sql": _custom_sql,
 }
 
-QUERIES: dict[str, Query] = {**ANALYSIS}
+
+
+# --- catalogue files ---------------------------------------------------------------
+
+
+def _clean_file(spark: SparkSession, sf: str) -> str:
+    path = work_path(spark, "catalog-csv")
+    catalog.write_csv(view(spark, sf, "amazon_products"), path)
+    return path
+
+
+def _dirty_file(spark: SparkSession, sf: str) -> str:
+    """The catalogue as CSV with unreadable ratings, fractional counts and short rows."""
+    products = view(spark, sf, "amazon_products")
+    n = F.col("rating_count")
+
+    def quoted(name: str):
+        text = F.concat(F.lit('"'), F.replace(F.col(name), F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(text, F.lit(""))
+
+    def bare(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    rating = F.when(n == 13, F.lit("n/a")).otherwise(bare("rating"))
+    count = F.when(n == 17, F.lit("17.5")).otherwise(bare("rating_count"))
+    head = F.concat_ws(
+        ",", quoted("title"), quoted("category"), bare("discounted_price"), bare("actual_price"),
+        bare("discount_percentage"), rating, count,
+    )
+    names = products.columns
+    rest = F.concat_ws(",", *[quoted(c) for c in names[7:]])
+    line = F.when(n == 11, head).otherwise(F.concat_ws(",", head, rest))
+    path = work_path(spark, "dirty-csv")
+    (
+        products.select(line.alias(",".join(names)))
+        .write.options(header="true", sep="\x01", quote="", escapeQuotes="false")
+        .csv(path)
+    )
+    return path
+
+
+def _load_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    target = work_path(spark, "catalog")
+    loaded = catalog.load_catalog(spark, _clean_file(spark, sf), target, order_by=["review_id"])
+    return plain(loaded)
+
+
+def _load_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.load_counts(catalog.typed(catalog.csv_scan(spark, _dirty_file(spark, sf))))
+
+
+def _load_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.usable(catalog.typed(catalog.csv_scan(spark, _clean_file(spark, sf))))
+    return plain(quality.load_summary(rows))
+
+
+def _export_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Run the smaller analysis, write its files and read the category CSV back."""
+    folder = work_path(spark, "export")
+    results = analysis.category_analysis(view(spark, sf, "amazon_products"))
+    written = sinks.export_analysis(results, folder)
+    return spark.read.options(header="true", inferSchema="false").csv(written["category_stats"])
+
+
+SOURCES: dict[str, Query] = {
+    "csv_scan": lambda spark, sf: catalog.csv_scan(spark, _dirty_file(spark, sf)),
+    "load_catalog": _load_catalog,
+    "load_counts": _load_counts,
+    "load_summary": _load_summary,
+    "import_products": _on_view("products", sqlite.import_products),
+    "import_reviews": _on_view("reviews", sqlite.import_reviews),
+    "table_info": lambda spark, sf: tables.table_info(view(spark, sf, "amazon_products")),
+    "export_results": _export_results,
+}
+
+# --- product and review store ------------------------------------------------------
+
+
+def _on_views(names: tuple[str, ...], fn: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf: plain(fn(*[view(spark, sf, n) for n in names]))
+
+
+def _nested(products: DataFrame, reviews: DataFrame) -> DataFrame:
+    docs = store.products_nested(products, reviews)
+    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd"}
+    return docs.withColumn("reviews", F.to_json("reviews", options))
+
+
+def _delete(spark: SparkSession, sf: str) -> DataFrame:
+    returned = table(spark, sf, "lineitem").filter(
+        (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
+    )
+    ids = returned.select((F.col("l_partkey") + 1).alias("id"))
+    return store.delete_products(view(spark, sf, "products"), ids)
+
+
+def _search(products: DataFrame) -> DataFrame:
+    labelled = products.withColumn("category", title_category(F.col("title")))
+    return store.search_products(
+        labelled, category="Memory", min_price=900, max_price=1200, min_rating=2.5
+    )
+
+
+def _append_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    batch = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.col("o_custkey").alias("product_id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 40).alias("total_reviews"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("scraping_method"),
+        F.col("o_totalprice").alias("scraping_time"),
+        F.col("o_orderdate").alias("timestamp"),
+    )
+    metrics = view(spark, sf, "scraping_analytics")
+    return plain(sessions.append_metrics(metrics, batch, _MOMENT, "o_orderkey"))
+
+
+def _append_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    batch = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("https://shop.example/p/"), F.col("o_custkey").cast("string")).alias("url"),
+        F.col("o_orderpriority").alias("method_used"),
+        F.when(done, F.lit(True)).alias("success"),
+        F.when(~done, F.lit("timeout")).alias("error_message"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 40).alias("total_reviews_extracted"),
+        F.col("o_totalprice").alias("duration_seconds"),
+    )
+    known = view(spark, sf, "scraping_sessions")
+    return sessions.append_sessions(known, batch, _MOMENT, "o_orderkey")
+
+
+STORE: dict[str, Query] = {
+    "categorize_titles": _on_view(
+        "products",
+        lambda p: p.select("id", "title", title_category(F.col("title")).alias("category")),
+    ),
+    "merge_products": _on_views(
+        ("products", "product_batch"), lambda p, b: store.merge_products(p, b, _MOMENT)
+    ),
+    "new_reviews": _on_views(
+        ("reviews", "review_batch"), lambda r, b: store.new_reviews(r, b, _MOMENT)
+    ),
+    "delete_products": _delete,
+    "product_by_url": _on_view(
+        "products", lambda p: store.product_by_url(p, "https://shop.example/p/42")
+    ),
+    "product_by_id": _on_view("products", lambda p: store.product_by_id(p, 43)),
+    "products_page": _on_view("products", lambda p: store.products_page(p, limit=50, offset=20)),
+    "reviews_page": _on_view("reviews", lambda r: store.reviews_page(r, 17, limit=10, offset=5)),
+    "reviews_by_product": _on_view("reviews", lambda r: store.reviews_by_product(r, 17)),
+    "product_with_reviews": _on_views(
+        ("products", "reviews"), lambda p, r: store.product_with_reviews(p, r, 17)
+    ),
+    "products_summary": _on_views(("products", "reviews"), store.products_summary),
+    "review_counts": _on_views(("products", "reviews"), store.review_counts),
+    "products_nested": _on_views(("products", "reviews"), _nested),
+    "store_stats": _on_views(("products", "reviews", "scraping_sessions"), store.store_stats),
+    "search_products": _on_view("products", _search),
+    "products_in_category": _on_view(
+        "amazon_products",
+        lambda p: store.search_products(p, category="Brand#7").select(
+            "title", "discounted_price", "rating", "product_link"
+        ),
+    ),
+    "expire_sessions": _on_view(
+        "scraping_sessions", lambda s: sessions.expire_sessions(s, _MOMENT, days=14)
+    ),
+    "method_performance": _on_view("scraping_analytics", sessions.method_performance),
+    "recent_activity": _on_view(
+        "scraping_analytics", lambda m: sessions.recent_activity(m, _DAY)
+    ),
+    "session_totals": _on_view("scraping_analytics", sessions.session_totals),
+    "append_metrics": _append_metrics,
+    "append_sessions": _append_sessions,
+}
+
+QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE}

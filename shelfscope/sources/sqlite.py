@@ -1,0 +1,146 @@
+"""SQLite tables as a Spark source, and their import into the analytics schema."""
+
+from __future__ import annotations
+
+import sqlite3
+
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from shelfscope.functions.text import title_category
+
+
+class _IdRange(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema: StructType, options: dict):
+        self.names = schema.fieldNames()
+        self.path = options["path"]
+        self.table = options["dbtable"]
+        self.splits = int(options.get("numpartitions", "8"))
+
+    def _connect(self):
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self):
+        con = self._connect()
+        low, high = con.execute(f'select min(id), max(id) from "{self.table}"').fetchone()
+        con.close()
+        if low is None:
+            return []
+        step = max(1, -(-(high - low + 1) // self.splits))
+        return [_IdRange(a, a + step) for a in range(low, high + 1, step)]
+
+    def read(self, partition):
+        columns = ", ".join(f'"{n}"' for n in self.names)
+        con = self._connect()
+        try:
+            rows = con.execute(
+                f'select {columns} from "{self.table}" where id >= ? and id < ?',
+                (partition.low, partition.high),
+            )
+            for row in rows:
+                yield row
+        finally:
+            con.close()
+
+
+class SqliteSource(DataSource):
+    """``format("sqlite")``: one table of a SQLite file, read in id ranges.
+
+    Options ``path`` (a file every executor reaches), ``dbtable``, ``numPartitions``.
+    Values come as SQLite stores them, so give timestamps and flags as string and int in
+    the schema and convert after reading.
+    """
+
+    @classmethod
+    def name(cls):
+        return "sqlite"
+
+    def schema(self):
+        raise ValueError("give a schema: spark.read.format('sqlite').schema(...)")
+
+    def reader(self, schema):
+        return _Reader(schema, dict(self.options))
+
+
+# fixed values: columns of the store tables as SQLite keeps them
+PRODUCT_COLUMNS = (
+    "id bigint, title string, brand string, price double, rating double, review_count int, "
+    "description string, url string, scraped_at string, created_at string, updated_at string"
+)
+REVIEW_COLUMNS = (
+    "id bigint, product_id bigint, reviewer_name string, rating double, title string, "
+    "body string, review_date string, verified_purchase int, helpful_count int, "
+    "review_id string, product_url string, scraped_at string, created_at string"
+)
+
+
+def read_sqlite(spark, path: str, table: str, columns: str, partitions: int = 8) -> DataFrame:
+    spark.dataSource.register(SqliteSource)
+    return (
+        spark.read.format("sqlite")
+        .schema(columns)
+        .options(path=path, dbtable=table, numPartitions=str(partitions))
+        .load()
+    )
+
+
+def read_products(spark, path: str) -> DataFrame:
+    df = read_sqlite(spark, path, "products", PRODUCT_COLUMNS)
+    for c in ("scraped_at", "created_at", "updated_at"):
+        df = df.withColumn(c, F.col(c).try_cast("timestamp_ntz"))
+    return df
+
+
+def read_reviews(spark, path: str) -> DataFrame:
+    df = read_sqlite(spark, path, "reviews", REVIEW_COLUMNS)
+    for c in ("review_date", "scraped_at", "created_at"):
+        df = df.withColumn(c, F.col(c).try_cast("timestamp_ntz"))
+    return df.withColumn("verified_purchase", F.col("verified_purchase") != 0)
+
+
+def import_products(products: DataFrame) -> DataFrame:
+    """Store products in the analytics schema, with a category taken from the title."""
+    return products.select(
+        "id",
+        "title",
+        "brand",
+        F.col("price").try_cast("decimal(10,2)").alias("price"),
+        F.col("rating").try_cast("decimal(3,2)").alias("rating"),
+        "review_count",
+        "description",
+        title_category(F.col("title")).alias("category"),
+        "url",
+        "scraped_at",
+        "created_at",
+    )
+
+
+def import_reviews(reviews: DataFrame) -> DataFrame:
+    """Store reviews in the analytics schema; sentiment is not known yet."""
+    return reviews.select(
+        "id",
+        "product_id",
+        "reviewer_name",
+        F.col("rating").try_cast("decimal(3,2)").alias("rating"),
+        "title",
+        "body",
+        F.to_date("review_date").alias("review_date"),
+        "verified_purchase",
+        "helpful_count",
+        F.lit(None).cast("decimal(3,2)").alias("sentiment_score"),
+        F.length("body").alias("review_length"),
+        "scraped_at",
+        "created_at",
+    )
+
+
+def replace_by_id(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Insert-or-replace by primary key: incoming rows win."""
+    kept = stored.join(incoming.select("id").distinct(), "id", "left_anti")
+    return kept.select(*stored.columns).unionByName(incoming)
