@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 _ABSOLUTE = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)"
 
@@ -22,7 +23,7 @@ def is_shop_url(url: Column, domain: str) -> Column:
     return F.coalesce(url.contains(domain), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None else urljoin(b or "", x) for b, x in zip(base, link)],

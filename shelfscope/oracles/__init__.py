@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from shelfscope.oracles import analysis, store
+    from shelfscope.oracles import analysis, store, text
 
-    return {**analysis.ORACLES, **store.ORACLES}
+    return {**analysis.ORACLES, **store.ORACLES, **text.ORACLES}

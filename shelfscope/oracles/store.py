@@ -140,4 +140,7 @@ select count(*) as read, count(*) filter (where rating_count = 13) as rejected,
 select count(*) as row_count, count(distinct category) as unique_categories, cast(min(rating) as double) as min_rating,
   cast(max(rating) as double) as max_rating, round(avg(rating), 2) as avg_rating
 from amazon_products where rating > 0 and category is not null""",
+    "table_info": ctes("amazon_products") + """
+select column_name, case column_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(column_type) end as column_type
+from (describe select * from amazon_products)""",
 }

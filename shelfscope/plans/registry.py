@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, StringType
 
+from shelfscope.functions import dates, text, urls
 from shelfscope.functions.text import title_category
 from shelfscope.operators import (
     category, findings, overall, prices, quality, sessions, store,
@@ -268,4 +269,122 @@ STORE: dict[str, Query] = {
     "append_sessions": _append_sessions,
 }
 
-QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE}
+
+# --- text, date and URL rules ------------------------------------------------------
+
+
+def _field(rule: Callable, column: str, out: str) -> Query:
+    return _on_view(
+        "field_texts", lambda t: t.select("line_id", rule(F.col(column)).alias(out))
+    )
+
+
+def _clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", text.clean_text(F.col("text")).alias("text"))
+
+
+def _case(key: str, n: int, *branches, default):
+    """A value chosen by ``key`` modulo ``n``: every row gets one of the spellings."""
+    kind = F.col(key) % n
+    out = default
+    for i, value in branches:
+        out = F.when(kind == i, value).otherwise(out)
+    return out
+
+
+def _valid_urls(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.col("url")
+    target = _case(
+        "page_id", 5,
+        (1, F.substring(url, 8, 10_000)),
+        (2, F.concat(F.lit("mailto:"), url)),
+        (4, F.replace(url, F.lit("://"), F.lit(":/"))),
+        default=url,
+    )
+    pages = table(spark, sf, "pages").select("page_id", target.alias("target"))
+    return pages.select(
+        "page_id",
+        "target",
+        urls.is_valid_url(F.col("target")).alias("valid"),
+        urls.is_shop_url(F.col("target"), "example.com").alias("shop"),
+    )
+
+
+def _normalize_urls(spark: SparkSession, sf: str) -> DataFrame:
+    page_id = F.col("page_id").cast("string")
+    links = F.concat(
+        F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1),
+        F.array(
+            "url",
+            F.concat(F.lit("//cdn.example.org/"), page_id),
+            F.concat(F.lit("item/"), page_id, F.lit(".html")),
+            F.concat(F.lit("?page="), page_id),
+        ),
+    )
+    found = table(spark, sf, "pages").select("page_id", "url", F.explode(links).alias("link"))
+    absolute = urls.normalize_url(F.col("link"), F.col("url"))
+    return found.select("page_id", "link", absolute.alias("absolute"))
+
+
+def _brands(products: DataFrame) -> DataFrame:
+    brand, title = F.col("brand"), F.col("title")
+    stated = _case(
+        "id", 6,
+        (0, F.concat(F.lit("Brand: "), brand)), (1, F.concat(F.lit("manufacturer:  "), brand)), (2, brand),
+        default=F.lit(None).cast("string"),
+    )
+    name = _case(
+        "id", 6,
+        (3, F.concat(F.lit("intel "), title)), (4, F.concat(F.lit("Fast G.Skill Ryzen 7 "), title)),
+        (5, F.concat(F.lit("AMDock "), title)),
+        default=title,
+    )
+    return products.select("id", text.brand_of(stated, name).alias("brand"))
+
+
+def _challenges(spark: SparkSession, sf: str) -> DataFrame:
+    html = _case(
+        "page_id", 9,
+        (1, F.replace("html", F.lit("</body>"), F.lit("<p>Checking your browser</p></body>"))),
+        (2, F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment"))),
+        default=F.col("html"),
+    )
+    url = _case(
+        "page_id", 9, (0, F.lit("https://challenge.CloudFlare.example/x")), default=F.col("url")
+    )
+    pages = table(spark, sf, "pages").select("page_id", url.alias("url"), html.alias("html"))
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return pages.select(
+        "page_id",
+        text.is_challenge(F.col("html"), title, F.col("url")).alias("challenge"),
+        text.is_loaded(F.col("html")).alias("loaded"),
+    )
+
+
+TEXT: dict[str, Query] = {
+    "clean_text": _clean_documents,
+    "parse_price": _field(text.parse_price, "price_text", "price"),
+    "parse_rating": _field(text.parse_rating, "rating_text", "rating"),
+    "parse_review_count": _field(text.parse_review_count, "count_text", "review_count"),
+    "parse_date": _field(dates.parse_date, "date_text", "parsed"),
+    "parse_review_date": _field(dates.parse_review_date, "review_date_text", "parsed"),
+    "parse_review_date_text": _field(dates.parse_review_date_text, "date_text", "parsed"),
+    "verified_flag": _field(text.is_verified_purchase, "verified_text", "verified"),
+    "review_key": _on_view(
+        "field_texts",
+        lambda t: t.select(
+            "line_id",
+            text.review_key(F.col("reviewer_name"), F.col("body"), F.col("review_day")).alias("review_id"),
+        ),
+    ),
+    "valid_urls": _valid_urls,
+    "normalize_urls": _normalize_urls,
+    "extract_brand": _on_view("products", _brands),
+    "flag_challenge_pages": _challenges,
+    "review_like": lambda spark, sf: table(spark, sf, "conversations").select(
+        "conv_id", "turn", text.looks_like_review(F.col("text")).alias("review_like")
+    ),
+}
+
+QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE, **TEXT}
