@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from shelfscope.oracles import analysis, store, text
+    from shelfscope.oracles import analysis, pages, store, text
 
-    return {**analysis.ORACLES, **store.ORACLES, **text.ORACLES}
+    return {**analysis.ORACLES, **store.ORACLES, **text.ORACLES, **pages.ORACLES}

@@ -110,7 +110,9 @@ advice_rows as (
 
 ORACLES = {
     "category_stats": _TABLE + " select * exclude (mean) from cats",
-    "export_results": _TABLE + " select columns(* exclude (mean))::varchar from cats",
+    "export_results": _TABLE + """
+select columns(* exclude (mean, min_rating, max_rating))::varchar,
+  cast(cast(min_rating as decimal(3,2)) as varchar) as min_rating, cast(cast(max_rating as decimal(3,2)) as varchar) as max_rating from cats""",
     "overall_stats": _RATED + _OVERALL + " select * from overall",
     "category_significance": _LABELLED + """
 select category, n as count, round(mean, 3) as avg_rating, round(sd, 3) as stddev, round(z, 2) as z_score,

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DateType, DecimalType, StringType
 from shelfscope.functions import dates, text, urls
 from shelfscope.functions.text import title_category
 from shelfscope.operators import (
-    category, findings, overall, prices, quality, sessions, store,
+    category, findings, overall, pages, prices, quality, review_json, sessions, store,
 )
 from shelfscope.operators.histogram import rating_histogram
 from shelfscope.plans import analysis
@@ -387,4 +387,52 @@ TEXT: dict[str, Query] = {
     ),
 }
 
-QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE, **TEXT}
+
+# --- crawled pages -----------------------------------------------------------------
+
+
+def _on_shop_pages(fn: Callable[[DataFrame], DataFrame], parse: bool = True) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        shop = view(spark, sf, "shop_pages").drop("url")
+        return plain(fn(pages.parse_pages(shop) if parse else shop))
+
+    return query
+
+
+def _page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.page_titles(pages.parse_pages(table(spark, sf, "pages").drop("url")))
+
+
+def _document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")
+    )
+    return pages.dedup_blocks(lines, key="doc_id")
+
+
+def _parse_blocks(parsed: DataFrame) -> DataFrame:
+    blocks = pages.dedup_blocks(pages.review_blocks(parsed), key="page_id")
+    return pages.parse_review_text(blocks)
+
+
+PAGES: dict[str, Query] = {
+    "page_titles": _page_titles,
+    "extract_products": _on_shop_pages(pages.extract_products),
+    "extract_products_full": _on_shop_pages(pages.extract_products_full),
+    "extract_reviews": _on_shop_pages(pages.extract_reviews),
+    "jsonld_reviews": _on_shop_pages(review_json.jsonld_reviews),
+    "embedded_reviews": _on_shop_pages(review_json.embedded_reviews, parse=False),
+    "embedded_json_reviews": _on_shop_pages(review_json.embedded_json_reviews, parse=False),
+    "standardize_reviews": _on_view("review_records", review_json.standardize_reviews),
+    "parse_review_text": _on_shop_pages(_parse_blocks),
+    "reviews_from_pages": _on_shop_pages(review_json.reviews_from_pages, parse=False),
+    "dedup_blocks": _document_lines,
+    "cap_reviews": _on_view(
+        "reviews",
+        lambda r: pages.cap_reviews(
+            r.select("product_url", F.col("id").alias("pos"), "reviewer_name", "body"), 5, "product_url"
+        ),
+    ),
+}
+
+QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE, **TEXT, **PAGES}

@@ -225,6 +225,113 @@ select {d.key60(_LINE)} as line_id,
 from {d.table('lineitem')}"""
 
 
+def _page_facts(d: Dialect) -> str:
+    """What each shop page says: product fields and up to three reviews, from its id."""
+    k = "page_id"
+    pick = lambda n, *vs: "case " + k + f" % {n} " + " ".join(
+        f"when {i} then {v}" for i, v in enumerate(vs)
+    ) + " end"
+    cols = [
+        "page_id", "url", "html",
+        f"{k} % 5 as strategy", f"{k} % 4 as n_reviews",
+        pick(4, "'ASUS'", "'Corsair'", "'G.Skill'", "'Noctua'") + " as brand",
+        f"cast(({k} * 7919) % 200000 + 100 as bigint) as price_cents",
+        f"cast(({k} % 46) / 10.0e0 as decimal(3,1)) as stars",
+        f"cast(1 + ({k} * 31) % 999 as bigint) as shown_reviews",
+    ]
+    for i in (1, 2, 3):
+        cols += [
+            f"case ({k} + {i}) % 3 when 0 then 'Ann Lee' when 1 then 'Bob' else 'Cy R. Dow' end as name_{i}",
+            f"1 + ({k} + {i}) % 5 as rating_{i}",
+            f"concat('Verdict ', cast({i} as varchar(2)), ' on item ', cast({k} as varchar(20))) as title_{i}",
+            f"concat('Works well in build ', cast({k} as varchar(20)), ' after week ', cast({i} as varchar(2)), ', café ½ price') as body_{i}",
+            f"cast(date '2023-01-01' + cast(({k} * {i}) % 300 as int) as varchar(10)) as day_{i}",
+        ]
+    return f"select {', '.join(cols)} from {d.table('pages')}"
+
+
+def _shop_pages(d: Dialect) -> str:
+    """The raw pages with product markup and reviews in one of five forms added."""
+    price = (
+        "cast(cast(floor(price_cents / 100) as bigint) as varchar(20))",
+        "lpad(cast(price_cents % 100 as varchar(2)), 2, '0')",
+    )
+    stars = "cast(stars as varchar(5))"
+    product = f"""concat(
+    case page_id % 3 when 0 then concat('<div class="product-brand"> <a href="/b">', brand, '</a></div>')
+      when 1 then concat('<span class="brand-name">Brand: ', brand, '</span>') else '' end,
+    '<ul class="price"><li class="price-was">$9,999.99</li><li class="price-current">$<strong>', {price[0]},
+    '</strong><sup>.', {price[1]}, '</sup></li></ul>',
+    case page_id % 3 when 0 then concat('<div class="rating-eggs" data-rating="', {stars}, '"></div>')
+      when 1 then concat('<div class="product-rating"><span class="rating">', {stars}, '/5</span></div>')
+      else '<span class="rating-stars"><i class="filled"></i><i class="filled"></i><i class="filled"></i><i></i></span>' end,
+    '<span class="item-rating-num">(', cast(shown_reviews as varchar(5)), ' Reviews)</span>',
+    '<div class="product-bullets"><ul><li>Fast</li><li> quiet fan </li></ul></div>',
+    '<div class="product-overview">Long description of item ', cast(page_id as varchar(20)), ' with more than fifty letters in it</div>')"""
+
+    def slots(make, glue: str = "") -> str:
+        parts = [
+            f"case when n_reviews >= {i} then concat({repr(glue) if glue and i > 1 else chr(39) * 2}, {make(i)}) else '' end"
+            for i in (1, 2, 3)
+        ]
+        return "concat(" + ", ".join(parts) + ")"
+
+    def ld(i: int, author: str) -> str:
+        return (
+            f"""concat('{{"@type":"Review","author":{author[0]}', name_{i}, '{author[1]},"reviewRating":{{"ratingValue":"', """
+            f"""cast(rating_{i} as varchar(2)), '"}},"headline":"', title_{i}, '","reviewBody":"', body_{i}, """
+            f"""'","datePublished":"', day_{i}, '"}}')"""
+        )
+
+    product_ld = slots(lambda i: ld(i, ('{"@type":"Person","name":"', '"}')), ",")
+    listed_ld = slots(lambda i: ld(i, ('"', '"')), ",")
+    blob = slots(
+        lambda i: f"""case when page_id % 2 = 0
+      then concat('{{"Comments": "', body_{i}, '","x":1,"Rating": ', cast(rating_{i} as varchar(2)), ',"NickName": "', name_{i}, '"}}')
+      else concat('{{"Rating": ', cast(rating_{i} as varchar(2)), ',"NickName": "', name_{i}, '","Comments": "', body_{i}, '"}}') end""",
+        ",",
+    )
+    markup = slots(
+        lambda i: f"""concat('<div class="review-item"><span class="reviewer-name">', name_{i}, '</span><i class="stars">',
+      cast(rating_{i} as varchar(2)), ' out of 5</i><h4> ', title_{i}, '</h4><div class="review-text"><p>', body_{i},
+      '</p></div><time>', day_{i}, '</time><span class="verified-owner">Verified Owner</span></div>')"""
+    )
+    block = slots(
+        lambda i: f"""concat('<div class="comments">\nBy ', name_{i}, '\nVerified Owner\n', cast(rating_{i} as varchar(2)),
+      ' out of 5\n<b>', title_{i}, '</b>\n', body_{i}, '\n', day_{i}, '\n</div>')"""
+    )
+    if d.spark:
+        nl = lambda x: x  # noqa: E731 - Spark reads \n in a literal as a line break
+    else:
+        nl = lambda x: x.replace("\\n", "', chr(10), '")
+    return f"""select page_id, url, replace(html, '</article>', concat({product}, case strategy
+  when 0 then concat('<script type="application/ld+json">{{"@context":"x","@type":"Product","name":"p","review":[', {product_ld}, ']}}</script>')
+  when 1 then concat('<script type="application/ld+json">{{broken</script><script type="application/ld+json">[', {listed_ld}, ']</script>')
+  when 2 then concat('<script>window.__initialState__ = {{"ReviewInfo":{{"list":[', {blob}, ']}}}};</script>')
+  when 3 then {markup}
+  else {nl(block)} end, '</article>')) as html
+from page_facts"""
+
+
+def _review_records(d: Dialect) -> str:
+    """Raw JSON review records with the different field names in use."""
+    day = "substr(cast(l_shipdate as varchar(40)), 1, 10)"
+    rating = "cast(1 + cast(l_quantity as int) % 5 as varchar(2))"
+    name = "concat('user', cast(l_suppkey as varchar(20)))"
+    body = "concat('order ', cast(l_orderkey as varchar(20)), '!')"
+    title = "concat('line ', cast(l_linenumber as varchar(20)))"
+    return f"""
+select {d.key60(_LINE)} as line_id, case l_linenumber % 4
+  when 0 then concat('{{"NickName":"', {name}, '","Rating":', {rating}, ',"Title":"', {title}, '","Comments":"', {body},
+    '","InDate":"', {day}, '","HasPurchased":true,"TotalVoting":3}}')
+  when 1 then concat('{{"DisplayName":"', {name}, '","rating":"', {rating}, '","headline":"', {title}, '","text":"', {body},
+    '","review_date":"', {day}, 'T10:20:30Z","verified_purchase":false,"helpful_count":0,"upvotes":2}}')
+  when 2 then concat('{{"NickName":"","author":"', {name}, '","Rating":0,"rating":', {rating}, ',"Title":"","title":null,"body":"', {body},
+    '","Pros":"cheap","Cons":"loud"}}')
+  else concat('{{"reviewer_name":null,"Rating":"n/a","content":"","Pros":"', {title}, '"}}') end as record
+from {d.table('lineitem')}"""
+
+
 VIEWS = {
     "amazon_products": _amazon_products,
     "products": _products,
@@ -234,6 +341,9 @@ VIEWS = {
     "product_batch": _product_batch,
     "review_batch": _review_batch,
     "field_texts": _field_texts,
+    "review_records": _review_records,
+    "page_facts": _page_facts,
+    "shop_pages": _shop_pages,
 }
 
 
@@ -244,7 +354,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``VIEWS`` over the raw tables in ``sf_dir``."""
-    return spark.sql(VIEWS[name](Dialect("spark", sf_dir.rstrip("/"))))
+    dialect = Dialect("spark", sf_dir.rstrip("/"))
+    sql = VIEWS[name](dialect)
+    if name == "shop_pages":
+        sql = f"with page_facts as ({_page_facts(dialect)})\n{sql}"
+    return spark.sql(sql)
 
 
 def ctes(*names: str) -> str:
