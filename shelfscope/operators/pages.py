@@ -40,6 +40,10 @@ def page_titles(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _flat(df: DataFrame, keep: list[str], record: Column) -> DataFrame:
+    return df.select(*keep, record.alias("_r")).select(*keep, "_r.*")
+
+
 def extract_products(parsed: DataFrame, compat: bool = False) -> DataFrame:
     """One product row per page by the static rules.
 
@@ -47,24 +51,24 @@ def extract_products(parsed: DataFrame, compat: bool = False) -> DataFrame:
     ``/`` and so turns ``4.5/5`` into ``4.55``.
     """
     elements, texts = F.col("elements"), F.col("texts")
-    raw = parsed.select(
-        *other_columns(parsed),
-        *[field_text(elements, texts, s).alias(f"_{n}") for n, s in selectors.PRODUCT.items()],
+    found = F.struct(
+        *[field_text(elements, texts, s).alias(n) for n, s in selectors.PRODUCT.items()]
     )
 
-    def number(name: str, rule) -> Column:
-        source = F.col(f"_{name}")
-        return rule(clean_field(source) if compat else source).alias(name)
+    def product(raw: Column) -> Column:
+        def number(name: str, rule) -> Column:
+            return rule(clean_field(raw[name]) if compat else raw[name]).alias(name)
+
+        return F.struct(
+            clean_field(raw["title"]).alias("title"),
+            clean_field(raw["brand"]).alias("brand"),
+            number("price", text.parse_price),
+            number("rating", text.parse_rating),
+            number("review_count", text.parse_review_count),
+            clean_field(raw["description"]).alias("description"),
+        )
 
-    return raw.select(
-        *other_columns(parsed),
-        clean_field(F.col("_title")).alias("title"),
-        clean_field(F.col("_brand")).alias("brand"),
-        number("price", text.parse_price),
-        number("rating", text.parse_rating),
-        number("review_count", text.parse_review_count),
-        clean_field(F.col("_description")).alias("description"),
-    )
+    return _flat(parsed, other_columns(parsed), let(found, product))
 
 
 def extract_products_full(parsed: DataFrame, shop_name: str | None = None) -> DataFrame:
@@ -76,100 +80,110 @@ def extract_products_full(parsed: DataFrame, shop_name: str | None = None) -> Da
     characters.
     """
     elements, texts = F.col("elements"), F.col("texts")
-    rating_mark = select_first(elements, selectors.PRODUCT["rating"])
-    filled = [select_all(elements, s) for s in selectors.FILLED_RATING]
+    filled = [F.size(select_all(elements, s)) for s in selectors.FILLED_RATING]
     candidates = F.flatten(
         F.array(*[select_all(elements, s) for s in selectors.PRODUCT["description"]])
     )
     long_texts = F.filter(
         F.transform(candidates, lambda e: stripped_text(texts, e)), lambda t: F.length(t) > 50
     )
-    raw = parsed.select(
-        *other_columns(parsed),
+    rating_mark = let(
+        select_first(elements, selectors.PRODUCT["rating"]),
+        lambda e: F.struct(e["attrs"].alias("attrs"), stripped_text(texts, e).alias("text")),
+    )
+    found = F.struct(
         *[
-            field_text(elements, texts, selectors.PRODUCT[n]).alias(f"_{n}")
+            field_text(elements, texts, selectors.PRODUCT[n]).alias(n)
             for n in ("title", "brand", "price", "review_count")
         ],
-        field_text(elements, texts, ("title",)).alias("_page_title"),
-        rating_mark["attrs"].alias("_rating_attrs"),
-        stripped_text(texts, rating_mark).alias("_rating"),
-        F.coalesce(*[F.when(F.size(f) > 0, F.size(f)) for f in filled]).alias("_filled"),
-        long_texts.alias("_descriptions"),
-    )
-    page_title = F.col("_page_title")
-    if shop_name:
-        page_title = F.when(~page_title.contains(shop_name), page_title)
-    # the longest text, the earliest of equal ones
-    longest = F.get(
-        F.filter(
-            "_descriptions",
-            lambda t: F.length(t) == F.array_max(F.transform("_descriptions", F.length)),
-        ),
-        0,
-    )
-    stated = [
-        F.col("_rating_attrs")[a].try_cast("double") for a in selectors.RATING_ATTRIBUTES
-    ]
-    read = text.parse_rating(F.col("_rating"))
-    titled = raw.withColumn(
-        "title", F.coalesce(F.nullif(clean_field(F.col("_title")), F.lit("")), clean_field(page_title))
-    )
-    return titled.select(
-        *other_columns(parsed),
-        "title",
-        text.brand_of(F.col("_brand"), F.col("title")).alias("brand"),
-        text.parse_price(F.col("_price")).alias("price"),
-        F.coalesce(*stated, F.when(read != 0, read), F.col("_filled").cast("double")).alias("rating"),
-        text.parse_review_count(F.col("_review_count")).alias("review_count"),
-        clean_field(longest).alias("description"),
+        field_text(elements, texts, ("title",)).alias("page_title"),
+        rating_mark.alias("mark"),
+        F.coalesce(*[F.when(n > 0, n) for n in filled]).cast("double").alias("filled"),
+        long_texts.alias("descriptions"),
     )
 
+    def longest(all_texts: Column) -> Column:
+        """The longest text, the earliest of equal ones."""
+        top = F.array_max(F.transform(all_texts, F.length))
+        return F.get(F.filter(all_texts, lambda t: F.length(t) == top), 0)
+
+    def product(raw: Column) -> Column:
+        page_title = raw["page_title"]
+        if shop_name:
+            page_title = F.when(~page_title.contains(shop_name), page_title)
+        title = F.coalesce(
+            F.nullif(clean_field(raw["title"]), F.lit("")), clean_field(page_title)
+        )
+        stated = [raw["mark"]["attrs"][a].try_cast("double") for a in selectors.RATING_ATTRIBUTES]
+        read = let(text.parse_rating(raw["mark"]["text"]), lambda n: F.when(n != 0, n))
+        return F.struct(
+            title.alias("title"),
+            let(title, lambda t: text.brand_of(raw["brand"], t)).alias("brand"),
+            text.parse_price(raw["price"]).alias("price"),
+            F.coalesce(*stated, read, raw["filled"]).alias("rating"),
+            text.parse_review_count(raw["review_count"]).alias("review_count"),
+            clean_field(longest(raw["descriptions"])).alias("description"),
+        )
 
-def extract_reviews(parsed: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per review item in a page's markup, with its position.
+    return _flat(parsed, other_columns(parsed), let(found, product))
+
+
+def markup_array(elements: Column, texts: Column, compat: bool = False) -> Column:
+    """The review items of a page's markup as an array of structs.
 
-    Each item is cut out as its own slice of elements and texts before the fields are
-    looked up, so a row never carries more than its own part of the page.
+    Each item is cut out as its own slice of elements and texts before its fields are
+    looked up.
     """
-    items = select_any(F.col("elements"), selectors.REVIEW_ITEM)
+
+    def review(scope: Column) -> Column:
+        found = F.struct(
+            *[
+                field_text(scope["elements"], scope["texts"], s, scope["base"]).alias(n)
+                for n, s in selectors.REVIEW.items()
+            ]
+        )
+
+        def typed(raw: Column) -> Column:
+            def source(name: str) -> Column:
+                return clean_field(raw[name]) if compat else raw[name]
+
+            return F.struct(
+                clean_field(raw["reviewer_name"]).alias("reviewer_name"),
+                let(source("rating"), text.parse_rating).alias("rating"),
+                clean_field(raw["title"]).alias("title"),
+                clean_field(raw["body"]).alias("body"),
+                let(source("date"), dates.parse_date).alias("date"),
+                text.is_verified_purchase(raw["verified"]).alias("verified_purchase"),
+            )
+
+        return let(found, typed)
+
     scopes = F.transform(
-        items,
+        select_any(elements, selectors.REVIEW_ITEM),
         lambda it: F.struct(
-            F.slice("elements", it["pos"] + 1, it["last"] - it["pos"]).alias("elements"),
-            F.slice("texts", it["text_at"] + 1, it["text_n"]).alias("texts"),
+            F.slice(elements, it["pos"] + 1, it["last"] - it["pos"]).alias("elements"),
+            F.slice(texts, it["text_at"] + 1, it["text_n"]).alias("texts"),
             it["text_at"].alias("base"),
         ),
     )
-    keep = other_columns(parsed)
-    rows = parsed.select(*keep, F.posexplode(scopes).alias("pos", "scope"))
-    scope = F.col("scope")
-    raw = rows.select(
-        *keep,
-        (F.col("pos") + 1).alias("pos"),
-        *[
-            field_text(scope["elements"], scope["texts"], s, scope["base"]).alias(f"_{n}")
-            for n, s in selectors.REVIEW.items()
-        ],
-    )
 
-    def source(name: str) -> Column:
-        return clean_field(F.col(name)) if compat else F.col(name)
+    def known(r: Column) -> Column:
+        return F.coalesce(F.length(r["reviewer_name"]) > 0, F.lit(False)) | F.coalesce(
+            F.length(r["body"]) > 0, F.lit(False)
+        )
+
+    return F.filter(F.transform(scopes, review), known)
+
 
-    fields = raw.select(
+def extract_reviews(parsed: DataFrame, compat: bool = False) -> DataFrame:
+    """One row per review item in a page's markup, with its position and key."""
+    keep = other_columns(parsed)
+    rows = parsed.select(
         *keep,
-        "pos",
-        clean_field(F.col("_reviewer_name")).alias("reviewer_name"),
-        text.parse_rating(source("_rating")).alias("rating"),
-        clean_field(F.col("_title")).alias("title"),
-        clean_field(F.col("_body")).alias("body"),
-        dates.parse_date(source("_date")).alias("date"),
-        text.is_verified_purchase(F.col("_verified")).alias("verified_purchase"),
-    )
-    known = (F.length("reviewer_name") > 0) | (F.length("body") > 0)
-    return fields.filter(known).withColumn(
-        "review_id",
-        text.review_key(F.col("reviewer_name"), F.col("body"), F.col("date").cast("string")),
-    )
+        F.posexplode(markup_array(F.col("elements"), F.col("texts"), compat)).alias("_p", "_r"),
+    ).select(*keep, (F.col("_p") + 1).alias("pos"), "_r.*")
+    key = text.review_key(F.col("reviewer_name"), F.col("body"), F.col("date").cast("string"))
+    return rows.withColumn("review_id", key)
 
 
 def block_array(elements: Column, texts: Column) -> Column:

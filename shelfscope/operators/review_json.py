@@ -51,7 +51,7 @@ def _first_filled(v: Column, names) -> Column:
 
 
 def _cleaned(value: Column) -> Column:
-    return F.when(value.isNotNull(), text.clean_text(value))
+    return let(value, lambda v: F.when(v.isNotNull(), text.clean_text(v)))
 
 
 def _is_object(v: Column) -> Column:
@@ -90,7 +90,7 @@ def _jsonld_review(r: Column) -> Column:
         rating.try_cast("double").alias("rating"),
         _cleaned(_first_filled(r, ("headline", "name"))).alias("title"),
         _cleaned(_first_filled(r, ("reviewBody", "description", "text"))).alias("body"),
-        dates.parse_review_date(_filled(_part(r, "datePublished"))).alias("date"),
+        let(_filled(_part(r, "datePublished")), dates.parse_review_date).alias("date"),
         F.lit(False).alias("verified_purchase"),
     )
 
@@ -179,49 +179,52 @@ RECORD_ALIASES = {
 }
 
 
-def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame:
-    """Typed review rows from raw JSON records (text); other columns are kept.
+def _record_review(v: Column) -> Column:
+    """A raw review record (a JSON object) as a typed struct.
 
     Empty, zero and false values count as missing when aliases are tried. Pros and cons
     are appended to the body.
     """
-    keep = [c for c in records.columns if c != record]
-    parsed = records.select(*keep, F.try_parse_json(record).alias("v")).filter(
-        _kind(F.col("v")).startswith("OBJECT")
-    )
-    v = F.col("v")
-    raw = parsed.select(
-        *keep,
-        *[_first_filled(v, names).alias(f"_{n}") for n, names in RECORD_ALIASES.items()],
-        F.concat_ws(
-            " | ",
-            F.concat(F.lit("Pros: "), _filled(_part(v, "Pros"))),
-            F.concat(F.lit("Cons: "), _filled(_part(v, "Cons"))),
-        ).alias("_extra"),
-    )
-    extra = F.col("_extra")
-    body = let(
-        _cleaned(F.col("_body")),
-        lambda main: F.when(extra == "", main)
-        .when(F.length(main) > 0, F.concat(main, F.lit("\n\n"), extra))
-        .otherwise(extra),
+    value = {name: _first_filled(v, names) for name, names in RECORD_ALIASES.items()}
+    extra = F.concat_ws(
+        " | ",
+        F.concat(F.lit("Pros: "), _filled(_part(v, "Pros"))),
+        F.concat(F.lit("Cons: "), _filled(_part(v, "Cons"))),
     )
-    rows = raw.select(
-        *keep,
-        text.clean_text(F.coalesce("_reviewer_name", F.lit("Anonymous"))).alias("reviewer_name"),
-        F.col("_rating").try_cast("double").alias("rating"),
-        _cleaned(F.col("_title")).alias("title"),
-        body.alias("body"),
-        dates.parse_review_date(F.col("_date")).alias("date"),
-        F.col("_verified_purchase").isNotNull().alias("verified_purchase"),
-        F.col("_helpful_count").try_cast("double").cast("int").alias("helpful_count"),
-    )
-    return rows.filter(
-        F.coalesce(F.length("body") > 0, F.lit(False))
-        | F.coalesce(F.length("title") > 0, F.lit(False))
+
+    def body(parts: Column) -> Column:
+        main, more = parts["main"], parts["more"]
+        return (
+            F.when(more == "", main)
+            .when(F.length(main) > 0, F.concat(main, F.lit("\n\n"), more))
+            .otherwise(more)
+        )
+
+    parts = F.struct(_cleaned(value["body"]).alias("main"), extra.alias("more"))
+    return F.struct(
+        text.clean_text(F.coalesce(value["reviewer_name"], F.lit("Anonymous"))).alias("reviewer_name"),
+        value["rating"].try_cast("double").alias("rating"),
+        _cleaned(value["title"]).alias("title"),
+        let(parts, body).alias("body"),
+        let(value["date"], dates.parse_review_date).alias("date"),
+        value["verified_purchase"].isNotNull().alias("verified_purchase"),
+        value["helpful_count"].try_cast("double").try_cast("int").alias("helpful_count"),
     )
 
 
+def record_array(records: Column) -> Column:
+    """Typed reviews from an array of JSON texts; those without content are left out."""
+    objects = F.filter(F.transform(records, F.try_parse_json), _is_object)
+    return _with_content(F.transform(objects, _record_review))
+
+
+def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame:
+    """Typed review rows from raw JSON records (text); other columns are kept."""
+    keep = [c for c in records.columns if c != record]
+    rows = records.select(*keep, F.explode(record_array(F.array(record))).alias("_r"))
+    return rows.select(*keep, "_r.*")
+
+
 # fixed values: where pages keep review lists in scripts, and how a record is known
 LIST_PATTERNS = (
     r"window\.__initialState__\s*=\s*({.*?});",
@@ -297,14 +300,11 @@ def embedded_json_reviews(pages: DataFrame) -> DataFrame:
     """Reviews from JSON documents in the page source, standardised.
 
     Only the search for a review list inside a JSON tree of unknown shape runs in
-    Python; the records come back as JSON text and are typed by ``standardize_reviews``.
+    Python; the records come back as JSON text and are typed by expressions.
     """
-    keep = [c for c in pages.columns if c != "html"]
+    keep = page_ops.other_columns(pages)
     found = pages.select(*keep, _records("html").alias("records"))
-    rows = found.select(*keep, F.posexplode("records").alias("pos", "record")).select(
-        *keep, (F.col("pos") + 1).alias("pos"), "record"
-    )
-    return standardize_reviews(rows)
+    return _exploded(found, keep, record_array(F.col("records")))
 
 
 def _uniform(reviews: Column, date) -> Column:
