@@ -143,4 +143,12 @@ from amazon_products where rating > 0 and category is not null""",
     "table_info": ctes("amazon_products") + """
 select column_name, case column_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(column_type) end as column_type
 from (describe select * from amazon_products)""",
+    "stream_daily_activity": ctes("scraping_analytics") + """
+select strftime(timestamp, '%Y-%m-%d') as date, count(*) as sessions, cast(sum(total_reviews) as bigint) as reviews
+from scraping_analytics group by 1""",
+    "stream_success_rate": ctes("scraping_sessions") + """
+select strftime(created_at, '%Y-%m-%d') as date, method_used, count(*) as sessions,
+  round(avg(case when success then 100.0e0 else 0 end), 6) as success_rate from scraping_sessions group by 1, 2""",
 }
+ORACLES["stream_merge_products"] = ORACLES["merge_products"]
+ORACLES["stream_new_reviews"] = ORACLES["new_reviews"]

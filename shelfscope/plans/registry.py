@@ -17,7 +17,8 @@ from shelfscope.operators.histogram import rating_histogram
 from shelfscope.plans import analysis
 from shelfscope.sources import catalog, sinks, sqlite, tables
 from shelfscope.session import work_path
-from shelfscope.views import table, view
+from shelfscope.streaming import streams
+from shelfscope.views import stream_view, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31"
@@ -435,4 +436,49 @@ PAGES: dict[str, Query] = {
     ),
 }
 
-QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE, **TEXT, **PAGES}
+
+# --- streams -----------------------------------------------------------------------
+
+
+def _stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "products")
+    sinks.write_products(view(spark, sf, "products"), path, buckets=16)
+    batches = stream_view(spark, sf, "product_batch", "part")
+    streams.stream_merge_products(
+        batches, path, _MOMENT, work_path(spark, "offsets"), buckets=16
+    ).awaitTermination()
+    return spark.read.parquet(path).drop("url_bucket")
+
+
+def _stream_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "reviews")
+    streams.write_reviews(view(spark, sf, "reviews"), path)
+    batches = stream_view(spark, sf, "review_batch", "lineitem")
+    streams.stream_new_reviews(
+        batches, path, _MOMENT, work_path(spark, "offsets")
+    ).awaitTermination()
+    return spark.read.parquet(path).filter(F.col("batch_id") >= 0).drop("batch_id", "id")
+
+
+def _stream_totals(view_name: str, totals: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = work_path(spark, "totals")
+        stream = totals(stream_view(spark, sf, view_name, "events"))
+        streams.stream_totals(stream, path, work_path(spark, "offsets")).awaitTermination()
+        return plain(spark.read.parquet(path))
+
+    return query
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return streams.success_rate(df).withColumn("success_rate", F.round("success_rate", 6))
+
+
+STREAMS: dict[str, Query] = {
+    "stream_merge_products": _stream_merge,
+    "stream_new_reviews": _stream_reviews,
+    "stream_daily_activity": _stream_totals("scraping_analytics", streams.daily_activity),
+    "stream_success_rate": _stream_totals("scraping_sessions", _rounded),
+}
+
+QUERIES: dict[str, Query] = {**ANALYSIS, **SOURCES, **STORE, **TEXT, **PAGES, **STREAMS}

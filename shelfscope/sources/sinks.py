@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfscope.operators import store as store_ops
 from shelfscope.session import durable
 
-_BUCKETS = 256
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace all rows of a Parquet table."""
     df.write.mode("overwrite").parquet(path)
@@ -21,31 +18,45 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("url"), F.lit(_BUCKETS)).cast("int")
+def _bucketed(products: DataFrame, buckets: int) -> DataFrame:
+    return products.withColumn(
+        "url_bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    )
 
 
-def write_products(products: DataFrame, path: str) -> None:
-    """A product table laid out for merging: one folder per hash bucket of ``url``."""
+def _write_buckets(products: DataFrame, path: str, mode: str) -> None:
+    """One folder per bucket. The rebalance hint lets AQE join small buckets into one
+    task and split large ones over several, so file sizes do not depend on the number
+    of buckets."""
     (
-        products.withColumn("url_bucket", _bucket())
-        .repartition("url_bucket")
+        products.hint("rebalance", F.col("url_bucket"))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", mode)
         .partitionBy("url_bucket")
         .parquet(path)
     )
 
 
+def write_products(products: DataFrame, path: str, buckets: int = 1024) -> None:
+    """A product table laid out for merging: one folder per hash bucket of ``url``."""
+    _write_buckets(_bucketed(products, buckets), path, "static")
+
+
 def upsert_products(
-    spark: SparkSession, path: str, batch: DataFrame, as_of: dt.datetime, order: str = "seq"
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    as_of: dt.datetime,
+    order: str = "seq",
+    buckets: int = 1024,
 ) -> None:
     """Merge a crawl batch into a table written by ``write_products``.
 
     Only the buckets the batch touches are read and rewritten. Their list is at most
-    ``_BUCKETS`` numbers, so collecting it is safe. The merged rows are made durable
+    ``buckets`` numbers, so collecting it is safe. The merged rows are made durable
     first: the folders read are the folders replaced.
     """
-    keyed = batch.withColumn("url_bucket", _bucket())
+    keyed = _bucketed(batch, buckets)
     touched = [r[0] for r in keyed.select("url_bucket").distinct().collect()]
     stored = spark.read.parquet(path)
     # numbering continues behind the whole table's largest id, not the touched part's
@@ -54,14 +65,8 @@ def upsert_products(
     numbered = store_ops.number_rows(
         inserted, ["first_seq"], after=stored.agg(F.max("id").alias("top"))
     ).drop("first_seq")
-    merged = durable(updated.unionByName(numbered).withColumn("url_bucket", _bucket()))
-    (
-        merged.repartition("url_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("url_bucket")
-        .parquet(path)
-    )
+    merged = durable(_bucketed(updated.unionByName(numbered), buckets))
+    _write_buckets(merged, path, "dynamic")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ linearly and Catalyst prunes the columns a query does not ask for.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Dialect:
     name: str
     root: str = ""
+    # raw tables to be read from a named view (a stream) instead of their file
+    streams: tuple[tuple[str, str], ...] = ()
 
     @property
     def spark(self) -> bool:
         return self.name == "spark"
 
     def table(self, table: str) -> str:
+        if table in dict(self.streams):
+            return dict(self.streams)[table]
         return f"parquet.`{self.root}/{table}.parquet`" if self.spark else table
 
     @property
@@ -361,6 +366,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, raw: str) -> DataFrame:
+    """A view whose raw table ``raw`` arrives as a file stream."""
+    path = f"{sf_dir}/{raw}.parquet"
+    # a file stream wants a folder or a pattern; the pattern fits one file and a folder
+    pattern = f"{sf_dir}/{raw}.parque[t]"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    source = f"stream_{uuid.uuid4().hex}"
+    stream.createOrReplaceTempView(source)
+    sql = VIEWS[name](Dialect("spark", sf_dir.rstrip("/"), ((raw, source),)))
+    return spark.sql(sql)
+
+
 def ctes(*names: str) -> str:
     """``with a as (...), b as (...)`` for the check SQL."""
     return "with " + ",\n".join(f"{n} as ({VIEWS[n](DUCK)})" for n in names)
