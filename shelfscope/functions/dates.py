@@ -11,9 +11,14 @@ DATE_FORMS = (
     (r"([\p{L}\p{N}_]+ \d{1,2}, \d{4})", "MMMM d, yyyy"),
     (r"(\d{1,2} [\p{L}\p{N}_]+ \d{4})", "d MMMM yyyy"),
 )
-# fixed values: whole-text formats of a review date, month-first before day-first
+# fixed values: whole-text formats of a review date, month-first before day-first, each
+# with the shape a text must have to be worth parsing (failed parses are slow)
 REVIEW_DATE_FORMATS = (
-    "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy-M-d H:m:s", "M/d/yyyy H:m:s",
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("M/d/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
 )
 # fixed values: month names and abbreviations
 MONTHS = (
@@ -48,7 +53,10 @@ def parse_review_date(text: Column) -> Column:
     full = F.when(F.length(clock) == 2, F.concat(iso, F.lit(":00"))).otherwise(iso)
     stamped = F.when(iso.rlike(_ISO), full.try_cast("timestamp_ntz"))
     spelled = F.coalesce(
-        *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in REVIEW_DATE_FORMATS]
+        *[
+            F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))).cast("timestamp_ntz")
+            for layout, shape in REVIEW_DATE_FORMATS
+        ]
     )
     return F.when(text.contains("T"), stamped).otherwise(spelled)
 
@@ -73,10 +81,11 @@ def parse_review_date_text(text: Column) -> Column:
         ),
     ]
     lower = F.lower(text)
+    named = []
     for i, month in enumerate(MONTHS):
         number = i % 12 + 1 if i < 12 else MONTHS.index(next(m for m in MONTHS if m[:3] == month)) + 1
         pattern = rf"{month}\s+(\d{{1,2}}),?\s+(\d{{4}})"
-        found.append(
+        named.append(
             F.when(
                 lower.rlike(pattern),
                 _real_day(
@@ -86,6 +95,9 @@ def parse_review_date_text(text: Column) -> Column:
                 ),
             )
         )
+    # one cheap test spares texts without a month name the search for each of them
+    any_month = lower.rlike(rf"(?:{'|'.join(MONTHS[12:])}|may)[a-z]*\s+\d{{1,2}},?\s+\d{{4}}")
+    found.append(F.when(any_month, F.coalesce(*named)))
     return F.coalesce(*found, text)
 
 

@@ -179,17 +179,43 @@ RECORD_ALIASES = {
 }
 
 
+def _number(value: Column) -> Column:
+    """A number or NULL; text that is none is not even tried, failed casts are slow."""
+    return let(value, lambda x: F.when(x.rlike(r"^\s*[-+]?[0-9.]"), x.try_cast("double")))
+
+
+# values whose text alone does not tell an absent value from a text like "0"
+_DOUBTFUL = r"^(-?[0.]+(E[+-]?\d+)?|false|\[\]|\{\})$"
+
+
 def _record_review(v: Column) -> Column:
     """A raw review record (a JSON object) as a typed struct.
 
     Empty, zero and false values count as missing when aliases are tried. Pros and cons
     are appended to the body.
     """
-    value = {name: _first_filled(v, names) for name, names in RECORD_ALIASES.items()}
+    # all fields as text in one pass; the JSON type is asked for only in doubt
+    return let(
+        F.try_variant_get(v, "$", "map<string,string>"), lambda fields: _typed_record(v, fields)
+    )
+
+
+def _typed_record(v: Column, fields: Column) -> Column:
+    def filled(name: str) -> Column:
+        return let(
+            fields[name],
+            lambda x: F.when(x == "", None)
+            .when(x.rlike(_DOUBTFUL), F.when(_kind(_part(v, name)) == "STRING", x))
+            .otherwise(x),
+        )
+
+    value = {
+        field: F.coalesce(*[filled(n) for n in names]) for field, names in RECORD_ALIASES.items()
+    }
     extra = F.concat_ws(
         " | ",
-        F.concat(F.lit("Pros: "), _filled(_part(v, "Pros"))),
-        F.concat(F.lit("Cons: "), _filled(_part(v, "Cons"))),
+        F.concat(F.lit("Pros: "), filled("Pros")),
+        F.concat(F.lit("Cons: "), filled("Cons")),
     )
 
     def body(parts: Column) -> Column:
@@ -203,12 +229,12 @@ def _record_review(v: Column) -> Column:
     parts = F.struct(_cleaned(value["body"]).alias("main"), extra.alias("more"))
     return F.struct(
         text.clean_text(F.coalesce(value["reviewer_name"], F.lit("Anonymous"))).alias("reviewer_name"),
-        value["rating"].try_cast("double").alias("rating"),
+        _number(value["rating"]).alias("rating"),
         _cleaned(value["title"]).alias("title"),
         let(parts, body).alias("body"),
         let(value["date"], dates.parse_review_date).alias("date"),
         value["verified_purchase"].isNotNull().alias("verified_purchase"),
-        value["helpful_count"].try_cast("double").try_cast("int").alias("helpful_count"),
+        _number(value["helpful_count"]).try_cast("int").alias("helpful_count"),
     )
 
 

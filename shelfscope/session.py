@@ -25,6 +25,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no call-site bookkeeping for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # crawled pages are wide rows: keep Arrow batches to Python short
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
