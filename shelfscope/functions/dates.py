@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfscope.functions.bind import let
+
 # fixed values: where a date may stand in a text, and how that form is read
 DATE_FORMS = (
     (r"(\d{1,2}/\d{1,2}/\d{4})", "M/d/yyyy"),
@@ -30,6 +32,10 @@ MONTHS = (
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
+def _day_reader(layout: str):
+    return lambda piece: F.when(piece != "", F.try_to_date(piece, layout))
+
+
 def parse_date(text: Column) -> Column:
     """The first date found in the text, full month names only, as DATE."""
     found = []
@@ -37,7 +43,7 @@ def parse_date(text: Column) -> Column:
         piece = F.regexp_extract(text, pattern, 1)
         if "MMMM" in layout:
             piece = F.initcap(piece)
-        found.append(F.try_to_date(F.nullif(piece, F.lit("")), layout))
+        found.append(let(piece, _day_reader(layout)))
     return F.coalesce(*found)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType,
 )
 
+from shelfscope.functions.bind import let
 from shelfscope.functions.text import clean_text, trim_space
 
 ELEMENT = StructType(
@@ -216,11 +217,6 @@ def select_any(elements: Column, selectors) -> Column:
     return F.coalesce(*[F.when(F.size(f) > 0, f) for f in found])
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _pieces(texts: Column, e: Column, base: Column | int = 0) -> Column:
     return F.slice(texts, e["text_at"] - base + 1, e["text_n"])
 

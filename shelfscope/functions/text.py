@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from shelfscope.functions.bind import let
+
 # fixed values: number patterns, tried in this order; the first group is the number
 RATING_PATTERNS = (
     r"(\d+\.?\d*)\s*(?:out\s*of\s*5|/5|\s*stars?)",
@@ -92,29 +94,34 @@ def clean_text(text: Column) -> Column:
 
 def _first(text: Column, pattern: str) -> Column:
     """First group of the first match, NULL when nothing matches."""
-    return F.nullif(F.regexp_extract(text, "(?i)" + pattern, 1), F.lit(""))
+    found = F.regexp_extract(text, "(?i)" + pattern, 1)
+    return let(found, lambda s: F.when(s != "", s))
+
+
+def _number(text: Column, pattern: str, kind: str) -> Column:
+    """The first group as a number; an empty match is not even tried."""
+    found = F.regexp_extract(text, "(?i)" + pattern, 1)
+    return let(
+        found, lambda s: F.when(s != "", F.replace(s, F.lit(","), F.lit("")).try_cast(kind))
+    )
 
 
 def parse_price(text: Column) -> Column:
     """The first number of the text, commas ignored, with cents only if two digits follow."""
-    return _first(F.replace(text, F.lit(","), F.lit("")), PRICE_PATTERN).try_cast("double")
+    return _number(F.replace(text, F.lit(","), F.lit("")), PRICE_PATTERN, "double")
 
 
 def parse_rating(text: Column) -> Column:
     """The first pattern's first number that lies between 0 and 5."""
-    found = []
-    for pattern in RATING_PATTERNS:
-        number = _first(text, pattern).try_cast("double")
-        found.append(F.when(number.between(0.0, 5.0), number))
-    return F.coalesce(*found)
+
+    def in_range(n: Column) -> Column:
+        return F.when(n.between(0.0, 5.0), n)
+
+    return F.coalesce(*[let(_number(text, p, "double"), in_range) for p in RATING_PATTERNS])
 
 
 def parse_review_count(text: Column) -> Column:
-    found = [
-        F.replace(_first(text, p), F.lit(","), F.lit("")).try_cast("bigint")
-        for p in REVIEW_COUNT_PATTERNS
-    ]
-    return F.coalesce(*found)
+    return F.coalesce(*[_number(text, p, "bigint") for p in REVIEW_COUNT_PATTERNS])
 
 
 def mentions(text: Column, phrases: tuple[str, ...]) -> Column:

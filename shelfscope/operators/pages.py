@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfscope.functions import dates, selectors, text
+from shelfscope.functions.bind import let
 from shelfscope.functions.html import (
-    clean_field, field_text, flatten, let, raw_text, select_all, select_any,
+    clean_field, field_text, flatten, raw_text, select_all, select_any,
     select_first, stripped_text,
 )
 

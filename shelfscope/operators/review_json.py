@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from shelfscope.functions import dates, text
-from shelfscope.functions.html import let, select_all
+from shelfscope.functions.bind import let
+from shelfscope.functions.html import select_all
 from shelfscope.operators import pages as page_ops
 
 
