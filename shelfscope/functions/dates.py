@@ -108,6 +108,13 @@ def parse_review_date_text(text: Column) -> Column:
 
 
 def parse_stored_date(text: Column) -> Column:
-    """An ISO date or date-time (``Z`` allowed) as UTC TIMESTAMP; anything else is NULL."""
-    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
-    return F.when(text.rlike(iso), text.try_cast("timestamp"))
+    """An ISO date or date-time (``Z`` or an offset allowed) as TIMESTAMP_NTZ in UTC;
+    anything else is NULL."""
+    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?"
+    local = F.regexp_replace(text, "Z$", "")
+    shifted = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz")
+    )
+    return F.when(local.rlike(iso + "$"), local.try_cast("timestamp_ntz")).when(
+        text.rlike(iso + r"[+-]\d{2}:\d{2}$"), shifted
+    )

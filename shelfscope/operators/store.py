@@ -108,7 +108,7 @@ def new_reviews(
         "rating",
         "title",
         "body",
-        parse_stored_date(F.col("date")).cast("timestamp_ntz").alias("review_date"),
+        parse_stored_date(F.col("date")).alias("review_date"),
         F.coalesce("verified_purchase", F.lit(False)).alias("verified_purchase"),
         F.lit(0).alias("helpful_count"),
         "review_id",

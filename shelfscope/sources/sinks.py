@@ -78,8 +78,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_text(lines: DataFrame, path: str, order: tuple[str, ...], column: str = "text") -> None:
-    """Report lines as one ordered text; reports are short by construction."""
-    lines.orderBy(*order).select(column).coalesce(1).write.mode("overwrite").text(path)
+    """Report lines as text files in order; a short report is a single file."""
+    lines.orderBy(*order).select(column).write.mode("overwrite").text(path)
 
 
 def export_analysis(results: dict[str, DataFrame], folder: str) -> dict[str, str]:

@@ -131,3 +131,11 @@ def test_clean_records(spark):
     )
     got = sorted(clean_records(df).collect(), key=lambda r: (r["x"], r["n"]))
     assert [tuple(r) for r in got] == [(0.0, 0, None), (0.0, 1, "a"), (1.5, 2, "b")]
+
+
+def test_stored_date(spark):
+    values = ["2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02 03:04", "2024-01-02T03:04:05+02:00", "2024-02-30", "soon", None]
+    assert column(spark, values, dates.parse_stored_date) == [
+        dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4),
+        dt.datetime(2024, 1, 2, 1, 4, 5), None, None, None,
+    ]
