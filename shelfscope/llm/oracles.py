@@ -55,7 +55,7 @@ sums as (
   select doc_id, count(*) as n_lines, count(*) filter (dup) as n_dup_lines,
     count(*) filter (failed) as n_failed_lines, coalesce(sum(chars) filter (failed), 0) as lost_chars
   from judged group by doc_id),
-both as (
+counted as (
   select b.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
     coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
     coalesce(n_failed_lines, 0) as n_failed_lines, cast(coalesce(lost_chars, 0) as bigint) as lost_chars
@@ -63,7 +63,7 @@ both as (
 select *, n_words < {linerules.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < {linerules.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words)
     and lost_chars <= {linerules.MAX_LOST} * word_chars as kept
-from both
+from counted
 """
 
 

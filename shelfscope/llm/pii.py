@@ -5,9 +5,9 @@ cues. At each anchor a small deterministic parser expands to both sides and vali
 
 Kinds, in this order in ``spans``: ``email``, ``ip``, ``card`` (16 to 19 digits, Luhn) and
 ``phone``, with the boundaries that the patterns in ``tests/llm`` state; then ``login`` (user
-and password in a URL), ``iban`` (modulo 97) , ``ssn`` and ``account`` (8 to 17 digits after a
-cue). A span of the second group that overlaps one of the first is dropped. Positions count
-code points, the end is exclusive. Each kind is matched from left to right without overlap; a
+and password in a URL), ``iban`` (modulo 97), ``ssn`` and ``account`` (8 to 17 digits after a
+cue). An ``iban``, ``ssn`` or ``account`` that overlaps a span of the first four is dropped.
+Positions count code points, the end is exclusive. Each kind is matched from left to right without overlap; a
 match that fails its check is dropped and not tried again from within.
 
 Null and empty texts have no span; repeated rows each get their row; an empty table gives an
@@ -27,7 +27,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from shelfscope.llm.common import arrow_map
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "ssn", "account")
+ACCOUNTS = ("iban", "ssn", "account")
+KINDS = (*BASE, "login", *ACCOUNTS)
 CUES = {
     "iban": ("IBAN", "Iban", "iban"),
     "ssn": ("SSN", "ssn", "Social Security", "social security"),
@@ -151,7 +152,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             most = max(most, end)
             reach.append(most)
         starts = [s for s, _ in base]
-        for kind in KINDS[len(BASE) :]:
+        for kind in ACCOUNTS:
             # the spans that begin before this one ends must all end before it begins
             out[kind] = [
                 (a, b) for a, b in out[kind]

@@ -83,9 +83,10 @@ def fingerprints(
 def _cell(fp: Column, parts: int) -> Column:
     """The population counts of the words, seven bits each, in one long."""
     size = 64 // parts
+    ones = (1 << size) - 1 if size < 64 else -1
     out = F.lit(0).cast("long")
     for i in range(parts):
-        word = F.shiftrightunsigned(fp, i * size).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        word = F.shiftrightunsigned(fp, i * size).bitwiseAND(F.lit(ones).cast("long"))
         out = out.bitwiseOR(F.shiftleft(F.bit_count(word).cast("long"), 7 * i))
     return out
 

@@ -1,0 +1,126 @@
+"""PII and secrets against the patterns that define their base spans."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from shelfscope.llm import pii, secrets
+from shelfscope.llm.queries import pii_anchors, secret_novelty
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def brute_pii(text):
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        own = [int(c) for c in d[::-1]]
+        return sum(own[::2] + [2 * x - 9 * (x > 4) for x in own[1::2]]) % 10 == 0
+
+    keep = {
+        "email": (EMAIL, lambda s: True),
+        "ip": (IP, lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (CARD, lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (PHONE, lambda s: 8 <= len(digits(s)) <= 15),
+    }
+    return ",".join(
+        f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in keep.items() for m in re.finditer(p, text) if ok(m.group())
+    )
+
+
+def brute_secrets(text):
+    found = []
+    for m in re.finditer(ASSIGN, text or "", re.ASCII):
+        if len(m.group(2)) >= 12:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for k, (name, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)), 1):
+        for m in re.finditer(pattern, text or ""):
+            if len(m.group()) >= least:
+                found.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return ",".join(x for *_, x in sorted(found))
+
+
+def random_texts(pieces, n=3000):
+    rng = random.Random(5)
+    return ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+def test_pii_base_on_random_texts():
+    pieces = ["a", "b.c", "@", "@@", ".", "-", "+", "+1", " ", "(", ")", "1", "23", "255", "256", "1.2.3.4", "4111111111111111", "4111 1111", "é", "_", "x@y.zz", "://", "\n", "-4"]
+    for text in random_texts(pieces):
+        assert pii.joined(pii.find(text), pii.BASE) == brute_pii(text), text
+
+
+def test_secret_base_on_random_texts():
+    pieces = ["password", "Token", "API_KEY", "apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "AKIAIOSFODNN7EX", "abcdef0123456789", "0f", "Zz9/+", "long-value_1.x=", "é", "\n", "ſecret", "to\u212aen"]
+    for text in random_texts(pieces):
+        base = [s for s in secrets.find(text) if s[2] < 3]
+        assert secrets.joined(base) == brute_secrets(text), text
+
+
+def test_pii_query(spark, sf_dir, docs):
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = pii_anchors(spark, sf_dir).collect()
+    assert len(got) == len(text)
+    for r in got:
+        want = brute_pii(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert r.n_email == want.count("email:") and r.n_ip == want.count("ip:")
+        assert r.n_card == want.count("card:") and r.n_phone == want.count("phone:")
+        assert r.spans == want or r.spans.startswith(want)
+
+
+def test_secret_query(spark, sf_dir, docs):
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in secret_novelty(spark, sf_dir).collect():
+        want = brute_secrets(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k + ":") for k in secrets.BASE)
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_added_pii():
+    text = "See ftp://bob:pa55@host.example/x, IBAN: GB82 WEST 1234 5698 7654 32, SSN 078-05-1120; account no: 12345678."
+    found = pii.find(text)
+    got = {k: [text[a:b] for a, b in found[k]] for k in ("login", "iban", "ssn", "account")}
+    assert got == {
+        "login": ["ftp://bob:pa55@host.example"], "iban": ["GB82 WEST 1234 5698 7654 32"],
+        "ssn": ["078-05-1120"], "account": ["12345678"],
+    }
+    assert pii.joined(pii.find("IBAN GB82 WEST 1234 5698 7654 33, SSN 000-12-3456"), pii.KINDS) == ""
+
+
+def test_added_secrets():
+    key = "q7Zx9LmP2vRt8KwN4sYb6HdJ"
+    line = f"auth bearer {key}\n"
+    assert [line[a:b] for a, b, k in secrets.find(line) if k == 3] == [key]
+    assert secrets.find(f"a plain line with {key}\n") == []
+    assert secrets.find("private example abcdefghijklmnopqrstuvwxyz0123456789\n") == []
+    assert secrets.find(f"auth {key} " + f"again {key} " * 3) == []
+    assert secrets.mask("x password=abcdef0123456789abcdef y") == "x [SECRET] y"
+    assert secrets.mask(line) == "auth bearer [SECRET]\n"
+
+
+@pytest.mark.parametrize("text", ["@" * 50_000, "a" * 100_000 + "@", "+1" + "-" * 100_000, "1." * 50_000, "9" * 100_000, "key " * 5000])
+def test_linear_time(text):
+    pii.find(text)
+    secrets.find(text)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    for module in (pii, secrets):
+        got = module.scan(odd_docs).collect()
+        assert len(got) == odd_docs.count()
+        assert all(r.spans == "" for r in got if r.doc_id in (0, 1, 2, None))
+        assert module.scan(no_docs).count() == 0
+    out = secrets.redacted(odd_docs, chars_col="n_chars")
+    assert out.dtypes == odd_docs.dtypes
+    assert out.exceptAll(odd_docs).count() == 0 and odd_docs.exceptAll(out).count() == 0
+    assert secrets.redacted(no_docs).count() == 0
