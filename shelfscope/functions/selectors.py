@@ -74,5 +74,4 @@ REVIEW = {
         ".verified-owner", ".verified-purchase", ".verified-buyer", ".review-verified",
         "[class*='verified']",
     ),
-    "helpful": (".helpful-count", ".votes", "[class*='helpful']", ".review-helpful"),
 }

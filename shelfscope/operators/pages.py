@@ -17,6 +17,17 @@ from shelfscope.functions.html import (
 )
 
 
+# fixed values: lengths (in characters) that the page rules compare with. They tell a
+# description, a review block, a name, a content line, a title and a review from other
+# text; none of them cuts a text
+DESCRIPTION_OVER = 50
+BLOCK_OVER = 100
+NAME_BELOW = 50
+LINE_OVER = 10
+TITLE_BELOW = 100
+MIN_REVIEW = 20
+
+
 def other_columns(df: DataFrame) -> list[str]:
     """The columns of a page frame besides the page itself."""
     return [c for c in df.columns if c not in ("html", "elements", "texts")]
@@ -72,21 +83,20 @@ def extract_products(parsed: DataFrame, compat: bool = False) -> DataFrame:
     return _flat(parsed, other_columns(parsed), let(found, product))
 
 
-def extract_products_full(parsed: DataFrame, shop_name: str | None = None) -> DataFrame:
-    """One product row per page by the fuller rules.
+def full_product(elements: Column, texts: Column, shop_name: str | None = None) -> Column:
+    """The product of a page as a struct, by the fuller rules.
 
     Title falls back to the page title unless that names the shop; the brand's label is
     removed or the brand taken from the title; the rating may come from an attribute or
     from counting filled stars; the description is the longest candidate over 50
     characters.
     """
-    elements, texts = F.col("elements"), F.col("texts")
     filled = [F.size(select_all(elements, s)) for s in selectors.FILLED_RATING]
     candidates = F.flatten(
         F.array(*[select_all(elements, s) for s in selectors.PRODUCT["description"]])
     )
     long_texts = F.filter(
-        F.transform(candidates, lambda e: stripped_text(texts, e)), lambda t: F.length(t) > 50
+        F.transform(candidates, lambda e: stripped_text(texts, e)), lambda t: F.length(t) > DESCRIPTION_OVER
     )
     rating_mark = let(
         select_first(elements, selectors.PRODUCT["rating"]),
@@ -126,7 +136,13 @@ def extract_products_full(parsed: DataFrame, shop_name: str | None = None) -> Da
             clean_field(longest(raw["descriptions"])).alias("description"),
         )
 
-    return _flat(parsed, other_columns(parsed), let(found, product))
+    return let(found, product)
+
+
+def extract_products_full(parsed: DataFrame, shop_name: str | None = None) -> DataFrame:
+    """One product row per page by the fuller rules (``full_product``)."""
+    record = full_product(F.col("elements"), F.col("texts"), shop_name)
+    return _flat(parsed, other_columns(parsed), record)
 
 
 def markup_array(elements: Column, texts: Column, compat: bool = False) -> Column:
@@ -198,7 +214,7 @@ def block_array(elements: Column, texts: Column) -> Column:
         return let(
             F.lower(t),
             lambda lower: text.mentions(lower, text.BLOCK_PHRASES)
-            & (F.length(lower) > 100)
+            & (F.length(lower) > BLOCK_OVER)
             & ~lower.contains("summary"),
         )
 
@@ -208,9 +224,14 @@ def block_array(elements: Column, texts: Column) -> Column:
     )
 
 
-def distinct_blocks(blocks: Column, prefix: int = 200) -> Column:
-    """The first of the blocks that share their first ``prefix`` characters."""
+def distinct_blocks(blocks: Column, prefix: int | None = None) -> Column:
+    """Each block once, in order of first occurrence.
+
+    With ``prefix``, blocks that share their first ``prefix`` characters count as equal.
+    """
     filled = F.filter(blocks, lambda t: F.length(t) > 0)
+    if prefix is None:
+        return F.array_distinct(filled)
 
     def keep_first(found: Column) -> Column:
         heads = F.transform(found, lambda t: F.substring(t, 1, prefix))
@@ -230,13 +251,16 @@ def review_blocks(parsed: DataFrame) -> DataFrame:
     return parsed.select(*other_columns(parsed), F.posexplode(blocks).alias("pos", "text"))
 
 
-def dedup_blocks(blocks: DataFrame, key: str = "url", prefix: int = 200) -> DataFrame:
-    """The first of the blocks of a page that share their first ``prefix`` characters.
+def dedup_blocks(blocks: DataFrame, key: str = "url", prefix: int | None = None) -> DataFrame:
+    """The first of the equal blocks of a page; whole texts are compared.
 
+    With ``prefix``, blocks that share their first ``prefix`` characters count as equal.
     Spark turns the rank-1 filter into a group limit before the shuffle, so repeated
     blocks do not travel.
     """
-    same = Window.partitionBy(key, F.substring("text", 1, prefix)).orderBy("pos")
+    head = F.col("text") if prefix is None else F.substring("text", 1, prefix)
+    # the hash first: texts are compared only where it is equal
+    same = Window.partitionBy(key, F.xxhash64(head), head).orderBy("pos")
     return (
         blocks.filter(F.length("text") > 0)
         .withColumn("_nr", F.row_number().over(same))
@@ -265,7 +289,10 @@ STAR_PATTERNS = (
     r"(\d+)(?:\s*out\s*of\s*5|\s*\/\s*5|\s*stars?)", r"Rating:\s*(\d+)", r"(\d+)\s*star",
 )
 BLOCK_DATE_PATTERNS = (
-    r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\w+\s+\d{1,2},?\s+\d{4})", r"(\d{4}-\d{2}-\d{2})",
+    (r"(?<![\d/-])(\d{4}-\d{2}-\d{2})(?![\d/-])", "yyyy-MM-dd"),
+    (r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{4})(?![\d/-])", "M/d/yyyy"),
+    (r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{2})(?![\d/-])", "M/d/yy"),
+    (r"(\w+\s+\d{1,2},?\s+\d{4})", "MMMM d yyyy"),
 )
 META_WORDS = ("verified", "by ", "rating", "stars", "out of")
 OWNER_WORDS = ("verified", "owner", "purchased")
@@ -274,14 +301,15 @@ OWNER_WORDS = ("verified", "owner", "purchased")
 def review_of_text(t: Column) -> Column:
     """Name, rating, title, body, date and purchase flag of plain review text.
 
-    NULL for text under 20 characters or without content lines.
+    The date is a DATE, ISO form tried first. NULL for text under ``MIN_REVIEW``
+    characters or without content lines.
     """
 
     def group(pattern: str, flags: str = "(?U)") -> Column:
         return F.regexp_extract(t, flags + pattern, 1)
 
     def fits(name: Column) -> Column:
-        return F.when((F.length(name) > 1) & (F.length(name) < 50), name)
+        return F.when((F.length(name) > 1) & (F.length(name) < NAME_BELOW), name)
 
     name = F.coalesce(
         *[let(text.trim_space(group(p)), fits) for p in NAME_PATTERNS], F.lit("Anonymous")
@@ -292,15 +320,24 @@ def review_of_text(t: Column) -> Column:
             for p in STAR_PATTERNS
         ]
     )
-    date = F.coalesce(*[F.nullif(group(p), F.lit("")) for p in BLOCK_DATE_PATTERNS])
+
+    def day(pattern: str, layout: str) -> Column:
+        piece = group(pattern)
+        if "/" in layout:
+            piece = F.translate(piece, "-", "/")
+        elif "MMMM" in layout:
+            piece = F.initcap(F.regexp_replace(piece, r"[\s,]+", " "))
+        return let(piece, lambda x: F.when(x != "", F.try_to_date(x, layout)))
+
+    date = F.coalesce(*[day(*form) for form in BLOCK_DATE_PATTERNS])
     lines = F.filter(
         F.transform(F.split(t, "\n"), text.trim_space),
-        lambda line: (F.length(line) > 10) & ~text.mentions(F.lower(line), META_WORDS),
+        lambda line: (F.length(line) > LINE_OVER) & ~text.mentions(F.lower(line), META_WORDS),
     )
 
     def assemble(content: Column) -> Column:
         heading = F.get(content, 0)
-        titled = (F.size(content) > 1) & (F.length(heading) < 100)
+        titled = (F.size(content) > 1) & (F.length(heading) < TITLE_BELOW)
         rest = F.slice(content, 2, F.greatest(F.size(content), F.lit(1)))
         return F.when(
             F.size(content) > 0,
@@ -316,7 +353,7 @@ def review_of_text(t: Column) -> Column:
             ),
         )
 
-    return F.when(F.length(t) >= 20, let(lines, assemble))
+    return F.when(F.length(t) >= MIN_REVIEW, let(lines, assemble))
 
 
 def review_array(blocks: Column, limit: int | None = None) -> Column:

@@ -130,36 +130,31 @@ def jsonld_reviews(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, page_ops.other_columns(parsed), jsonld_array(F.col("elements")))
 
 
-# fixed values: reviews written into scripts, comment first or rating first
-EMBEDDED_PATTERNS = (
-    r'"Comments":\s*"([^"]+)".*?"Rating":\s*(\d+).*?"NickName":\s*"([^"]+)"',
-    r'"Rating":\s*(\d+).*?"NickName":\s*"([^"]+)".*?"Comments":\s*"([^"]+)"',
-)
+# fixed values: fields of a review written into a script
+EMBEDDED_FIELDS = {
+    "body": r'"Comments":\s*"([^"]+)"', "rating": r'"Rating":\s*(\d+)', "name": r'"NickName":\s*"([^"]+)"',
+}
+# an object without objects in it; the possessive repeat keeps the search linear
+_OBJECT = r"\{[^{}]*+\}"
 
 
 def embedded_array(html: Column) -> Column:
-    """The review blobs of a page's source; the first pattern with hits is used.
-
-    The page is searched once per pattern; groups are read from the short matches.
-    """
-
-    def hits(pattern: str, body: int, rating: int, name: int) -> Column:
-        p = "(?s)" + pattern
-        return F.transform(
-            F.regexp_extract_all(html, F.lit(p), 0),
-            lambda m: F.struct(
-                F.regexp_extract(m, p, name).alias("reviewer_name"),
-                F.regexp_extract(m, p, rating).try_cast("int").alias("rating"),
-                F.lit("").alias("title"),
-                F.regexp_extract(m, p, body).alias("body"),
-                F.lit(False).alias("verified_purchase"),
-            ),
-        )
-
-    comment_first, rating_first = EMBEDDED_PATTERNS
-    return let(
-        hits(comment_first, 1, 2, 3),
-        lambda found: F.when(F.size(found) > 0, found).otherwise(hits(rating_first, 3, 1, 2)),
+    """The review blobs of a page's source: objects that hold all of ``EMBEDDED_FIELDS``,
+    in whatever order. Every field is looked for inside its own object."""
+    body, rating, name = EMBEDDED_FIELDS.values()
+    objects = F.filter(
+        F.regexp_extract_all(html, F.lit(_OBJECT), 0),
+        lambda m: m.rlike(rating) & m.rlike(name) & m.rlike(body),
+    )
+    return F.transform(
+        objects,
+        lambda m: F.struct(
+            F.regexp_extract(m, name, 1).alias("reviewer_name"),
+            F.regexp_extract(m, rating, 1).try_cast("int").alias("rating"),
+            F.lit("").alias("title"),
+            F.regexp_extract(m, body, 1).alias("body"),
+            F.lit(False).alias("verified_purchase"),
+        ),
     )
 
 
@@ -262,7 +257,6 @@ LIST_PATTERNS = (
     r"reviews:\s*(\[.*?\])",
     r'(\[{[^}]*"Rating":[^}]*"NickName":[^}]*"Comments":[^}]*}[^\]]*\])',
     r'(\[{[^}]*"Comments":[^}]*"Rating":[^}]*"NickName":[^}]*}[^\]]*\])',
-    # in scripts only
     r'(\[{[^}]*"Rating":\s*\d+[^}]*"Comments":[^}]*}[^\]]*\])',
     r'(\[{[^}]*"NickName":[^}]*"Rating":[^}]*"Comments":[^}]*}[^\]]*\])',
     r'(\[{[^}]*"Title":[^}]*"Rating":[^}]*}[^\]]*\])',
@@ -288,7 +282,10 @@ def _is_review_list(value) -> bool:
 
 
 def find_review_list(document) -> list | None:
-    """The first review list in a JSON tree: known keys, then known sections, then all."""
+    """The first review list in a JSON tree: known keys, then known sections, then all.
+
+    Each node is visited once, so the search is linear in the tree.
+    """
     waiting = [document]
     while waiting:
         node = waiting.pop()
@@ -300,37 +297,44 @@ def find_review_list(document) -> list | None:
             named = next((node[k] for k in LIST_KEYS if _is_review_list(node.get(k))), None)
             if named is not None:
                 return named
-            sections = [node[k] for k in SECTION_KEYS if isinstance(node.get(k), dict)]
-            waiting.extend(reversed(sections + list(node.values())))
+            first = [k for k in SECTION_KEYS if isinstance(node.get(k), dict)]
+            rest = [v for k, v in node.items() if k not in first]
+            waiting.extend(reversed([node[k] for k in first] + rest))
     return None
 
 
-def _review_records(html: str) -> list[str]:
+def _review_records(scripts: list[str]) -> list[str]:
+    """The records of the first review list in a page's scripts.
+
+    Documents that are no JSON, or nested beyond the reader's depth, are passed over.
+    """
     for pattern in LIST_PATTERNS:
-        for match in re.finditer(pattern, html, re.DOTALL):
-            try:
-                found = find_review_list(json.loads(match.group(1)))
-            except ValueError:
-                continue
-            if found:
-                return [json.dumps(r, ensure_ascii=False) for r in found if isinstance(r, dict)]
+        for script in scripts:
+            for match in re.finditer(pattern, script, re.DOTALL):
+                try:
+                    found = find_review_list(json.loads(match.group(1)))
+                    if found:
+                        return [json.dumps(r, ensure_ascii=False) for r in found if isinstance(r, dict)]
+                except (ValueError, RecursionError):
+                    continue
     return []
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def _records(pages: pa.Array) -> pa.Array:
-    rows = [None if h is None else _review_records(h) for h in pages.to_pylist()]
+    rows = [None if s is None else _review_records([x for x in s if x]) for s in pages.to_pylist()]
     return pa.array(rows, type=pa.list_(pa.string()))
 
 
-def embedded_json_reviews(pages: DataFrame) -> DataFrame:
-    """Reviews from JSON documents in the page source, standardised.
+def embedded_json_reviews(parsed: DataFrame) -> DataFrame:
+    """Reviews from JSON documents in the pages' scripts, standardised.
 
     Only the search for a review list inside a JSON tree of unknown shape runs in
     Python; the records come back as JSON text and are typed by expressions.
     """
-    keep = page_ops.other_columns(pages)
-    found = pages.select(*keep, _records("html").alias("records"))
+    keep = page_ops.other_columns(parsed)
+    scripts = F.transform(select_all(F.col("elements"), "script"), lambda e: e["script"])
+    found = parsed.select(*keep, scripts.alias("scripts")).select(*keep, _records("scripts").alias("records"))
     return _exploded(found, keep, record_array(F.col("records")))
 
 
@@ -349,37 +353,73 @@ def _uniform(reviews: Column, date) -> Column:
     )
 
 
+def _chosen(html: Column, elements: Column, texts: Column, max_blocks: int | None) -> Column:
+    """``struct<method, reviews>`` by the first strategy that finds any, NULL if none does.
+
+    The strategies are chained, so a later one runs only where the earlier ones failed.
+    """
+
+    def or_else(name: str, reviews: Column, other: Column | None) -> Column:
+        def pick(found: Column) -> Column:
+            hit = F.when(
+                F.size(found) > 0, F.struct(F.lit(name).alias("method"), found.alias("reviews"))
+            )
+            return hit if other is None else hit.otherwise(other)
+
+        return let(reviews, pick)
+
+    blocks = page_ops.review_array(
+        page_ops.distinct_blocks(page_ops.block_array(elements, texts)), max_blocks
+    )
+    in_blocks = _uniform(blocks, lambda r: r["date"].cast("string"))
+    embedded = _uniform(embedded_array(html), lambda r: F.lit(None).cast("string"))
+    json_ld = _uniform(jsonld_array(elements), lambda r: r["date"].cast("string"))
+    return or_else(
+        "json_ld", json_ld, or_else("embedded", embedded, or_else("blocks", in_blocks, None))
+    )
+
+
 def reviews_from_pages(
-    pages: DataFrame, max_blocks: int = 50, max_reviews: int | None = 100
+    pages: DataFrame, max_blocks: int | None = None, max_reviews: int | None = None
 ) -> DataFrame:
     """The reviews of each page by the best strategy that finds any.
 
     JSON-LD is preferred to embedded blobs, those to text blocks. ``method`` names the
-    strategy and ``total`` the number of reviews returned for the page. Precedence,
-    dedup and caps work on the arrays of one page row, so the job has no shuffle and a
-    URL crawled many times is no hot key.
+    strategy and ``total`` the number of reviews found on the page; ``max_blocks`` and
+    ``max_reviews`` limit what is read and returned, by default nothing is left out.
+    Everything works on the arrays of one page row, so the job has no shuffle and a URL
+    crawled many times is no hot key.
     """
     parsed = page_ops.parse_pages(pages, keep_html=True)
-    keep = [c for c in page_ops.other_columns(parsed)]
+    keep = page_ops.other_columns(parsed)
+    best = _chosen(F.col("html"), F.col("elements"), F.col("texts"), max_blocks)
+    found = parsed.select(*keep, best.alias("_best")).filter("_best is not null")
+    reviews = F.col("_best.reviews")
+    rows = reviews if max_reviews is None else F.slice(reviews, 1, max_reviews)
+    return found.select(
+        *keep, F.col("_best.method").alias("method"), F.size(reviews).alias("total"),
+        F.posexplode(rows).alias("_p", "_r"),
+    ).select(*keep, "method", "total", (F.col("_p") + 1).alias("pos"), "_r.*")
+
+
+def pages_to_records(
+    pages: DataFrame, shop_name: str | None = None, max_blocks: int | None = None
+) -> DataFrame:
+    """One record for every page: product, reviews, their number and how they were found.
+
+    A page without reviews has an empty array, 0 and no method; one without a product has
+    NULL fields. No shuffle.
+    """
+    parsed = page_ops.parse_pages(pages, keep_html=True)
+    keep = page_ops.other_columns(parsed)
     elements, texts = F.col("elements"), F.col("texts")
-    blocks = page_ops.review_array(
-        page_ops.distinct_blocks(page_ops.block_array(elements, texts)), max_blocks
-    )
+    best = _chosen(F.col("html"), elements, texts, max_blocks)
     found = parsed.select(
-        *keep,
-        _uniform(jsonld_array(elements), lambda r: r["date"].cast("string")).alias("json_ld"),
-        _uniform(embedded_array(F.col("html")), lambda r: F.lit(None).cast("string")).alias("embedded"),
-        _uniform(blocks, lambda r: r["date"]).alias("blocks"),
+        *keep, page_ops.full_product(elements, texts, shop_name).alias("product"), best.alias("_best")
+    )
+    none = F.array().cast(found.schema["_best"].dataType["reviews"].dataType)
+    reviews = F.coalesce("_best.reviews", none)
+    return found.select(
+        *keep, "product", reviews.alias("reviews"), F.size(reviews).alias("total"),
+        F.col("_best.method").alias("method"),
     )
-    method = F.lit(None).cast("string")
-    reviews = F.lit(None).cast(found.schema["blocks"].dataType)
-    for name in ("blocks", "embedded", "json_ld"):
-        some = F.size(name) > 0
-        method = F.when(some, F.lit(name)).otherwise(method)
-        reviews = F.when(some, F.col(name)).otherwise(reviews)
-    chosen = found.select(*keep, method.alias("method"), reviews.alias("reviews"))
-    if max_reviews is not None:
-        chosen = chosen.withColumn("reviews", F.slice("reviews", 1, max_reviews))
-    return chosen.select(
-        *keep, "method", F.size("reviews").alias("total"), F.posexplode("reviews").alias("_p", "_r")
-    ).select(*keep, "method", "total", (F.col("_p") + 1).alias("pos"), "_r.*")

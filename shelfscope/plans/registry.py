@@ -298,7 +298,7 @@ def _valid_urls(spark: SparkSession, sf: str) -> DataFrame:
     url = F.col("url")
     target = _case(
         "page_id", 5,
-        (1, F.substring(url, 8, 10_000)),
+        (1, F.expr("substring(url, 8)")),
         (2, F.concat(F.lit("mailto:"), url)),
         (4, F.replace(url, F.lit("://"), F.lit(":/"))),
         default=url,
@@ -416,6 +416,18 @@ def _parse_blocks(parsed: DataFrame) -> DataFrame:
     return pages.parse_review_text(blocks)
 
 
+def _records(shop: DataFrame) -> DataFrame:
+    """Page records with the reviews as text, to compare them anywhere."""
+    line = lambda r: F.concat_ws(
+        "|", r["reviewer_name"], r["rating"].cast("int"), r["title"], r["body"], r["date"], r["verified_purchase"]
+    )
+    rows = review_json.pages_to_records(shop)
+    return rows.select(
+        "page_id", "product.title", "product.brand", "product.price", "method", "total",
+        F.array_join(F.transform("reviews", line), ";").alias("reviews"),
+    )
+
+
 PAGES: dict[str, Query] = {
     "page_titles": _page_titles,
     "extract_products": _on_shop_pages(pages.extract_products),
@@ -423,10 +435,11 @@ PAGES: dict[str, Query] = {
     "extract_reviews": _on_shop_pages(pages.extract_reviews),
     "jsonld_reviews": _on_shop_pages(review_json.jsonld_reviews),
     "embedded_reviews": _on_shop_pages(review_json.embedded_reviews, parse=False),
-    "embedded_json_reviews": _on_shop_pages(review_json.embedded_json_reviews, parse=False),
+    "embedded_json_reviews": _on_shop_pages(review_json.embedded_json_reviews),
     "standardize_reviews": _on_view("review_records", review_json.standardize_reviews),
     "parse_review_text": _on_shop_pages(_parse_blocks),
     "reviews_from_pages": _on_shop_pages(review_json.reviews_from_pages, parse=False),
+    "pages_to_records": _on_shop_pages(_records, parse=False),
     "dedup_blocks": _document_lines,
     "cap_reviews": _on_view(
         "reviews",

@@ -1,6 +1,8 @@
 """Page extraction on hand-written HTML."""
 
+import itertools
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,12 +121,24 @@ def test_embedded_blobs(spark):
     ]
 
 
+def test_embedded_blobs_stay_apart(spark):
+    """A field is never taken from a neighbour, whatever the order of the fields."""
+    one = ['"Rating": %d', '"NickName": "n%d"', '"Comments": "c%d"']
+    html = ""
+    for k, order in enumerate(itertools.permutations(range(3)), 1):
+        html += "{" + ",".join(one[i] % k for i in order) + "}, {p{margin:0}} {\"Rating\": 9}"
+    got = review_json.embedded_reviews(page(spark, html)).orderBy("pos").collect()
+    assert [(r["reviewer_name"], r["rating"], r["body"]) for r in got] == [(f"n{k}", k, f"c{k}") for k in range(1, 7)]
+
+
 def test_embedded_documents(spark):
     record = {"NickName": "n", "Rating": 0, "rating": "5", "Comments": "c", "Pros": "p", "TotalVoting": 2,
               "InDate": "10/28/2022", "HasPurchased": 1}
     nested = "window.__initialState__ = " + json.dumps({"x": {"y": [{"list": [record]}]}}) + ";"
     direct = '"ReviewList": ' + json.dumps([record, {"Title": "0"}, {"Title": 0}])
-    got = review_json.embedded_json_reviews(page(spark, nested, direct, "{}")).orderBy("url", "pos").collect()
+    htmls = [f"<script>{nested}</script>", f"<script>var x;</script><script>{direct}</script>", "{}", f"<p>{direct}</p>"]
+    parsed = pages.parse_pages(page(spark, *htmls))
+    got = review_json.embedded_json_reviews(parsed).orderBy("url", "pos").collect()
     assert [(r["url"], r["pos"], r["title"], r["body"]) for r in got] == [
         ("u0", 1, None, "c\n\nPros: p"), ("u1", 1, None, "c\n\nPros: p"), ("u1", 2, "0", None),
     ]
@@ -140,6 +154,18 @@ def test_review_list_search_order():
     assert review_json.find_review_list({"a": [1, {"b": "c"}]}) is None
 
 
+@pytest.mark.parametrize("depth", [200, 100_000])
+def test_deep_documents_end_quickly(depth):
+    start = time.perf_counter()
+    tree = {"Rating": 1}
+    for _ in range(depth):
+        tree = {"data": tree}
+    assert review_json.find_review_list(tree) is None
+    text = '{"data":' * depth + '"x"' + "}" * depth
+    assert review_json._review_records([f"window.__initialState__ = {text};"]) == []
+    assert time.perf_counter() - start < 10
+
+
 def test_markup_reviews(spark):
     html = """<div class="review-item product-vs-review"><p>skip</p></div>
     <div class="review-item"><strong>Ann Lee</strong><span class="stars">4 eggs</span><h3>Fine</h3>
@@ -159,14 +185,17 @@ def test_plain_text_reviews(spark):
             (2, "too short"),
             (3, "Just one single line of content here"),
             (4, "9 stars rating\nverified"),
+            (5, "A line that is long enough\nAnother line of content 2023-01-05"),
+            (6, "A line that is long enough\nAnother line of content\nJanuary  5, 2023"),
         ],
         "i int, text string",
     )
     got = {r["i"]: r for r in pages.parse_review_text(blocks).collect()}
-    assert set(got) == {1, 3}
+    assert set(got) == {1, 3, 5, 6}
     assert got[1]["reviewer_name"] == "Ann" and got[1]["rating"] == 4
     assert got[1]["title"] == "Great little box" and got[1]["body"] == "It has been running for weeks"
-    assert got[1]["date"] == "12/25/2023" and got[1]["verified_purchase"]
+    assert str(got[1]["date"]) == "2023-12-25" and got[1]["verified_purchase"]
+    assert str(got[5]["date"]) == str(got[6]["date"]) == "2023-01-05"
     assert got[3]["title"] == "" and got[3]["reviewer_name"] == "Anonymous"
 
 
@@ -180,10 +209,31 @@ def test_best_strategy_and_caps(spark):
     )
     got = review_json.reviews_from_pages(df, max_reviews=3).orderBy("url", "pos").collect()
     assert [(r["url"], r["method"], r["pos"], r["total"]) for r in got] == [
-        ("u0", "json_ld", 1, 3), ("u0", "json_ld", 2, 3), ("u0", "json_ld", 3, 3),
+        ("u0", "json_ld", 1, 5), ("u0", "json_ld", 2, 5), ("u0", "json_ld", 3, 5),
         ("u1", "embedded", 1, 1), ("u2", "blocks", 1, 2), ("u2", "blocks", 2, 2),
     ]
-    assert review_json.reviews_from_pages(df, max_reviews=None).filter("url = 'u0'").count() == 5
+    assert review_json.reviews_from_pages(df).filter("url = 'u0'").count() == 5
+
+
+def test_many_reviews_and_long_equal_starts_are_all_kept(spark):
+    review = {"@type": "Review", "author": "A", "headline": "T", "reviewBody": "B"}
+    block = '<div class="comments">By Ann Lee\n' + "The same start of many words. " * 20 + "\nEnding number %d here</div>"
+    df = page(spark, ld([dict(review, headline=f"T{i}") for i in range(150)]), "".join(block % i for i in range(120)))
+    got = review_json.reviews_from_pages(df).groupBy("url", "total").count().orderBy("url").collect()
+    assert [tuple(r) for r in got] == [("u0", 150, 150), ("u1", 120, 120)]
+    lines = spark.createDataFrame([("u", i, "x" * 300 + str(i % 2)) for i in range(6)], "url string, pos int, text string")
+    assert sorted(r["pos"] for r in pages.dedup_blocks(lines).collect()) == [0, 1]
+    assert [r["pos"] for r in pages.dedup_blocks(lines, prefix=200).collect()] == [0]
+
+
+def test_a_record_for_every_page(spark):
+    review = {"@type": "Review", "author": "A", "headline": "T", "reviewBody": "B"}
+    df = page(spark, "<h1>Box</h1>" + ld([review] * 2), "<h1>Lone</h1>", "", None)
+    got = review_json.pages_to_records(df).orderBy("url").collect()
+    assert [(r["url"], r["product"]["title"], r["total"], len(r["reviews"]), r["method"]) for r in got[:2]] == [
+        ("u0", "Box", 2, 2, "json_ld"), ("u1", "Lone", 0, 0, None),
+    ]
+    assert [(r["total"], r["reviews"], r["method"]) for r in got[2:]] == [(0, [], None)] * 2
 
 
 def test_extraction_does_not_shuffle(spark, sf_dir):
