@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shelfscope.plans.analysis import comprehensive_analysis  # noqa: E402
 from shelfscope.plans.registry import QUERIES  # noqa: E402
-from shelfscope.session import build_session  # noqa: E402
+from shelfscope.session import build_session, use_local_folder  # noqa: E402
 from shelfscope.views import view  # noqa: E402
 
 HEADLINE = (
@@ -26,7 +26,7 @@ HEADLINE = (
     "validate_dataset", "dataset_info", "price_stats", "market_share", "load_catalog",
     "merge_products", "new_reviews", "products_summary", "products_nested", "store_stats",
     "method_performance", "clean_text", "parse_rating", "parse_date",
-    "extract_products", "reviews_from_pages",
+    "extract_products", "reviews_from_pages", "standardize_reviews",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
@@ -45,6 +45,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session("bench", f"local[{cpus}]", cpus)
+    use_local_folder(spark)
     jobs = {"comprehensive_analysis": _full_analysis}
     for name in HEADLINE:
         jobs[name] = lambda s, d, q=QUERIES[name]: _run(q(s, d))

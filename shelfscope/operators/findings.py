@@ -116,7 +116,7 @@ def _finding_list() -> Column:
         )
         .otherwise(_text("Dataset average rating is %s", fixed(mean, 2))),
     ]
-    return F.slice(F.array_compact(F.array(*sentences)), 1, 6)
+    return F.array_compact(F.array(*sentences))
 
 
 def key_findings(hist: DataFrame) -> DataFrame:
@@ -127,8 +127,8 @@ def key_findings(hist: DataFrame) -> DataFrame:
     )
 
 
-def _recommendation_row(hist: DataFrame) -> DataFrame:
-    """One row with the ordered list of at most five recommendations."""
+def _recommendation_row(hist: DataFrame, most: int | None = None) -> DataFrame:
+    """One row with the ordered list of recommendations, the first ``most`` if given."""
     mean = overall_stats(hist).select(F.col("overall_average_rating").alias("m"))
     table = category_table(hist).crossJoin(F.broadcast(mean))
     order = F.struct(-F.col("mean"), -F.col("product_count"), F.col("category"))
@@ -200,15 +200,16 @@ def _recommendation_row(hist: DataFrame) -> DataFrame:
         outlier(0),
         outlier(1),
     ]
-    return picks.crossJoin(F.broadcast(outliers)).select(
-        F.slice(F.array_compact(F.array(*sentences)), 1, 5).alias("recommendations")
-    )
+    found = F.array_compact(F.array(*sentences))
+    if most is not None:
+        found = F.slice(found, 1, most)
+    return picks.crossJoin(F.broadcast(outliers)).select(found.alias("recommendations"))
 
 
-def recommendations(hist: DataFrame) -> DataFrame:
-    """``position, recommendation``: at most five sentences."""
+def recommendations(hist: DataFrame, most: int | None = None) -> DataFrame:
+    """``position, recommendation``: all that apply, or the first ``most``."""
     return (
-        _recommendation_row(hist)
+        _recommendation_row(hist, most)
         .select(F.posexplode("recommendations").alias("p", "recommendation"))
         .select((F.col("p") + 1).alias("position"), "recommendation")
     )
@@ -360,6 +361,7 @@ def category_report(
     hist: DataFrame,
     analysis_date: str,
     title: str = "PRODUCT CATALOGUE - CATEGORY ANALYSIS REPORT",
+    most: int | None = None,
 ) -> DataFrame:
     """``section, line, text``: the full category report, to be written in that order.
 
@@ -381,7 +383,7 @@ def category_report(
     )
     facts = (
         _facts(hist)
-        .crossJoin(F.broadcast(_recommendation_row(hist)))
+        .crossJoin(F.broadcast(_recommendation_row(hist, most)))
         .crossJoin(F.broadcast(top))
     )
 
@@ -451,7 +453,7 @@ def category_report(
         "line",
         F.concat_ws(
             " ",
-            cell(F.substring("category", 1, 19), 20),
+            cell(F.col("category"), 20),
             cell(fixed(F.col("product_count"), 0), 8),
             cell(fixed(F.col("avg_rating"), 2), 6),
             cell(fixed(F.col("rating_stddev"), 3), 8),
@@ -462,5 +464,5 @@ def category_report(
     )
     tail = [text("", "=" * 60, "End of Report", "=" * 60)]
     return (
-        _lines(facts, head, 0).unionByName(body).unionByName(_lines(facts.limit(1), tail, 2))
+        _lines(facts, head, 0).unionByName(body).unionByName(_lines(hist.sparkSession.range(1), tail, 2))
     )

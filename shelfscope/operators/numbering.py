@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfscope.session import durable
+from shelfscope.session import stored
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition above, position below
 
@@ -20,7 +20,8 @@ def number_rows(
     """Add ``id_col`` = 1, 2, 3 ... in the given order (any order when none is given).
 
     The rows are range-partitioned and sorted, each notes its partition and position,
-    and the result is checkpointed so that both stay fixed. Only one row per partition
+    and the result is written as Parquet so that both stay fixed. The sizes are counted from
+    that one column. Only one row per partition
     (its size) is then ranked to get each partition's offset; that table has as many
     rows as there are partitions, so broadcasting it is safe. Without an order there is
     no shuffle at all.
@@ -28,7 +29,7 @@ def number_rows(
     ``after`` is a one-row, one-column frame: numbering continues behind its value.
     """
     ordered = df.orderBy(*order_by) if order_by else df
-    placed = durable(ordered.withColumn("_slot", F.monotonically_increasing_id()))
+    placed = stored(ordered.withColumn("_slot", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_slot", _SLOT_BITS).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ def price_stats(products: DataFrame, price: str = "discounted_price") -> DataFra
     holding each middle rank, and only that bin is ranked value by value. No window
     ever covers more than 10**5 rows.
     """
-    cents = (F.col(price) * 100).cast("long").alias("cents")
+    cents = (F.col(price).cast("decimal(10,2)") * 100).cast("long").alias("cents")
     hist = (
         products.filter(F.col(price).isNotNull())
         .groupBy("category", cents)

@@ -66,15 +66,14 @@ def append_metrics(store: DataFrame, batch: DataFrame, as_of: dt.datetime, order
     """The batch with defaults filled and numbered behind the largest stored id."""
     filled = batch.select(
         F.col(order).alias("_order"),
-        F.col("product_id").cast("int").alias("product_id"),
-        F.coalesce(F.col("total_reviews").cast("int"), F.lit(0)).alias("total_reviews"),
+        F.col("product_id").cast("bigint").alias("product_id"),
+        F.coalesce(F.col("total_reviews").cast("bigint"), F.lit(0).cast("bigint")).alias("total_reviews"),
         F.coalesce("scraping_method", F.lit("unknown")).alias("scraping_method"),
         F.coalesce(F.col("scraping_time").cast("decimal(10,3)"), F.lit(0).cast("decimal(10,3)")).alias("scraping_time"),
         F.coalesce("timestamp", F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")).alias("timestamp"),
     )
     top = store.agg(F.max("id").alias("top"))
-    numbered = number_rows(filled, ["_order"], after=top)
-    return numbered.drop("_order").withColumn("id", F.col("id").cast("int"))
+    return number_rows(filled, ["_order"], after=top).drop("_order")
 
 
 def append_sessions(store: DataFrame, batch: DataFrame, as_of: dt.datetime, order: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfscope.functions.dates import parse_stored_date
 from shelfscope.functions.numeric import round_half_away
@@ -191,17 +191,18 @@ def reviews_by_product(reviews: DataFrame, product_id: int) -> DataFrame:
 
 
 def product_with_reviews(
-    products: DataFrame, reviews: DataFrame, product_id: int, limit: int = 50
+    products: DataFrame, reviews: DataFrame, product_id: int, limit: int | None = None
 ) -> DataFrame:
-    """A product beside its latest stored reviews, one row per review.
+    """A product beside its stored reviews, one row per review; with ``limit``, beside the
+    latest ones only.
 
     Without reviews the product still appears, with NULL review fields.
     """
+    own = reviews.filter(F.col("product_id") == product_id)
+    if limit is not None:
+        own = own.orderBy(F.desc_nulls_last("created_at"), "id").limit(limit)
     page = (
-        reviews.filter(F.col("product_id") == product_id)
-        .orderBy(F.desc_nulls_last("created_at"), "id")
-        .limit(limit)
-        .select("product_id", *[F.col(c).alias(f"review_{c.removeprefix('review_')}") for c in REVIEW_FIELDS])
+        own.select("product_id", *[F.col(c).alias(f"review_{c.removeprefix('review_')}") for c in REVIEW_FIELDS])
     )
     product = product_by_id(products, product_id)
     return product.join(page, product["id"] == page["product_id"], "left").drop("product_id")
@@ -244,24 +245,34 @@ def review_counts(products: DataFrame, reviews: DataFrame) -> DataFrame:
 def products_nested(
     products: DataFrame, reviews: DataFrame, per_document: int = 10_000
 ) -> DataFrame:
-    """Products with their reviews as an array of structs.
+    """Products with their reviews as arrays of structs, one row per (product, part).
 
-    A product with more than ``per_document`` reviews is spread over several documents
-    (``part`` 0, 1, ...), each holding about that many: nothing is cut off and no task
-    builds an unbounded array. Only products over the limit appear in the side that is
-    joined back to the reviews; if it is not small, AQE splits the hot keys.
+    Parts are consecutive ranges in review order (day, then id): reviews are counted per
+    product, day and range of ``per_document`` ids, and a running sum of these counts
+    names the part, so no window covers the reviews of a product. A part has fewer than
+    twice ``per_document`` reviews; nothing is cut off. A product without reviews has
+    part 0 with an empty array.
     """
-    parts = (
-        reviews.groupBy("product_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > per_document)
-        .select("product_id", F.ceil(F.col("n") / per_document).alias("parts"))
+    day = F.to_date("review_date").alias("day")
+    block = F.floor(F.col("id") / per_document).alias("block")
+    rows = reviews.select("id", "product_id", *REVIEW_FIELDS, day, block)
+    unit = ["product_id", "day", "block"]
+    counts = rows.groupBy(*unit).agg(F.count("*").alias("n"))
+    earlier = (
+        Window.partitionBy("product_id").orderBy("day", "block")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    parts = counts.select(
+        *[F.col(c).alias(f"_{c}") for c in unit],
+        F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / per_document).cast("int").alias("part"),
+    )
+    same = (
+        (F.col("product_id") == F.col("_product_id"))
+        & F.col("day").eqNullSafe(F.col("_day"))
+        & (F.col("block") == F.col("_block"))
     )
-    spread = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("bigint")
     docs = (
-        reviews.select("id", "product_id", *REVIEW_FIELDS)
-        .join(parts, "product_id", "left")
-        .withColumn("part", F.coalesce(F.pmod(spread, F.col("parts")), F.lit(0)).cast("int"))
+        rows.join(parts, same)
         .groupBy("product_id", "part")
         .agg(
             F.sort_array(
@@ -282,6 +293,14 @@ def products_nested(
     )
 
 
+def store_overview(products: DataFrame, reviews: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Store sizes and rates beside every product's summary, as one frame: a row per
+    product, the one-row totals repeated."""
+    totals = store_stats(products, reviews, sessions)
+    names = [F.col(c).alias(f"store_{c}") for c in totals.columns]
+    return products_summary(products, reviews).join(F.broadcast(totals.select(*names)))
+
+
 def store_stats(products: DataFrame, reviews: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row of store sizes, the mean review rating and the crawl success rate.
 
@@ -309,16 +328,17 @@ def search_products(
     max_price: float | None = None,
     min_rating: float | None = None,
 ) -> DataFrame:
-    """Products that meet every criterion given."""
+    """Products (of the store or of the catalogue) that meet every criterion given."""
+    price = "price" if "price" in products.columns else "discounted_price"
     out = products
     if text is not None:
         out = out.filter(F.lower("title").contains(text.lower()))
     if category is not None:
         out = out.filter(F.col("category") == category)
     if min_price is not None:
-        out = out.filter(F.col("price") >= min_price)
+        out = out.filter(F.col(price) >= min_price)
     if max_price is not None:
-        out = out.filter(F.col("price") <= max_price)
+        out = out.filter(F.col(price) <= max_price)
     if min_rating is not None:
         out = out.filter(F.col("rating") >= min_rating)
     return out

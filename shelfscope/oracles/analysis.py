@@ -201,7 +201,7 @@ select category, count(*) as product_count, round(avg(discounted_price), 2) as a
   cast(max(discounted_price) - min(discounted_price) as double) as price_range
 from amazon_products where discounted_price is not null group by category""",
     "premium_categories": _TABLE + """
-select category, product_count, avg_rating, high_rating_percentage from cats where high_rating_percentage > 80""",
+select category, product_count, avg_rating, high_rating_percentage from cats where high_rating_percentage > 50""",
     "custom_sql": ctes("amazon_products") + """
 select about_product, count(*) as products, cast(max(actual_price) as double) as top_price
 from amazon_products where rating_count > 10 group by about_product""",
@@ -242,7 +242,7 @@ head as (
 select 0 as section, row_number() over (order by k, i) - 1 as line, t as text from head
 union all
 select 1, row_number() over (order by avg_rating desc, mean desc, product_count desc, category),
-  concat(format('{:<20} ', substr(category, 1, 19)), format('{:<8} ', format('{:,}', product_count)), format('{:<6.2f} ', avg_rating),
+  concat(format('{:<20} ', category), format('{:<8} ', format('{:,}', product_count)), format('{:<6.2f} ', avg_rating),
     format('{:<8.3f} ', rating_stddev), format('{:<6.1f} ', min_rating), format('{:<6.1f} ', max_rating), format('{:<8.1f}', high_rating_percentage)) from cats
 union all
 select 2, unnest(range(4)), unnest(['', repeat('=', 60), 'End of Report', repeat('=', 60)])""",

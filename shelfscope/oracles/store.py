@@ -64,7 +64,7 @@ from reviews where product_id = 17 order by created_at desc, id limit 10 offset
     "product_with_reviews": ctes("products", "reviews") + """
 select p.*, r.reviewer_name as review_reviewer_name, r.rating as review_rating, r.title as review_title,
   r.body as review_body, r.review_date as review_date, r.verified_purchase as review_verified_purchase
-from products p left join (select * from reviews where product_id = 17 order by created_at desc, id limit 50) r on p.id = r.product_id
+from products p left join (select * from reviews where product_id = 17 order by created_at desc, id) r on p.id = r.product_id
 where p.id = 17""",
     "products_summary": ctes("products", "reviews") + """
 select p.*, count(r.id) as actual_review_count, avg(r.rating) as avg_review_rating
@@ -77,6 +77,54 @@ docs as (select product_id, list({'reviewer_name': reviewer_name, 'rating': rati
   from reviews group by product_id)
 select p.*, 0 as part, coalesce(cast(to_json(d.rs) as varchar), '[]') as reviews
 from products p left join docs d on p.id = d.product_id""",
+    "products_nested_parts": ctes("products", "reviews") + """,
+units as (select product_id, review_date::date as day, floor(id / 7) as block, count(*) as n from reviews group by all),
+parts as (select product_id, day, block, cast(floor(coalesce(sum(n) over (partition by product_id order by day, block
+    rows between unbounded preceding and 1 preceding), 0) / 7) as int) as part from units),
+docs as (select r.product_id, part, string_agg(concat_ws(' ', title, body), ';' order by review_date, id) as rs
+  from reviews r join parts p on r.product_id = p.product_id and r.review_date::date = p.day and floor(r.id / 7) = p.block group by all)
+select p.id, coalesce(part, 0) as part, coalesce(rs, '') as reviews from products p left join docs d on p.id = d.product_id""",
+    "store_overview": ctes("products", "reviews", "scraping_sessions") + """
+select p.*, count(r.id) as actual_review_count, avg(r.rating) as avg_review_rating,
+  (select count(*) from products) as store_total_products, (select count(*) from reviews) as store_total_reviews,
+  (select count(*) from scraping_sessions) as store_total_sessions,
+  (select round(avg(rating), 2) from reviews) as store_average_review_rating,
+  (select round(sum(case when success then 1 else 0 end) * 100.0e0 / count(*), 2) from scraping_sessions) as store_scraping_success_rate
+from products p left join reviews r on p.id = r.product_id group by all""",
+    "products_after": ctes("products") + """
+select * from products where created_at < timestamp '2024-06-01' or (created_at = timestamp '2024-06-01' and id > 40)
+order by created_at desc, id limit 30""",
+    "search_catalogue": ctes("amazon_products") + """
+select review_id, title, cast(discounted_price as double) as discounted_price, cast(rating as double) as rating from amazon_products
+where contains(lower(title), 'brand#1') and discounted_price <= 30000 and rating >= 2""",
+    "replace_products": ctes("products") + """,
+held as (select id, title, brand, try_cast(price as decimal(10,2)) as price, try_cast(rating as decimal(3,2)) as rating, review_count,
+  description, case when regexp_matches(title, '(?i)cpu|processor') then 'CPU'
+    when regexp_matches(title, '(?i)gpu|graphics') then 'GPU' when regexp_matches(title, '(?i)motherboard|mobo') then 'Motherboard'
+    when regexp_matches(title, '(?i)memory|ram') then 'Memory' when regexp_matches(title, '(?i)storage|ssd|hdd') then 'Storage'
+    else 'Other' end as category, url, scraped_at, created_at from products),
+newer as (select * replace (id * 2 as id, concat('new ', title) as title) from held where review_count > 25),
+both_ as (select * from held where id not in (select id from newer) union all select * from newer)
+select * replace (cast(price as double) as price, cast(rating as double) as rating) from both_""",
+    "load_rejects": ctes("amazon_products") + """
+select count(*) as read, count(*) filter (where rating_count = 13) as rejected,
+  count(*) filter (where rating_count <> 13 and rating > 0 and category is not null) as kept from amazon_products""",
+    "load_checked": ctes("amazon_products") + """,
+t as (select title, category, case when rating_count <> 13 then rating end as rating, rating_count from amazon_products)
+select count(*) as dataset_size, count(distinct coalesce(category, 'Unknown')) as unique_categories,
+  count(*) filter (where rating > 0) as valid_ratings, cast(min(rating) as double) as min_rating, cast(max(rating) as double) as max_rating,
+  count(*) filter (where category is null or category = '') as missing_categories, count(distinct title) as unique_products,
+  round(count(*) filter (where rating > 0) * 100.0e0 / count(*), 2) as rating_completeness,
+  count(*) filter (where rating_count <> 13 and rating > 0 and category is not null) as loaded,
+  count(*) filter (where rating_count <> 13 and rating > 0 and category is not null) as last_id,
+  count(*) filter (where rating_count <> 13 and rating > 0 and category is not null) as ids from t""",
+    "analytics_summary": ctes("scraping_analytics") + """,
+m as (select * replace (case when scraping_method <> 'error' then scraping_time end as scraping_time) from scraping_analytics)
+select 'all' as block, null as key, count(*) as sessions, cast(sum(total_reviews) as bigint) as reviews,
+  coalesce(round(avg(scraping_time), 6), 0) as mean_time from m
+union all select 'method', scraping_method, count(*), cast(sum(total_reviews) as bigint), coalesce(round(avg(scraping_time), 6), 0) from m group by 2
+union all select 'day', strftime(timestamp, '%Y-%m-%d'), count(*), cast(sum(total_reviews) as bigint), 0 from m
+  where timestamp >= date '2024-01-31' - interval 7 days group by 2""",
     "store_stats": ctes("products", "reviews", "scraping_sessions") + """
 select (select count(*) from products) as total_products, (select count(*) from reviews) as total_reviews,
   (select count(*) from scraping_sessions) as total_sessions,
@@ -105,8 +153,8 @@ select count(*) as total_sessions, round(coalesce(avg(scraping_time), 0), 6) as
   cast(coalesce(min(scraping_time), 0) as double) as min_time, cast(coalesce(max(scraping_time), 0) as double) as max_time,
   cast(coalesce(sum(total_reviews), 0) as bigint) as total_reviews from scraping_analytics""",
     "append_metrics": ctes("scraping_analytics") + """
-select cast((select max(id) from scraping_analytics) + row_number() over (order by o_orderkey) as int) as id,
-  cast(o_custkey as int) as product_id, case when o_orderstatus = 'P' then 0 else cast(o_custkey % 40 as int) end as total_reviews,
+select cast((select max(id) from scraping_analytics) + row_number() over (order by o_orderkey) as bigint) as id,
+  cast(o_custkey as bigint) as product_id, case when o_orderstatus = 'P' then 0 else cast(o_custkey % 40 as bigint) end as total_reviews,
   case when o_orderpriority = '5-LOW' then 'unknown' else o_orderpriority end as scraping_method,
   cast(cast(o_totalprice as decimal(10,3)) as double) as scraping_time, o_orderdate as timestamp from orders""",
     "append_sessions": ctes("scraping_sessions") + """
@@ -129,7 +177,7 @@ select title, category, cast(discounted_price as varchar) as discounted_price, c
   case when rating_count = 11 then null else img_link end as img_link,
   case when rating_count = 11 then null else product_link end as product_link from amazon_products""",
     "load_catalog": ctes("amazon_products") + """
-select cast(row_number() over (order by review_id) as int) as id, title, category, cast(discounted_price as double) as discounted_price,
+select row_number() over (order by review_id) as id, title, category, cast(discounted_price as double) as discounted_price,
   cast(actual_price as double) as actual_price, cast(discount_percentage as double) as discount_percentage,
   cast(rating as double) as rating, rating_count, about_product, user_id, user_name, review_id, review_title,
   review_content, img_link, product_link from amazon_products where rating > 0 and category is not null""",
@@ -140,9 +188,18 @@ select count(*) as read, count(*) filter (where rating_count = 13) as rejected,
 select count(*) as row_count, count(distinct category) as unique_categories, cast(min(rating) as double) as min_rating,
   cast(max(rating) as double) as max_rating, round(avg(rating), 2) as avg_rating
 from amazon_products where rating > 0 and category is not null""",
-    "table_info": ctes("amazon_products") + """
-select column_name, case column_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(column_type) end as column_type
-from (describe select * from amazon_products)""",
+    "table_info": ctes("products") + " " + " union all ".join(
+        f"select '{c}' as column_name, '{k}' as column_type, count({c}) as filled, count(distinct {c}) as distinct_values, "
+        f"min({v}) as least, max({v}) as greatest from products"
+        for c, k, v in (
+            ("id", "bigint", "cast(id as varchar)"), ("title", "string", "title"), ("brand", "string", "brand"),
+            ("price", "double", "cast(price as varchar)"), ("rating", "double", "cast(rating as varchar)"),
+            ("review_count", "int", "cast(review_count as varchar)"), ("description", "string", "description"),
+            ("url", "string", "url"), ("scraped_at", "timestamp_ntz", "cast(scraped_at as varchar)"),
+            ("created_at", "timestamp_ntz", "cast(created_at as varchar)"),
+            ("updated_at", "timestamp_ntz", "cast(updated_at as varchar)"),
+        )
+    ),
     "stream_daily_activity": ctes("scraping_analytics") + """
 select strftime(timestamp, '%Y-%m-%d') as date, count(*) as sessions, cast(sum(total_reviews) as bigint) as reviews
 from scraping_analytics group by 1""",

@@ -5,18 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, StringType
 
 from shelfscope.functions import dates, text, urls
 from shelfscope.functions.text import title_category
 from shelfscope.operators import (
-    category, findings, overall, pages, prices, quality, review_json, sessions, store,
+    category, findings, imports, overall, pages, prices, quality, review_json, sessions, store,
 )
 from shelfscope.operators.histogram import rating_histogram
 from shelfscope.plans import analysis
-from shelfscope.sources import catalog, sinks, sqlite, tables
-from shelfscope.session import work_path
+from shelfscope.session import durable, work_path
+from shelfscope.sources import catalog, sinks, tables
 from shelfscope.streaming import streams
 from shelfscope.views import stream_view, table, view
 
@@ -42,7 +42,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _on_hist(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: plain(fn(rating_histogram(view(spark, sf, "amazon_products"))))
+    """``fn`` over the histogram, which is made durable: the products are read once."""
+    return lambda spark, sf: plain(fn(durable(rating_histogram(view(spark, sf, "amazon_products")))))
 
 
 def _on_table(fn: Callable[[DataFrame], DataFrame]) -> Query:
@@ -80,17 +81,17 @@ ANALYSIS: dict[str, Query] = {
     "performance_extremes": _on_table(findings.performance_extremes),
     "analysis_summary": _on_table(findings.analysis_summary),
     "key_findings": _on_hist(findings.key_findings),
-    "recommendations": _on_hist(findings.recommendations),
+    "recommendations": _on_hist(lambda h: findings.recommendations(h, most=5)),
     "analysis_metadata": _on_hist(findings.analysis_metadata),
     "quick_summary": _on_hist(findings.quick_summary),
     "executive_summary": _on_hist(lambda h: findings.executive_summary(h, AS_OF)),
-    "category_report": _on_hist(lambda h: findings.category_report(h, AS_OF)),
+    "category_report": _on_hist(lambda h: findings.category_report(h, AS_OF, most=5)),
     "validate_dataset": _on_view("amazon_products", quality.validate_dataset),
     "dataset_info": _on_view("amazon_products", quality.dataset_info),
     "top_categories": _on_view("amazon_products", quality.top_categories),
     "market_share": _on_view("amazon_products", category.market_share),
     "price_stats": _on_view("amazon_products", prices.price_stats),
-    "premium_categories": _on_table(category.premium_categories),
+    "premium_categories": _on_table(lambda t: category.premium_categories(t, over=50.0)),
     "custom_sql": _custom_sql,
 }
 
@@ -141,6 +142,31 @@ def _load_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return plain(loaded)
 
 
+def _load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that the load itself reports."""
+    counts = Observation("load")
+    catalog.load_catalog(spark, _dirty_file(spark, sf), order_by=["review_id"], counts=counts)
+    return spark.createDataFrame([counts.get], "read bigint, rejected bigint, kept bigint")
+
+
+def _load_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The validation row beside the loaded rows."""
+    validation, loaded = analysis.load_checked(spark, _dirty_file(spark, sf), work_path(spark, "checked"))
+    totals = loaded.agg(
+        F.count("*").alias("loaded"), F.max("id").alias("last_id"), F.countDistinct("id").alias("ids")
+    )
+    return plain(validation.drop("recommendations").join(F.broadcast(totals)))
+
+
+def _replace_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products of the batch's parts replace stored ones by id, unseen ones are added."""
+    held = imports.import_products(view(spark, sf, "products"))
+    newer = held.filter(F.col("review_count") > 25).withColumns(
+        {"id": F.col("id") * 2, "title": F.concat(F.lit("new "), F.col("title"))}
+    )
+    return plain(imports.replace_by_id(held, newer))
+
+
 def _load_counts(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.load_counts(catalog.typed(catalog.csv_scan(spark, _dirty_file(spark, sf))))
 
@@ -163,9 +189,17 @@ SOURCES: dict[str, Query] = {
     "load_catalog": _load_catalog,
     "load_counts": _load_counts,
     "load_summary": _load_summary,
-    "import_products": _on_view("products", sqlite.import_products),
-    "import_reviews": _on_view("reviews", sqlite.import_reviews),
-    "table_info": lambda spark, sf: tables.table_info(view(spark, sf, "amazon_products")),
+    "load_rejects": _load_rejects,
+    "load_checked": _load_checked,
+    "import_products": _on_view("products", imports.import_products),
+    "import_reviews": _on_view("reviews", imports.import_reviews),
+    "replace_products": _replace_products,
+    "imported_category_stats": lambda spark, sf: plain(
+        category.category_stats(
+            durable(rating_histogram(imports.import_products(view(spark, sf, "products"))))
+        )
+    ),
+    "table_info": lambda spark, sf: tables.table_info(view(spark, sf, "products")),
     "export_results": _export_results,
 }
 
@@ -182,6 +216,13 @@ def _nested(products: DataFrame, reviews: DataFrame) -> DataFrame:
     return docs.withColumn("reviews", F.to_json("reviews", options))
 
 
+def _nested_parts(products: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Short parts, so that every product has several."""
+    docs = store.products_nested(products, reviews, per_document=7)
+    ids = F.transform("reviews", lambda r: F.concat_ws(" ", r["title"], r["body"]))
+    return docs.select("id", "part", F.array_join(ids, ";").alias("reviews"))
+
+
 def _delete(spark: SparkSession, sf: str) -> DataFrame:
     returned = table(spark, sf, "lineitem").filter(
         (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
@@ -197,6 +238,28 @@ def _search(products: DataFrame) -> DataFrame:
     )
 
 
+def _analytics_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The three blocks of the crawl summary as (block, key, sessions, reviews, mean time),
+    over metrics with gaps: NaN, infinite and missing means are 0."""
+    metrics = view(spark, sf, "scraping_analytics")
+    blocks = sessions.analytics_summary(
+        metrics.withColumn("scraping_time", F.when(F.col("scraping_method") != "error", F.col("scraping_time"))), _DAY
+    )
+    whole, methods, days = (blocks[k] for k in ("overall_stats", "method_performance", "recent_activity"))
+
+    def rows(block: str, df: DataFrame, key, sessions_, reviews, mean) -> DataFrame:
+        return df.select(
+            F.lit(block).alias("block"), key.cast("string").alias("key"), F.col(sessions_).alias("sessions"),
+            F.col(reviews).alias("reviews"), mean.cast("double").alias("mean_time"),
+        )
+
+    return (
+        rows("all", whole, F.lit(None), "total_sessions", "total_reviews", F.col("avg_time"))
+        .unionByName(rows("method", methods, F.col("scraping_method"), "total_scraping_sessions", "total_reviews_scraped", F.col("avg_scraping_time")))
+        .unionByName(rows("day", days, F.col("date"), "sessions", "reviews", F.lit(0.0)))
+    )
+
+
 def _append_metrics(spark: SparkSession, sf: str) -> DataFrame:
     batch = table(spark, sf, "orders").select(
         "o_orderkey",
@@ -250,6 +313,17 @@ STORE: dict[str, Query] = {
     "products_summary": _on_views(("products", "reviews"), store.products_summary),
     "review_counts": _on_views(("products", "reviews"), store.review_counts),
     "products_nested": _on_views(("products", "reviews"), _nested),
+    "products_nested_parts": _on_views(("products", "reviews"), _nested_parts),
+    "store_overview": _on_views(("products", "reviews", "scraping_sessions"), store.store_overview),
+    "products_after": _on_view(
+        "products", lambda p: store.products_after(p, dt.datetime(2024, 6, 1), 40, limit=30)
+    ),
+    "search_catalogue": _on_view(
+        "amazon_products",
+        lambda p: store.search_products(p, text="BRAND#1", max_price=30000, min_rating=2).select(
+            "review_id", "title", "discounted_price", "rating"
+        ),
+    ),
     "store_stats": _on_views(("products", "reviews", "scraping_sessions"), store.store_stats),
     "search_products": _on_view("products", _search),
     "products_in_category": _on_view(
@@ -265,6 +339,7 @@ STORE: dict[str, Query] = {
     "recent_activity": _on_view(
         "scraping_analytics", lambda m: sessions.recent_activity(m, _DAY)
     ),
+    "analytics_summary": _analytics_summary,
     "session_totals": _on_view("scraping_analytics", sessions.session_totals),
     "append_metrics": _append_metrics,
     "append_sessions": _append_sessions,
@@ -470,7 +545,8 @@ def _stream_reviews(spark: SparkSession, sf: str) -> DataFrame:
     streams.stream_new_reviews(
         batches, path, _MOMENT, work_path(spark, "offsets")
     ).awaitTermination()
-    return spark.read.parquet(path).filter(F.col("batch_id") >= 0).drop("batch_id", "id")
+    added = streams.read_reviews(spark, path).filter(F.col("batch_id") >= 0)
+    return added.drop("review_bucket", "stream_id", "batch_id", "id")
 
 
 def _stream_totals(view_name: str, totals: Callable[[DataFrame], DataFrame]) -> Query:

@@ -37,6 +37,6 @@ SESSIONS = (
     "total_reviews_extracted int, duration_seconds double, created_at timestamp_ntz"
 )
 METRICS = (
-    "id int, product_id int, total_reviews int, scraping_method string, "
+    "id bigint, product_id bigint, total_reviews bigint, scraping_method string, "
     "scraping_time decimal(10,3), timestamp timestamp_ntz"
 )

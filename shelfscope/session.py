@@ -24,6 +24,8 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # checkpoints go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # no call-site bookkeeping for every column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -43,34 +45,58 @@ def build_session(
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written intermediate tables.
+def use_local_folder(spark: SparkSession) -> None:
+    """Name a temporary folder for checkpoints where a local session has none.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors share one disk, may fall back to a temporary folder.
+    For tests, benches and other local runs only: there, driver and executors share one
+    disk. On a cluster the folder is named in ``spark.checkpoint.dir``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local[") and not _named_folder(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written intermediate tables, which all executors
+    reach: the one named in ``spark.checkpoint.dir``."""
+    named = _named_folder(spark)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and cut from its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    """``df`` written to the shared folder and cut from its lineage; for narrow rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back; for wide rows."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one run's files."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    root = spark.sparkContext.getCheckpointDir().rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for files of this session only: they are
+    deleted when it ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+    return path

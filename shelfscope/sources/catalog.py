@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from shelfscope.operators.numbering import number_rows
 from shelfscope.schemas import CATALOG_COLUMNS
+from shelfscope.session import stored
 
 # fixed values: dialect of the catalogue files
 CSV_OPTIONS = {
     "header": "true", "sep": ",", "quote": '"', "escape": '"',
-    "mode": "PERMISSIVE", "maxCharsPerColumn": "1048576",
+    "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
 }
 # a quoted empty field is the empty text, an unquoted one is missing: the reader marks
 # the former with this private-use character so that both survive
 _EMPTY = "\uE000"
+_LINE = "_line"
+BROKEN = "broken"
 
 
 def _text(column: str) -> Column:
@@ -29,26 +32,38 @@ def csv_scan(
     path: str,
     aliases: dict[str, str] | None = None,
     multi_line: bool = False,
+    with_broken: bool = False,
 ) -> DataFrame:
     """The catalogue columns of a CSV file or folder, all as text.
 
     Column names come from the header, ``aliases`` (file name -> catalogue name) renames
     those that differ. Short rows are padded with NULL and extra fields cut off. Types
     are never inferred, so the data is read once. Quoted line breaks need
-    ``multi_line``, which makes a file unsplittable, hence off by default.
+    ``multi_line``, which makes a file unsplittable, hence off by default; without it
+    ``with_broken`` adds a flag for lines whose quotes do not pair and whose number of
+    fields is not the header's, as the halves of such a row. Files whose header differs from the first one's fail the read.
     """
-    raw = spark.read.options(
+    reader = spark.read.options(
         **CSV_OPTIONS, multiLine=str(multi_line).lower(), emptyValue=_EMPTY
+    )
+    header = reader.csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in header)
+    raw = reader.options(enforceSchema="false", columnNameOfCorruptRecord=_LINE).schema(
+        f"{schema}, {_LINE} string"
     ).csv(path)
-    names = {(aliases or {}).get(c, c): c for c in raw.columns}
+    names = {(aliases or {}).get(c, c): c for c in header}
     missing = [c for c, _ in CATALOG_COLUMNS if c not in names]
     if "title" in missing or "rating" in missing or "category" in missing:
         raise ValueError(f"catalogue lacks columns {missing}")
+    # a line with another number of fields than the header comes with its text
+    quotes = F.length(_LINE) - F.length(F.replace(F.col(_LINE), F.lit('"'), F.lit("")))
+    broken = [F.coalesce(quotes % 2 == 1, F.lit(False)).alias(BROKEN)] if with_broken else []
     return raw.select(
         *[
             _text(names[c]).alias(c) if c in names else F.lit(None).cast("string").alias(c)
             for c, _ in CATALOG_COLUMNS
-        ]
+        ],
+        *broken,
     )
 
 
@@ -66,11 +81,15 @@ def _convert(name: str, target: str) -> Column:
 
 
 def typed(scanned: DataFrame, strict: bool = False) -> DataFrame:
-    """Typed columns plus ``rejected``: a non-empty text that did not convert.
+    """Typed columns plus ``rejected``: a non-empty text that did not convert, or a line
+    flagged as broken.
 
     ``strict`` raises on the first such value instead.
     """
-    bad = F.lit(False)
+    bad = F.col(BROKEN) if BROKEN in scanned.columns else F.lit(False)
+    if strict and BROKEN in scanned.columns:
+        message = F.concat(F.lit("unpaired quote near: "), F.coalesce("title", F.lit("")))
+        bad = F.when(bad, F.raise_error(message).cast("boolean")).otherwise(bad)
     columns = []
     for name, target in CATALOG_COLUMNS:
         value = _convert(name, target)
@@ -91,14 +110,18 @@ def usable(rows: DataFrame) -> DataFrame:
     ).drop("rejected")
 
 
-def load_counts(rows: DataFrame) -> DataFrame:
-    """One row: rows read, rows rejected for a bad value and rows kept, in one pass."""
+def _counts() -> list[Column]:
     kept = ~F.col("rejected") & (F.col("rating") > 0) & F.col("category").isNotNull()
-    return rows.agg(
+    return [
         F.count("*").alias("read"),
         F.count_if("rejected").alias("rejected"),
         F.count_if(kept).alias("kept"),
-    )
+    ]
+
+
+def load_counts(rows: DataFrame) -> DataFrame:
+    """One row: rows read, rows rejected for a bad value and rows kept, in one pass."""
+    return rows.agg(*_counts())
 
 
 def load_catalog(
@@ -109,14 +132,22 @@ def load_catalog(
     aliases: dict[str, str] | None = None,
     strict: bool = False,
     multi_line: bool = False,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Scan, convert, filter and number a CSV catalogue; optionally replace ``target``.
 
     ``target`` is a Parquet folder that is overwritten and read back. Without
-    ``order_by`` the ids follow the file splits and numbering needs no shuffle.
+    ``order_by`` the ids follow the file splits and numbering needs no shuffle. ``counts``
+    receives rows read, rejected and kept from the same pass.
     """
-    rows = usable(typed(csv_scan(spark, path, aliases, multi_line), strict))
-    loaded = number_rows(rows, order_by).withColumn("id", F.col("id").cast("int"))
+    rows = typed(csv_scan(spark, path, aliases, multi_line, with_broken=True), strict)
+    if counts is not None:
+        rows = rows.observe(counts, *_counts())
+    rows = usable(rows)
+    if order_by:
+        # the text is parsed once, though a range sort reads its input twice
+        rows = stored(rows, "catalog-rows")
+    loaded = number_rows(rows, order_by)
     if target is None:
         return loaded
     loaded.write.mode("overwrite").parquet(target)

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfscope.operators import store as store_ops
-from shelfscope.session import durable
+from shelfscope.session import durable, exists, stored
+
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace all rows of a Parquet table."""
@@ -19,9 +20,30 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def _bucketed(products: DataFrame, buckets: int) -> DataFrame:
-    return products.withColumn(
-        "url_bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
-    )
+    """Products without a URL are spread by their content."""
+    content = F.xxhash64(*store_ops.UPDATED_FIELDS).cast("string")
+    key = F.xxhash64(F.coalesce("url", content))
+    return products.withColumn("url_bucket", F.pmod(key, F.lit(buckets)).cast("int"))
+
+
+def top_id(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the largest id given out for the table at ``path``.
+
+    Ids are noted beside the table (``note_top``), so the table itself is read only before
+    the first note.
+    """
+    notes = f"{path.rstrip('/')}_top"
+    if exists(spark, notes):
+        return spark.read.parquet(notes).agg(F.max("top").alias("top"))
+    return spark.read.parquet(path).agg(F.max("id").alias("top"))
+
+
+def note_top(rows: DataFrame, path: str, before: DataFrame) -> None:
+    """Note the largest id of ``rows`` or of ``before`` (one row, ``top``); written before
+    the rows, so no id is given twice."""
+    own = rows.agg(F.max("id").alias("own")).crossJoin(F.broadcast(before))
+    top = own.select(F.greatest("own", "top").cast("bigint").alias("top"))
+    top.filter("top is not null").coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}_top")
 
 
 def _write_buckets(products: DataFrame, path: str, mode: str) -> None:
@@ -53,19 +75,24 @@ def upsert_products(
     """Merge a crawl batch into a table written by ``write_products``.
 
     Only the buckets the batch touches are read and rewritten. Their list is at most
-    ``buckets`` numbers, so collecting it is safe. The merged rows are made durable
-    first: the folders read are the folders replaced.
+    ``buckets`` numbers, so collecting it is safe. The merged rows are stored first: the
+    folders read are the folders replaced. Rows without a URL are told apart by their
+    content: those already in the table are not inserted again, so a batch may be replayed.
     """
-    keyed = _bucketed(batch, buckets)
+    keyed = stored(_bucketed(batch, buckets), "batch")
     touched = [r[0] for r in keyed.select("url_bucket").distinct().collect()]
-    stored = spark.read.parquet(path)
-    # numbering continues behind the whole table's largest id, not the touched part's
-    part = stored.filter(F.col("url_bucket").isin(touched)).drop("url_bucket")
-    updated, inserted = store_ops.split_product_merge(part, batch, as_of, order)
-    numbered = store_ops.number_rows(
-        inserted, ["first_seq"], after=stored.agg(F.max("id").alias("top"))
-    ).drop("first_seq")
-    merged = durable(_bucketed(updated.unionByName(numbered), buckets))
+    part = spark.read.parquet(path).filter(F.col("url_bucket").isin(touched)).drop("url_bucket")
+    same = list(store_ops.UPDATED_FIELDS)
+    known = part.filter("url is null").select(F.xxhash64(*same).alias("_content")).distinct()
+    rows = keyed.drop("url_bucket").withColumn(
+        "_content", F.when(F.col("url").isNull(), F.xxhash64(*same))
+    )
+    rows = rows.join(known, "_content", "left_anti").drop("_content")
+    updated, inserted = store_ops.split_product_merge(part, rows, as_of, order)
+    top = durable(top_id(spark, path))
+    numbered = store_ops.number_rows(inserted, ["first_seq"], after=top)
+    note_top(numbered, path, top)
+    merged = stored(_bucketed(updated.unionByName(numbered.drop("first_seq")), buckets), "merged")
     _write_buckets(merged, path, "dynamic")
 
 

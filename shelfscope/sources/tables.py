@@ -1,29 +1,40 @@
-"""Named tables: registration, free SQL and schemas."""
+"""Named tables: free SQL and profiles."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def custom_sql(spark: SparkSession, frames: dict[str, DataFrame], query: str) -> DataFrame:
-    """Run any Spark SQL over the given frames under their names."""
+    """Run any Spark SQL over the given frames under their names; the names are free again
+    afterwards."""
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    try:
+        return spark.sql(query)  # names are resolved here
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
 
 
 def table_info(df: DataFrame) -> DataFrame:
-    """``column_name, column_type, nullable`` of a table, as DESCRIBE gives it.
+    """Per column: name, type, filled rows, distinct values, least and greatest value (as
+    text), from one scan.
 
-    Reads the schema only; no data is scanned.
+    The columns are turned into (name, value, n) rows that are combined on the map side.
     """
-    spark = df.sparkSession
-    name = f"described_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    described = spark.sql(f"DESCRIBE TABLE {name}").select(
-        F.col("col_name").alias("column_name"), F.col("data_type").alias("column_type")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("v"))
+            for c, k in kinds.items()
+        ]
+    )
+    values = df.select(F.explode(pairs).alias("p")).select("p.*")
+    counts = values.groupBy("c", "k", "v").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.col("c").alias("column_name"), F.col("k").alias("column_type")).agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
+        F.count("v").alias("distinct_values"),
+        F.min("v").alias("least"),
+        F.max("v").alias("greatest"),
     )
-    spark.catalog.dropTempView(name)
-    return described

@@ -8,13 +8,14 @@ idempotent: a micro-batch that is replayed after a failure leaves the same table
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfscope.operators import store as store_ops
 from shelfscope.operators.numbering import number_rows
-from shelfscope.session import durable
+from shelfscope.session import durable, exists, stored
 from shelfscope.sources import sinks
 
 
@@ -54,11 +55,83 @@ def stream_merge_products(
     return _start(batches.writeStream.foreachBatch(merge), checkpoint, trigger)
 
 
-def write_reviews(reviews: DataFrame, path: str) -> None:
-    """A review table laid out for appending streams: one folder per micro-batch."""
-    reviews.withColumn("batch_id", F.lit(-1).cast("bigint")).write.mode("overwrite").partitionBy(
-        "batch_id"
-    ).parquet(path)
+def _review_bucket(buckets: int):
+    """Keyed reviews by key, the others by content."""
+    keyed = F.nullif("review_id", F.lit(""))
+    content = F.xxhash64("product_id", "reviewer_name", "title", "body").cast("string")
+    key = F.xxhash64(F.coalesce(keyed, content))
+    return F.pmod(key, F.lit(buckets)).cast("int").alias("review_bucket")
+
+
+_FOLDERS = ("review_bucket", "stream_id", "batch_id")
+
+
+def write_reviews(reviews: DataFrame, path: str, buckets: int = 64) -> None:
+    """A review table laid out for appending streams: folders by hash bucket of the review
+    key, then by stream and micro-batch."""
+    (
+        reviews.select(
+            "*", _review_bucket(buckets), F.lit("base").alias("stream_id"),
+            F.lit(-1).cast("bigint").alias("batch_id"),
+        )
+        .hint("rebalance", F.col("review_bucket"))
+        .write.mode("overwrite").partitionBy(*_FOLDERS).parquet(path)
+    )
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """The table with ``stream_id`` as text, whatever the folder names look like."""
+    inner = spark.read.parquet(path).schema
+    types = {"review_bucket": "int", "stream_id": "string", "batch_id": "bigint"}
+    columns = [f"`{f.name}` {types.get(f.name, f.dataType.simpleString())}" for f in inner]
+    return spark.read.schema(", ".join(columns)).parquet(path)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that owns ``checkpoint``, kept beside it."""
+    path = f"{checkpoint.rstrip('/')}_stream_id"
+    if not exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
+
+
+def append_batch(
+    batch: DataFrame, batch_id: int, stream: str, path: str, as_of: dt.datetime,
+    order: str = "seq", buckets: int = 64,
+) -> None:
+    """Append one micro-batch's unseen reviews to a table of ``write_reviews``.
+
+    The batch is compared with the rows of all other micro-batches, of this stream and of
+    others, in the buckets it touches, and replaces its own folders: a replay neither
+    drops rows nor repeats them, and nobody else's rows are touched.
+    """
+    spark = batch.sparkSession
+    rows = stored(batch.select("*", _review_bucket(buckets)), "review-batch")
+    # at most ``buckets`` numbers
+    touched = [r[0] for r in rows.select("review_bucket").distinct().collect()]
+    own = (F.col("stream_id") == stream) & (F.col("batch_id") == batch_id)
+    others = (
+        read_reviews(spark, path).filter(F.col("review_bucket").isin(touched) & ~own).drop(*_FOLDERS)
+    )
+    fresh = store_ops.new_reviews(others, rows.drop("review_bucket"), as_of, order)
+    top = durable(sinks.top_id(spark, path))
+    numbered = number_rows(fresh, after=top)
+    sinks.note_top(numbered, path, top)
+    placed = stored(numbered.select("*", _review_bucket(buckets)), "review-rows")
+    (
+        placed.select("*", F.lit(stream).alias("stream_id"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        .hint("rebalance", F.col("review_bucket"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_FOLDERS).parquet(path)
+    )
+
+
+def compact_reviews(spark: SparkSession, path: str, target: str) -> None:
+    """The table's rows in few files, in the layout of ``write_reviews``, at ``target``."""
+    rows = read_reviews(spark, path)
+    rows = rows.withColumn("stream_id", F.lit("base")).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    rows.hint("rebalance", F.col("review_bucket")).write.partitionBy(*_FOLDERS).parquet(target)
+    sinks.note_top(rows, target, sinks.top_id(spark, path))
 
 
 def stream_new_reviews(
@@ -67,21 +140,18 @@ def stream_new_reviews(
     as_of: dt.datetime,
     checkpoint: str,
     order: str = "seq",
+    buckets: int = 64,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append unseen reviews to a table written by ``write_reviews``.
+    """Append unseen reviews to a table written by ``write_reviews`` with as many buckets.
 
-    A micro-batch is compared with the folders before it and replaces its own folder, so
-    a replay neither drops its keyed rows nor repeats the ones without a key. Duplicates
-    at any distance are found in the table itself; no state grows with the stream.
+    Duplicates at any distance are found in the table itself; no state grows with the
+    stream. Any number of streams, one after the other, may write to one table.
     """
+    stream = stream_id(batches.sparkSession, checkpoint)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
-        fresh = store_ops.new_reviews(earlier, batch, as_of, order)
-        numbered = number_rows(fresh, after=earlier.agg(F.max("id").alias("top")))
-        durable(numbered).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        append_batch(batch, batch_id, stream, path, as_of, order, buckets)
 
     return _start(batches.writeStream.foreachBatch(append), checkpoint, trigger)
 

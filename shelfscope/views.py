@@ -130,9 +130,9 @@ from {d.table('events')}"""
 
 def _scraping_analytics(d: Dialect) -> str:
     return f"""
-select cast(event_id as int) as id,
-  cast(user_id as int) as product_id,
-  cast(floor(value) as int) as total_reviews,
+select cast(event_id as bigint) as id,
+  cast(user_id as bigint) as product_id,
+  cast(floor(value) as bigint) as total_reviews,
   event_type as scraping_method,
   cast(value as decimal(10,3)) as scraping_time,
   ts as timestamp

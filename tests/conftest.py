@@ -12,9 +12,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from shelfscope.session import build_session
+    from shelfscope.session import build_session, use_local_folder
 
     session = build_session("tests", "local[8]", 4)
+    use_local_folder(session)
     yield session
     session.stop()
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfscope.operators import category, findings, overall, prices, quality
 from shelfscope.operators.histogram import rating_histogram
 from shelfscope.plans import analysis
+from shelfscope.plans.registry import QUERIES
 from shelfscope.views import view
 
 SCHEMA = "title string, category string, rating decimal(3,2), discounted_price decimal(10,2)"
@@ -130,3 +131,27 @@ def test_approximate_titles(spark, sf_dir):
     exact = quality.validate_dataset(df).first()["unique_products"]
     rough = quality.validate_dataset(df, approximate_titles=True).first()["unique_products"]
     assert abs(rough - exact) <= 0.2 * exact
+
+
+def test_double_ratings_and_prices_are_not_cut(spark):
+    rows = [("a", 4.35, 1.15), ("a", 1.15, 19.99), ("a", 2.3, 8.41)]
+    df = spark.createDataFrame(rows, "category string, rating double, price double")
+    assert sorted(r["cents"] for r in rating_histogram(df).collect()) == [115, 230, 435]
+    row = prices.price_stats(df, "price").first()
+    assert (row["min_price"], row["median_price"], row["max_price"]) == (1.15, 8.41, 19.99)
+
+
+@pytest.mark.parametrize(
+    "name", ["key_findings", "recommendations", "executive_summary", "category_report", "overall_stats", "dataset_info", "category_stats"]
+)
+def test_products_are_read_once(spark, sf_dir, name):
+    """The histogram is durable, so nothing of a report's plan reads a file."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    reads = plan.count("lineitem.parquet")
+    assert reads <= (1 if name == "dataset_info" else 0)
+
+
+def test_all_recommendations_by_default(spark, sf_dir):
+    hist = rating_histogram(view(spark, sf_dir, "amazon_products"))
+    every = findings.recommendations(hist).count()
+    assert findings.recommendations(hist, most=2).count() == min(2, every)

@@ -1,14 +1,15 @@
-"""CSV catalogues, SQLite import, free SQL and exports."""
+"""CSV catalogues, imports, free SQL and exports."""
 
 import os
-import sqlite3
 import tempfile
 
 import pytest
+from pyspark.sql import Observation
 
 from shelfscope.functions.text import title_category  # noqa: F401
+from shelfscope.operators import imports
 from shelfscope.plans import analysis
-from shelfscope.sources import catalog, sinks, sqlite, tables
+from shelfscope.sources import catalog, sinks, tables
 
 HEADER = (
     "title,category,discounted_price,actual_price,discount_percentage,rating,rating_count,about_product,"
@@ -87,43 +88,58 @@ def test_whole_run_writes_its_files(spark, folder):
     lines = [r[0] for r in spark.read.text(written["category_report"]).collect()]
     assert lines[1].endswith("CATEGORY ANALYSIS REPORT") and lines[-2] == "End of Report"
     assert any(line.startswith("c0 ") for line in lines)
+    metrics = spark.read.json(written["run_metrics"]).first()
+    assert (metrics["read"], metrics["rejected"], metrics["kept"], metrics["run_ts"]) == (30, 0, 30, "2024-01-31")
+    assert metrics["seconds"] >= metrics["block_seconds"]["category_stats"] > 0
 
 
-def test_sqlite_import(spark, folder):
-    path = os.path.join(folder, "store.db")
-    con = sqlite3.connect(path)
-    con.execute(
-        "create table products (id integer primary key, title text, brand text, price real, rating real, "
-        "review_count integer, description text, url text, scraped_at text, created_at text, updated_at text)"
-    )
-    con.executemany(
-        "insert into products values (?,?,?,?,?,?,?,?,?,?,?)",
-        [(i * 3 + 1, f"ssd {i}", "b", 9.99, 4.5, i, "d", f"u{i}", *["2024-01-02 03:04:05"] * 3) for i in range(50)],
-    )
-    con.execute(
-        "create table reviews (id integer primary key, product_id integer, reviewer_name text, rating real, title text, "
-        "body text, review_date text, verified_purchase integer, helpful_count integer, review_id text, product_url text, "
-        "scraped_at text, created_at text)"
+def test_import_and_replace(spark):
+    rows = [(i, f"ssd {i}", "b", 19.99, 4.35, i, "d", f"u{i}") for i in range(50)]
+    products = spark.createDataFrame(
+        rows, "id long, title string, brand string, price double, rating double, review_count int, description string, url string"
+    ).selectExpr("*", "timestamp_ntz '2024-01-02 03:04:05' as scraped_at", "timestamp_ntz '2024-01-02 03:04:05' as created_at")
+    held = imports.import_products(products)
+    row = held.filter("id = 1").first()
+    assert row["category"] == "Storage" and str(row["price"]) == "19.99" and str(row["rating"]) == "4.35"
+    newer = held.filter("id < 5").withColumn("id", held.id + 48)
+    replaced = {r["id"]: r["title"] for r in imports.replace_by_id(held, newer).collect()}
+    assert len(replaced) == 53 and replaced[48] == "ssd 0" and replaced[47] == "ssd 47"
+
+
+def test_a_field_beyond_a_megabyte(spark, folder):
+    text = "word " * 300_000
+    path = write(folder, f"a,c,1,2,3,4,5,{text},u,n,r,t,x,i,p")
+    assert catalog.load_catalog(spark, path).first()["about_product"] == text
+
+
+def test_unpaired_quotes_are_counted(spark, folder):
+    path = write(
+        folder, 'two,c,1,2,3,4,5,"in\ntwo",u,n,r,t,x,i,p', "a,c,1,2,3,4,5,a,u,n,r,t,x,i,p", "short,c,1,2,3,4",
+        'b,c,1,2,3,4,5,"q ""x"" y",u,n,r,t,x,i,p',
     )
-    con.execute("insert into reviews values (1,1,'n',4,'t','body','2024-01-02',1,0,null,'u','2024-01-02','2024-01-02')")
-    con.commit()
-    con.close()
-    products = sqlite.import_products(sqlite.read_products(spark, path))
-    assert products.count() == 50 and products.rdd.getNumPartitions() > 1
-    row = products.filter("id = 1").first()
-    assert row["category"] == "Storage" and str(row["price"]) == "9.99"
-    assert str(row["created_at"]) == "2024-01-02 03:04:05"
-    review = sqlite.import_reviews(sqlite.read_reviews(spark, path)).first()
-    assert review["review_length"] == 4 and review["verified_purchase"] is True
-    assert review["sentiment_score"] is None
-    replaced = sqlite.replace_by_id(products, products.filter("id = 1").withColumnRenamed("x", "x"))
-    assert replaced.count() == 50
+    counts = Observation("load")
+    loaded = catalog.load_catalog(spark, path, order_by=["title"], counts=counts)
+    assert [r["title"] for r in loaded.orderBy("id").collect()] == ["a", "b", "short"]
+    assert counts.get == {"read": 5, "rejected": 2, "kept": 3}
+    with pytest.raises(Exception, match="unpaired quote"):
+        catalog.load_catalog(spark, path, strict=True)
+
+
+def test_files_with_another_header_fail(spark, folder):
+    write(folder, "a,c,1,2,3,4,5,a,u,n,r,t,x,i,p")
+    with open(os.path.join(folder, "other.csv"), "w") as f:
+        f.write("category,title," + HEADER.split(",", 2)[2] + "\nc,b,1,2,3,4,5,a,u,n,r,t,x,i,p\n")
+    with pytest.raises(Exception, match="header"):
+        catalog.csv_scan(spark, folder).collect()
 
 
 def test_free_sql_and_description(spark):
     df = spark.createDataFrame([(1, "a")], "k int, s string")
     assert tables.custom_sql(spark, {"things": df}, "select count(*) as n from things").first()["n"] == 1
-    assert [tuple(r) for r in tables.table_info(df).collect()] == [("k", "int"), ("s", "string")]
+    assert not spark.catalog.tableExists("things")
+    assert sorted(tuple(r) for r in tables.table_info(df).collect()) == [
+        ("k", "int", 1, 1, "1", "1"), ("s", "string", 1, 1, "a", "a"),
+    ]
 
 
 def test_text_sink_keeps_order(spark, folder):
