@@ -17,8 +17,10 @@ from pyspark.sql.types import StructType
 from shelfscope.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that may be broadcast; larger sides are left to shuffled joins.
+#: Rows, and bytes of their texts, that may be broadcast; larger sides are left to
+#: shuffled joins.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def utf8(text: str) -> bytes:
@@ -52,8 +54,12 @@ def arrow_map(
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (durable already) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (durable already) with a broadcast hint if its counted rows and the bytes of
+    its texts allow it; otherwise Spark chooses the join."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    size = sum((F.octet_length(c) for c in texts), F.lit(0).cast("long"))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontaminate, sharding, urlrules
+from shelfscope.llm import common, decontaminate, sharding, urlrules
 
 
 def shingles(text):
@@ -38,6 +38,14 @@ def test_decontamination_at_every_containment(spark):
     assert left == {a for a, _ in docs} - {w[0] for w in want}
 
 
+def test_decontamination_with_shuffled_joins(spark, sf_dir, docs, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want
+    assert decontaminate.decontaminated(docs, items).count() == docs.count() - len({w[0] for w in want})
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(None, "a b c d e f g h"), (7, "a b c d e f g h"), (7, None)], "item_id long, text string")
     got = decontaminate.contaminated(odd_docs, items).collect()
