@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfscope.functions.bind import let
-
 # fixed values: where a date may stand in a text, and how that form is read
 DATE_FORMS = (
     (r"(\d{1,2}/\d{1,2}/\d{4})", "M/d/yyyy"),
@@ -22,28 +20,29 @@ REVIEW_DATE_FORMATS = (
     ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
     ("M/d/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
 )
-# fixed values: month names and abbreviations
-MONTHS = (
-    "january", "february", "march", "april", "may", "june", "july", "august",
-    "september", "october", "november", "december",
-    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
-)
+# fixed values: month names and abbreviations with the month's number
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7,
+    "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9,
+    "oct": 10, "nov": 11, "dec": 12,
+}
 
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
-def _day_reader(layout: str):
-    return lambda piece: F.when(piece != "", F.try_to_date(piece, layout))
-
-
 def parse_date(text: Column) -> Column:
-    """The first date found in the text, full month names only, as DATE."""
+    """The first date found in the text, full month names only, as DATE.
+
+    A form is extracted and parsed only where it is found: plain conditions, so that the
+    rule stays inside generated code.
+    """
     found = []
     for pattern, layout in DATE_FORMS:
         piece = F.regexp_extract(text, pattern, 1)
         if "MMMM" in layout:
             piece = F.initcap(piece)
-        found.append(let(piece, _day_reader(layout)))
+        found.append(F.when(text.rlike(pattern), F.try_to_date(piece, layout)))
     return F.coalesce(*found)
 
 
@@ -88,8 +87,7 @@ def parse_review_date_text(text: Column) -> Column:
     ]
     lower = F.lower(text)
     named = []
-    for i, month in enumerate(MONTHS):
-        number = i % 12 + 1 if i < 12 else MONTHS.index(next(m for m in MONTHS if m[:3] == month)) + 1
+    for month, number in MONTHS.items():
         pattern = rf"{month}\s+(\d{{1,2}}),?\s+(\d{{4}})"
         named.append(
             F.when(
@@ -102,7 +100,8 @@ def parse_review_date_text(text: Column) -> Column:
             )
         )
     # one cheap test spares texts without a month name the search for each of them
-    any_month = lower.rlike(rf"(?:{'|'.join(MONTHS[12:])}|may)[a-z]*\s+\d{{1,2}},?\s+\d{{4}}")
+    starts = "|".join(dict.fromkeys(m[:3] for m in MONTHS))
+    any_month = lower.rlike(rf"(?:{starts})[a-z]*\s+\d{{1,2}},?\s+\d{{4}}")
     found.append(F.when(any_month, F.coalesce(*named)))
     return F.coalesce(*found, text)
 

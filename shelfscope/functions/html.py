@@ -54,6 +54,8 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 OPAQUE = frozenset(("script", "style", "template"))
+VERBATIM = frozenset(("pre", "textarea"))
+_BLANK = " \n\t\f\r"
 
 
 class _Flattener(HTMLParser):
@@ -64,6 +66,7 @@ class _Flattener(HTMLParser):
         self.open: list[dict] = []
         self.parents: set[int] = set()
         self.joined = False  # the last text piece may be continued
+        self.verbatim: set[int] = set()  # pieces whose white space counts
 
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1]["pos"] if self.open else 0
@@ -72,7 +75,7 @@ class _Flattener(HTMLParser):
             "last": len(self.elements) + 1,
             "tag": tag,
             "first_child": parent not in self.parents,
-            "attrs": {k: v or "" for k, v in reversed(attrs)},
+            "attrs": {k: v or "" for k, v in attrs},  # the last of a repeated one
             "text_at": len(self.texts),
             "text_n": 0,
             "script": None,
@@ -110,15 +113,24 @@ class _Flattener(HTMLParser):
         elif self.joined:
             self.texts[-1] += data
         else:
+            if any(e["tag"] in VERBATIM for e in self.open):
+                self.verbatim.add(len(self.texts))
             self.texts.append(data)
             self.joined = True
 
+    def _piece(self, i: int, piece: str) -> str:
+        """Pieces of nothing but white space become one line break or one blank."""
+        if piece.strip(_BLANK) or i in self.verbatim:
+            return piece
+        return "\n" if "\n" in piece else " "
+
     def page(self, html: str) -> dict:
         self.feed(html)
         self.close()
         while self.open:
             self._end(self.open.pop())
-        return {"elements": self.elements, "texts": self.texts}
+        texts = [self._piece(i, piece) for i, piece in enumerate(self.texts)]
+        return {"elements": self.elements, "texts": texts}
 
 
 @F.arrow_udf(DOM)

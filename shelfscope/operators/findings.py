@@ -15,6 +15,8 @@ from shelfscope.operators.category import (
 from shelfscope.operators.numbering import number_rows
 from shelfscope.operators.overall import overall_stats
 
+# fixed values: all sentences, titles and labels of the findings and reports below, apart from
+# the reports' neutral titles
 _SIGNIFICANT = SIGMA_BANDS[0][1]
 
 

@@ -241,10 +241,59 @@ def record_array(records: Column) -> Column:
 
 
 def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame:
-    """Typed review rows from raw JSON records (text); other columns are kept."""
+    """Typed review rows from raw JSON records (text); other columns are kept.
+
+    The rules of ``record_array`` for rows: each step is a select, so that it is evaluated
+    once and inside generated code.
+    """
     keep = [c for c in records.columns if c != record]
-    rows = records.select(*keep, F.explode(record_array(F.array(record))).alias("_r"))
-    return rows.select(*keep, "_r.*")
+    parsed = records.select(*keep, F.try_parse_json(record).alias("_v"))
+    fields = parsed.filter(_is_object(F.col("_v"))).select(
+        *keep, "_v", F.try_variant_get("_v", "$", "map<string,string>").alias("_f")
+    )
+
+    def filled(name: str) -> Column:
+        x = F.col("_f")[name]
+        doubtful = F.when(_kind(_part(F.col("_v"), name)) == "STRING", x)
+        return F.when(x == "", None).when(x.rlike(_DOUBTFUL), doubtful).otherwise(x)
+
+    values = fields.select(
+        *keep,
+        *[
+            F.coalesce(*[filled(n) for n in names]).alias(f"_{field}")
+            for field, names in RECORD_ALIASES.items()
+        ],
+        F.concat_ws(
+            " | ", F.concat(F.lit("Pros: "), filled("Pros")), F.concat(F.lit("Cons: "), filled("Cons"))
+        ).alias("_more"),
+    )
+
+    def cleaned(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), text.clean_text(F.col(name)))
+
+    def number(name: str) -> Column:
+        return F.when(F.col(name).rlike(r"^\s*[-+]?[0-9.]"), F.col(name).try_cast("double"))
+
+    clean = values.select(
+        *keep, "_reviewer_name", "_rating", "_date", "_verified_purchase", "_helpful_count", "_more",
+        cleaned("_title").alias("title"), cleaned("_body").alias("_main"),
+    )
+    body = (
+        F.when(F.col("_more") == "", F.col("_main"))
+        .when(F.length("_main") > 0, F.concat("_main", F.lit("\n\n"), "_more"))
+        .otherwise(F.col("_more"))
+    )
+    typed = clean.select(
+        *keep,
+        text.clean_text(F.coalesce("_reviewer_name", F.lit("Anonymous"))).alias("reviewer_name"),
+        number("_rating").alias("rating"),
+        "title",
+        body.alias("body"),
+        dates.parse_review_date(F.col("_date")).alias("date"),
+        F.col("_verified_purchase").isNotNull().alias("verified_purchase"),
+        number("_helpful_count").try_cast("int").alias("helpful_count"),
+    )
+    return typed.filter((F.length("body") > 0) | (F.length("title") > 0))
 
 
 # fixed values: where pages keep review lists in scripts, and how a record is known

@@ -247,3 +247,10 @@ select 1, row_number() over (order by avg_rating desc, mean desc, product_count
 union all
 select 2, unnest(range(4)), unnest(['', repeat('=', 60), 'End of Report', repeat('=', 60)])""",
 }
+# the same statistics over the store's products, with the category taken from the title
+_IMPORTED = ctes("products") + """,
+amazon_products as (select case when regexp_matches(title, '(?i)cpu|processor') then 'CPU'
+    when regexp_matches(title, '(?i)gpu|graphics') then 'GPU' when regexp_matches(title, '(?i)motherboard|mobo') then 'Motherboard'
+    when regexp_matches(title, '(?i)memory|ram') then 'Memory' when regexp_matches(title, '(?i)storage|ssd|hdd') then 'Storage'
+    else 'Other' end as category, try_cast(rating as decimal(3,2)) as rating from products)"""
+ORACLES["imported_category_stats"] = ORACLES["category_stats"].replace(ctes("amazon_products"), _IMPORTED)

@@ -349,9 +349,16 @@ STORE: dict[str, Query] = {
 # --- text, date and URL rules ------------------------------------------------------
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of a file with fewer row groups than cores, dealt over the cores; larger inputs
+    are split by the scan and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _field(rule: Callable, column: str, out: str) -> Query:
     return _on_view(
-        "field_texts", lambda t: t.select("line_id", rule(F.col(column)).alias(out))
+        "field_texts", lambda t: _dealt(t.select("line_id", column)).select("line_id", rule(F.col(column)).alias(out))
     )
 
 
@@ -511,7 +518,9 @@ PAGES: dict[str, Query] = {
     "jsonld_reviews": _on_shop_pages(review_json.jsonld_reviews),
     "embedded_reviews": _on_shop_pages(review_json.embedded_reviews, parse=False),
     "embedded_json_reviews": _on_shop_pages(review_json.embedded_json_reviews),
-    "standardize_reviews": _on_view("review_records", review_json.standardize_reviews),
+    "standardize_reviews": _on_view(
+        "review_records", lambda r: review_json.standardize_reviews(_dealt(r))
+    ),
     "parse_review_text": _on_shop_pages(_parse_blocks),
     "reviews_from_pages": _on_shop_pages(review_json.reviews_from_pages, parse=False),
     "pages_to_records": _on_shop_pages(_records, parse=False),

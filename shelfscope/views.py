@@ -80,8 +80,14 @@ from {d.table('lineitem')} join {d.table('part')} on l_partkey = p_partkey"""
 
 
 def _products(d: Dialect) -> str:
+    """A product per part, and for large parts a second one that nobody reviewed and no
+    batch knows."""
     return f"""
-select p_partkey + 1 as id,
+with every as (
+  select p_partkey + 1 as id, cast(p_partkey as varchar(20)) as page, * from {d.table('part')}
+  union all
+  select p_partkey + 500000001 as id, concat('x', cast(p_partkey as varchar(20))) as page, * from {d.table('part')} where p_size > 43)
+select id,
   concat(p_name, ' ', case p_size % 7 when 0 then 'CPU cooler' when 1 then 'Graphics card'
     when 2 then 'mobo' when 3 then 'RAM kit' when 4 then 'SSD' when 5 then 'frame'
     else 'bracket' end) as title,
@@ -90,11 +96,11 @@ select p_partkey + 1 as id,
   case when p_size = 50 then null else p_size / 10.0e0 end as rating,
   p_size as review_count,
   p_type as description,
-  concat('https://shop.example/p/', cast(p_partkey as varchar(20))) as url,
+  concat('https://shop.example/p/', page) as url,
   cast(date '2024-01-01' + cast(p_partkey % 365 as int) as {d.ts}) as scraped_at,
   cast(date '2024-01-01' + cast(p_partkey % 365 as int) as {d.ts}) as created_at,
   cast(date '2024-01-01' + cast(p_partkey % 365 as int) as {d.ts}) as updated_at
-from {d.table('part')}"""
+from every"""
 
 
 def _reviews(d: Dialect) -> str:
@@ -112,7 +118,7 @@ select {d.key60(_LINE)} as id,
   concat('https://shop.example/p/', cast(l_partkey as varchar(20))) as product_url,
   l_shipdate as scraped_at,
   l_shipdate as created_at
-from {d.table('lineitem')} where l_partkey % 7 <> 0"""
+from {d.table('lineitem')}"""
 
 
 def _scraping_sessions(d: Dialect) -> str:
@@ -149,14 +155,14 @@ select concat(p_name, ' v2') as title, p_brand as brand, p_retailprice + 5 as pr
   4.5e0 as rating, p_size + 1 as review_count, p_type as description,
   concat('https://shop.example/p/', cast(p_partkey as varchar(20))) as url,
   p_partkey as seq
-from {d.table('part')} where p_size > 5
+from {d.table('part')}
 union all
 select concat(p_name, ' v3') as title, p_brand as brand, p_retailprice + 9 as price,
   case when p_size % 2 = 0 then null else 4.0e0 end as rating, p_size + 2 as review_count,
   p_type as description,
   concat('https://shop.example/p/', cast(p_partkey + case when p_size > 40 then 100000000 else 0 end as varchar(20))) as url,
   p_partkey + 1000000000 as seq
-from {d.table('part')} where p_size > 20"""
+from {d.table('part')}"""
 
 
 def _review_batch(d: Dialect) -> str:
@@ -375,7 +381,9 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, raw: str) -> DataFr
     source = f"stream_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(source)
     sql = VIEWS[name](Dialect("spark", sf_dir.rstrip("/"), ((raw, source),)))
-    return spark.sql(sql)
+    out = spark.sql(sql)  # the name is resolved here and free again
+    spark.catalog.dropTempView(source)
+    return out
 
 
 def ctes(*names: str) -> str:
