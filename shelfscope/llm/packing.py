@@ -31,6 +31,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from math import isqrt
 
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
@@ -42,8 +43,9 @@ from shelfscope.session import durable
 
 CAPACITY = 2048
 GROUPS = 512
-#: pieces in one window of the ranking
-WINDOW_ROWS = 50_000
+#: the least number of pieces in one window of the ranking; a length with n pieces has about
+#: as many windows as rows in each, the root of n
+WINDOW_ROWS = 1_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -309,12 +311,11 @@ def packed(
     intervals = durable(
         spark.createDataFrame(rows, "length long, lo long, hi long, first long, per long, at long")
     )
-    salts = F.lit(None).cast("int")
-    for length, n in counts.items():
-        if n > WINDOW_ROWS:
-            salts = F.when(F.col("length") == length, F.lit(-(-n // WINDOW_ROWS))).otherwise(salts)
-    salted = cut.withColumn(
-        "salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.coalesce(salts, F.lit(1))).cast("int")
+    # at most ``capacity`` rows as well
+    salts = [(length, -(-n // max(WINDOW_ROWS, isqrt(n)))) for length, n in counts.items()]
+    salted = cut.join(F.broadcast(spark.createDataFrame(salts, "length long, salts int")), "length")
+    salted = salted.withColumn(
+        "salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("salts")).cast("int")
     )
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
