@@ -244,11 +244,13 @@ def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame
     """Typed review rows from raw JSON records (text); other columns are kept.
 
     The rules of ``record_array`` for rows: each step is a select, so that it is evaluated
-    once and inside generated code.
+    once and inside generated code. Rows are dropped by generators over no or one element:
+    a filter would be pushed through all steps and repeat their expressions.
     """
     keep = [c for c in records.columns if c != record]
     parsed = records.select(*keep, F.try_parse_json(record).alias("_v"))
-    fields = parsed.filter(_is_object(F.col("_v"))).select(
+    objects = parsed.select(*keep, F.explode(F.when(_is_object(F.col("_v")), F.array("_v"))).alias("_v"))
+    fields = objects.select(
         *keep, "_v", F.try_variant_get("_v", "$", "map<string,string>").alias("_f")
     )
 
@@ -293,7 +295,9 @@ def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame
         F.col("_verified_purchase").isNotNull().alias("verified_purchase"),
         number("_helpful_count").try_cast("int").alias("helpful_count"),
     )
-    return typed.filter((F.length("body") > 0) | (F.length("title") > 0))
+    filled_in = (F.length("body") > 0) | (F.length("title") > 0)
+    fields_ = [c for c in typed.columns if c not in keep]
+    return typed.select(*keep, F.inline(F.when(filled_in, F.array(F.struct(*fields_)))))
 
 
 # fixed values: where pages keep review lists in scripts, and how a record is known

@@ -18,7 +18,7 @@ from shelfscope.plans import analysis
 from shelfscope.session import durable, work_path
 from shelfscope.sources import catalog, sinks, tables
 from shelfscope.streaming import streams
-from shelfscope.views import stream_view, table, view
+from shelfscope.views import dealt_view, stream_view, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31"
@@ -54,6 +54,11 @@ def _on_view(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: plain(fn(view(spark, sf, name)))
 
 
+def _on_lines(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """``fn`` over a view that has a row per line of ``lineitem``."""
+    return lambda spark, sf: plain(fn(dealt_view(spark, sf, name, "lineitem")))
+
+
 def _custom_sql(spark: SparkSession, sf: str) -> DataFrame:
     frames = {"amazon_products": view(spark, sf, "amazon_products")}
     return plain(
@@ -349,17 +354,8 @@ STORE: dict[str, Query] = {
 # --- text, date and URL rules ------------------------------------------------------
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """Rows of a file with fewer row groups than cores, dealt over the cores; larger inputs
-    are split by the scan and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _field(rule: Callable, column: str, out: str) -> Query:
-    return _on_view(
-        "field_texts", lambda t: _dealt(t.select("line_id", column)).select("line_id", rule(F.col(column)).alias(out))
-    )
+    return _on_lines("field_texts", lambda t: t.select("line_id", rule(F.col(column)).alias(out)))
 
 
 def _clean_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,9 +514,7 @@ PAGES: dict[str, Query] = {
     "jsonld_reviews": _on_shop_pages(review_json.jsonld_reviews),
     "embedded_reviews": _on_shop_pages(review_json.embedded_reviews, parse=False),
     "embedded_json_reviews": _on_shop_pages(review_json.embedded_json_reviews),
-    "standardize_reviews": _on_view(
-        "review_records", lambda r: review_json.standardize_reviews(_dealt(r))
-    ),
+    "standardize_reviews": _on_lines("review_records", review_json.standardize_reviews),
     "parse_review_text": _on_shop_pages(_parse_blocks),
     "reviews_from_pages": _on_shop_pages(review_json.reviews_from_pages, parse=False),
     "pages_to_records": _on_shop_pages(_records, parse=False),

@@ -378,11 +378,25 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, raw: str) -> DataFr
     # a file stream wants a folder or a pattern; the pattern fits one file and a folder
     pattern = f"{sf_dir}/{raw}.parque[t]"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
-    source = f"stream_{uuid.uuid4().hex}"
-    stream.createOrReplaceTempView(source)
-    sql = VIEWS[name](Dialect("spark", sf_dir.rstrip("/"), ((raw, source),)))
-    out = spark.sql(sql)  # the name is resolved here and free again
-    spark.catalog.dropTempView(source)
+    return _over(spark, sf_dir, name, raw, stream)
+
+
+def dealt_view(spark: SparkSession, sf_dir: str, name: str, raw: str) -> DataFrame:
+    """A view whose raw table ``raw``, if its file has fewer row groups than there are cores,
+    is dealt over the cores first; larger tables are split by the scan."""
+    rows = table(spark, sf_dir, raw)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return _over(spark, sf_dir, name, raw, rows)
+
+
+def _over(spark: SparkSession, sf_dir: str, name: str, raw: str, rows: DataFrame) -> DataFrame:
+    """A view with ``rows`` in place of the raw table ``raw``."""
+    source = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(source)
+    out = spark.sql(VIEWS[name](Dialect("spark", sf_dir.rstrip("/"), ((raw, source),))))
+    spark.catalog.dropTempView(source)  # the name is resolved by now
     return out
 
 
