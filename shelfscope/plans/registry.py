@@ -41,9 +41,15 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _on_hist(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    """``fn`` over the histogram, which is made durable: the products are read once."""
-    return lambda spark, sf: plain(fn(durable(rating_histogram(view(spark, sf, "amazon_products")))))
+def _on_hist(fn: Callable[[DataFrame], DataFrame], several: bool = False) -> Query:
+    """``fn`` over the rating histogram. Where its plan uses the histogram in ``several``
+    ways, the histogram is made durable, so that the products are read once."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        hist = rating_histogram(view(spark, sf, "amazon_products"))
+        return plain(fn(durable(hist) if several else hist))
+
+    return query
 
 
 def _on_table(fn: Callable[[DataFrame], DataFrame]) -> Query:
@@ -73,7 +79,7 @@ def _custom_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 ANALYSIS: dict[str, Query] = {
     "category_stats": _on_hist(category.category_stats),
-    "overall_stats": _on_hist(overall.overall_stats),
+    "overall_stats": _on_hist(overall.overall_stats, several=True),
     "category_significance": _on_hist(category.category_significance),
     "zscore_categories": _on_hist(category.zscore_categories),
     "rating_distribution_overall": _on_hist(overall.rating_distribution_overall),
@@ -85,12 +91,12 @@ ANALYSIS: dict[str, Query] = {
     "performance_summary": _on_hist(findings.performance_summary),
     "performance_extremes": _on_table(findings.performance_extremes),
     "analysis_summary": _on_table(findings.analysis_summary),
-    "key_findings": _on_hist(findings.key_findings),
-    "recommendations": _on_hist(lambda h: findings.recommendations(h, most=5)),
+    "key_findings": _on_hist(findings.key_findings, several=True),
+    "recommendations": _on_hist(lambda h: findings.recommendations(h, most=5), several=True),
     "analysis_metadata": _on_hist(findings.analysis_metadata),
     "quick_summary": _on_hist(findings.quick_summary),
-    "executive_summary": _on_hist(lambda h: findings.executive_summary(h, AS_OF)),
-    "category_report": _on_hist(lambda h: findings.category_report(h, AS_OF, most=5)),
+    "executive_summary": _on_hist(lambda h: findings.executive_summary(h, AS_OF), several=True),
+    "category_report": _on_hist(lambda h: findings.category_report(h, AS_OF, most=5), several=True),
     "validate_dataset": _on_view("amazon_products", quality.validate_dataset),
     "dataset_info": _on_view("amazon_products", quality.dataset_info),
     "top_categories": _on_view("amazon_products", quality.top_categories),

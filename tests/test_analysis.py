@@ -142,7 +142,7 @@ def test_double_ratings_and_prices_are_not_cut(spark):
 
 
 @pytest.mark.parametrize(
-    "name", ["key_findings", "recommendations", "executive_summary", "category_report", "overall_stats", "dataset_info", "category_stats"]
+    "name", ["key_findings", "recommendations", "executive_summary", "category_report", "overall_stats", "dataset_info"]
 )
 def test_products_are_read_once(spark, sf_dir, name):
     """The histogram is durable, so nothing of a report's plan reads a file."""
