@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfscope.functions.dates import parse_stored_date
 from shelfscope.functions.numeric import round_half_away
 from shelfscope.operators.numbering import number_rows
+from shelfscope.session import durable
 
 # fixed values: product fields a newer crawl overwrites
 UPDATED_FIELDS = ("title", "brand", "price", "rating", "review_count", "description")
@@ -17,6 +18,10 @@ REVIEW_FIELDS = (
 )
 
 
+# rows of a list of ids that may be broadcast
+_SHORT = 1_000_000
+
+
 def _moment(as_of: dt.datetime) -> Column:
     return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
@@ -248,10 +253,19 @@ def products_nested(
     names the part, so no window covers the reviews of a product. A part has fewer than
     twice ``per_document`` reviews; nothing is cut off. A product without reviews has
     part 0 with an empty array.
+
+    The running sums are needed only for products with more than ``per_document``
+    reviews; all reviews of the others are part 0 by the same rule. The list of the
+    former is broadcast if it is short.
     """
     day = F.to_date("review_date").alias("day")
     block = F.floor(F.col("id") / per_document).alias("block")
     rows = reviews.select("id", "product_id", *REVIEW_FIELDS, day, block)
+    totals = reviews.groupBy("product_id").agg(F.count("*").alias("n"))
+    large = durable(totals.filter(F.col("n") > per_document).select("product_id"))
+    if large.count() <= _SHORT:
+        large = F.broadcast(large)
+    rows, whole = (rows.join(large, "product_id", how) for how in ("left_semi", "left_anti"))
     unit = ["product_id", "day", "block"]
     counts = rows.groupBy(*unit).agg(F.count("*").alias("n"))
     earlier = (
@@ -267,18 +281,11 @@ def products_nested(
         & F.col("day").eqNullSafe(F.col("_day"))
         & (F.col("block") == F.col("_block"))
     )
+    entry = F.struct(F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r"))
+    in_order = F.sort_array(F.collect_list(entry)).alias("sorted")
     docs = (
-        rows.join(parts, same)
-        .groupBy("product_id", "part")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r")
-                    )
-                )
-            ).alias("sorted")
-        )
+        rows.join(parts, same).groupBy("product_id", "part").agg(in_order)
+        .unionByName(whole.groupBy("product_id").agg(in_order).withColumn("part", F.lit(0)))
         .select("product_id", "part", F.col("sorted.r").alias("reviews"))
     )
     none = F.array().cast(docs.schema["reviews"].dataType)
