@@ -24,7 +24,7 @@ if none); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -171,13 +171,11 @@ def links(
     return both.mapInArrow(compare, "a long, b long")
 
 
-def clusters(
-    prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, parts: int = PARTS
-) -> DataFrame:
+def grouped(prints: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(fp, component_id, keep_fp)`` for every distinct fingerprint of ``prints (id,
-    fp)``: the least id of its component and the fingerprint of the row that has it."""
-    least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    nodes = components(links(least.select("fp"), radius, parts))
+    fp)`` in the components ``nodes (node, root)``: the least id of its component and the
+    fingerprint of the row that has it."""
+    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     rooted = durable(
         least.join(nodes, F.col("fp") == F.col("node"), "left").select(
             "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -190,6 +188,14 @@ def clusters(
     )
 
 
+def clusters(
+    prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, parts: int = PARTS
+) -> DataFrame:
+    """``grouped`` by the links between the fingerprints of ``prints (id, fp)``."""
+    least = durable(prints.groupBy("fp").agg(F.min(id_col).alias(id_col)))
+    return grouped(least, components(links(least.select("fp"), radius, parts)), id_col)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -221,6 +227,14 @@ def keep_one(
     """
     prints = durable(fingerprints(docs, id_col, text_col, width))
     found = durable(clusters(prints, id_col, radius, parts))
+    return least_rows(docs, prints, found, id_col, text_col, lambda t: fingerprint(t, width))
+
+
+def least_rows(
+    docs: DataFrame, prints: DataFrame, found: DataFrame, id_col: str, text_col: str, name: Callable
+) -> DataFrame:
+    """``keep_one`` for ``prints (id, fp)`` in the components ``found`` (see ``grouped``);
+    ``name`` is the fingerprint of a text."""
     by_id = durable(prints.groupBy(id_col).agg(F.count("*").alias("n"), F.max("fp").alias("fp")))
     single = by_id.filter((F.col("n") == 1) & F.col(id_col).isNotNull())
     gone = durable(
@@ -241,7 +255,7 @@ def keep_one(
     @F.pandas_udf(LongType())
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(
-            [fingerprint(t if isinstance(t, str) else None, width) for t in texts], dtype="int64"
+            [name(t if isinstance(t, str) else None) for t in texts], dtype="int64"
         )
 
     marked = doubtful.withColumn(own, print_of.asNondeterministic()(F.col(text_col)))
