@@ -9,10 +9,14 @@ dropped:
 * ``hex``: 16 or more lower-case hexadecimal digits
 
 Novelty. A candidate is a run of ``MIN_CANDIDATE`` or more key characters with letters and
-digits, in a line that holds a sensitive word, outside the base spans. The compressor is
+digits, in a line that holds a sensitive word, outside the base spans (``hex`` counts as one
+only where no letter or digit goes on beside it). The compressor is
 primed with a dictionary of identifiers followed by the text around the candidate; its
 marginal size is that of the candidate compressed with this dictionary less that of nothing.
-At ``MIN_NOVELTY`` bytes for each of its characters or more it is reported as ``novel``.
+At ``MIN_NOVELTY`` bytes for each of its characters or more it is reported as ``novel``. From
+about 40 characters on, the compressor codes even random characters with the 4 to 6 bits
+that their alphabet needs, so a longer candidate is also measured in equal windows of at most
+``WINDOW`` characters, and the sum of their sizes counts if it is larger.
 
 ``spans`` are ordered by start, then by kind as listed; positions count code points, ends are
 exclusive. Null text is empty and stays null when redacted; repeated rows each get their row;
@@ -34,6 +38,7 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
 MIN_CANDIDATE = 20
 MIN_NOVELTY = 0.9
+WINDOW = 32
 CONTEXT = 2048
 MASK = "[SECRET]"
 IDENTIFIERS = (
@@ -61,15 +66,26 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CAND
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes per character of a candidate in its surroundings."""
+    """Marginal compressed bytes per character of a candidate in its surroundings, exact
+    below ``MIN_NOVELTY`` only as far as needed to tell that it is below."""
     primer = zstandard.ZstdCompressionDict(
         IDENTIFIERS + utf8(around), dict_type=zstandard.DICT_TYPE_RAWCONTENT
     )
     packer = zstandard.ZstdCompressor(
         level=19, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False
     )
+    nothing = len(packer.compress(b""))
     raw = utf8(candidate)
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    whole = len(packer.compress(raw)) - nothing
+    # equal windows; they end when the rest cannot change the answer
+    parts = -(-len(raw) // WINDOW)
+    cuts = [len(raw) * i // parts for i in range(parts + 1)] if parts > 1 else []
+    found, least = 0, MIN_NOVELTY * len(raw)
+    for start, end in zip(cuts, cuts[1:]):
+        if max(whole, found) >= least or found + 1.1 * (len(raw) - start) < least:
+            break
+        found += len(packer.compress(raw[start:end])) - nothing
+    return max(whole, found) / len(raw)
 
 
 def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,6 +111,12 @@ def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
+def _piece(text: str, start: int, end: int, kind: int) -> bool:
+    """A run of hexadecimal digits inside a longer string, which is judged as a whole."""
+    beside = text[max(0, start - 1) : start] + text[end : end + 1]
+    return kind == 2 and any(c.isascii() and c.isalnum() for c in beside)
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """``(start, end, kind number)`` in the order of ``spans``."""
     if not text:
@@ -107,7 +129,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
         out += [(*m.span(), 1) for m in _ACCESS.finditer(text)]
     out += [(*m.span(), 2) for m in _HEX.finditer(text)]
     if any(n in low for n in _CUES):
-        out += [(a, b, 3) for a, b in _novel(text, [x[:2] for x in out])]
+        out += [(a, b, 3) for a, b in _novel(text, [x[:2] for x in out if not _piece(text, *x)])]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 

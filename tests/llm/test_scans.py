@@ -108,6 +108,21 @@ def test_added_secrets():
     assert secrets.mask(line) == "auth bearer [SECRET]\n"
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"])
+@pytest.mark.parametrize("size", [20, 33, 40, 64, 88, 128, 172, 344, 512, 1000])
+def test_long_random_keys(alphabet, size):
+    rng = random.Random(size)
+    for _ in range(20):
+        key = "".join(rng.choice(alphabet) for _ in range(size - 2)) + "A7"
+        line = f"def call(server):\n    Authorization: Bearer {key}\n"
+        assert secrets.mask(line) == line.replace(key, "[SECRET]"), key
+
+
+def test_long_strings_that_repeat():
+    for own in ("A1" * 200, "abcdefghijklmnopqrstuvwxyz0123456789" * 10):
+        assert [s for s in secrets.find(f"auth bearer {own}\n") if s[2] == 3] == []
+
+
 @pytest.mark.parametrize("text", ["@" * 50_000, "a" * 100_000 + "@", "+1" + "-" * 100_000, "1." * 50_000, "9" * 100_000, "key " * 5000])
 def test_linear_time(text):
     pii.find(text)
