@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfscope.llm import (
-    decontaminate, langid, linerules, packing, pii, quality, secrets, sharding, simhash, urlrules,
+    decontaminate, langid, linerules, merkle, packing, pii, quality, secrets, sharding, simhash, urlrules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,24 @@ def lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(_table(spark, sf_dir, "documents"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    away = langid.held_out("doc_id", 0, 5)
+    # null: the row is not tampered with
+    tampered = F.when(away, merkle.leaf([F.col(n) for n in names[:-1]] + [lower]))
+    found = merkle.manifest(
+        docs, [F.col(n) for n in names], F.col("source"), F.col("doc_id"),
+        F.struct("doc_id", tampered.alias("tampered")),
+    )
+    folded = merkle.fold(F.col("path"), F.coalesce("data.tampered", "leaf"))
+    proof = merkle.digest(merkle.siblings(F.col("path")))
+    return found.select(
+        "data.doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id,
     "op2_line_rules": line_rules,
@@ -83,4 +101,5 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_url_filters": url_filters,
     "op10_lookup_sharding": lookup_sharding,
+    "op11_merkle_manifest": merkle_manifest,
 }
