@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfscope.llm import (
-    decontaminate, langid, linerules, merkle, packing, pii, quality, secrets, sharding, simhash, urlrules,
+    decontaminate, langid, linerules, merkle, packing, pii, quality, repair, secrets, sharding,
+    simhash, urlrules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,33 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows with faults by the checksum of ``conv_id:turn``; nulls are one space there."""
+    space = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))
+    text = F.coalesce("text", space)
+    code = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    role = F.when(code == 4, "user").otherwise(F.coalesce("role", space))
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(code == 0, 0).when(code == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.expr("array_repeat(0, times)")).alias("x")).drop("x")
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    done = repair.repair(_damaged(turns))
+    out = turns.select("conv_id").distinct()
+    for found in (done.report, repair.written_sha256(done.rows)):
+        out = out.join(found, F.col("conv_id").cast("string").eqNullSafe(F.col("conv")), "left").drop("conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id,
     "op2_line_rules": line_rules,
@@ -102,4 +130,5 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": url_filters,
     "op10_lookup_sharding": lookup_sharding,
     "op11_merkle_manifest": merkle_manifest,
+    "op13_conversation_repair": conversation_repair,
 }
