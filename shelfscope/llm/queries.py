@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfscope.llm import (
     decontaminate, langid, linerules, merkle, packing, pii, quality, repair, secrets, sharding,
-    simhash, urlrules,
+    simhash, toxicity, urlrules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,14 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    away = langid.held_out("doc_id", 0, 5)
+    model = toxicity.learn(docs, labels.filter(~away))
+    sure = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return toxicity.scored(docs, model).select("doc_id", away.alias("held_out"), "score", sure)
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Rows with faults by the checksum of ``conv_id:turn``; nulls are one space there."""
     space = F.lit(" ")
@@ -130,5 +138,6 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": url_filters,
     "op10_lookup_sharding": lookup_sharding,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_toxicity_automata": toxicity_automata,
     "op13_conversation_repair": conversation_repair,
 }
