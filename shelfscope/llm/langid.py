@@ -6,13 +6,15 @@ profile: an n-gram costs the difference of its two ranks, or the profile's lengt
 profile lacks it; the language with the least sum wins.
 
 Counting runs inside the tasks over all training texts and is summed by Spark; what
-reaches the driver is ``size`` rows per language. Results for special inputs:
+reaches the driver is ``size`` rows per language, for as many languages as there are different
+values of ``lang`` in training (a column of language codes: some hundreds at most). Results
+for special inputs:
 
-* text null, empty or without letters: ``und``, score 0
+* text null, empty or without letters (combining marks alone are none): ``und``, score 0
 * no training row, or none with letters: ``und`` for every document
 * equal sums: the language first in code-point order; equal counts: the n-gram with the
   smaller key
-* null or empty ``lang`` in training: the row is not used
+* null ``lang`` in training: the row is not used; an empty ``lang`` is a value like others
 * repeated rows: each counts in training and each gets its row; other columns are ignored
 """
 
@@ -112,7 +114,7 @@ def profiles(
 
     lang, text = F.col(lang_col), F.col(text_col)
     usable = docs.select(lang.alias("lang"), text.alias("text")).filter(
-        "lang is not null and lang <> '' and text is not null"
+        "lang is not null and text is not null"
     )
     totals = usable.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -138,7 +140,7 @@ class Distances:
         if not text or not self.names or not len(self.keys):
             return "und", 0.0
         keys, counts = _counted(text)
-        if not len(keys):
+        if not len(keys) or not any(unicodedata.category(c)[0] == "L" for c in text):
             return "und", 0.0
         own = keys[np.argsort(-counts, kind="stable")[: self.size]]
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)

@@ -5,8 +5,13 @@ A line with a word fails if it is
 * navigation: two or more separator words (``|``, ``>``, ``»``, ``·``, ``•``, ``/``), at
   least one to five words
 * boilerplate: one of ``BOILERPLATE`` in it, case ignored
-* badly punctuated: its last character is no ``ENDINGS`` mark, or over a quarter of its
-  words end in two or more of ``!?`` or in one of the symbols ``#*$%&|<>``
+* badly punctuated: it has no end mark, or over a quarter of its words end in two or more of
+  ``!?`` or in one of the symbols ``#*$%&|<>``
+
+An end mark is a last character that ends sentences in any script, or a closing bracket or
+quotation mark, or one of ``:;…``. A line without one that the next line continues (it
+follows at once and begins with a lower-case letter, or one of a script without case) is judged
+by the line that ends the run: wrapped sentences pass, a run that never ends does not.
 
 Failing lines are removed. A document is rejected if it fails the base rule (under
 ``min_words`` words, or over half of its words in repeated three-word windows) or if more
@@ -23,6 +28,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -30,13 +36,16 @@ from shelfscope.llm.common import arrow_map, utf8
 
 MIN_WORDS = 50
 MAX_LOST = 0.5
-ENDINGS = ".!?…:;\"'”’)"
+#: from the character classes: sentence terminals, closing and both kinds of quoting marks
+_ENDING = regex.compile(r"[\p{Sentence_Terminal}\p{Pe}\p{Pf}\p{Pi}:;…\"']")
+ENDINGS = frozenset(c for c in map(chr, range(0x110000)) if _ENDING.match(c))
+_GOES_ON = regex.compile(r"[\p{Ll}\p{Lo}]")
 SEPARATORS = ("|", ">", "»", "·", "•", "/")
 BOILERPLATE = (
-    "all rights reserved", "apache license", "click here", "cookie policy", "enable javascript",
-    "licensed under", "lorem ipsum", "mit license", "powered by", "privacy policy",
-    "share on facebook", "sign up for", "subscribe to our", "terms of service", "terms of use",
-    "use of cookies", "we use cookies",
+    "all rights reserved", "alle rechte vorbehalten", "apache license", "aviso legal", "click here", "cookie policy", "enable javascript",
+    "licensed under", "lorem ipsum", "mit license", "nutzungsbedingungen", "powered by",
+    "privacy policy", "share on facebook", "sign up for", "subscribe to our", "terms of service",
+    "terms of use", "todos los derechos reservados", "use of cookies", "we use cookies",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.ASCII | re.IGNORECASE)
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -71,22 +80,36 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def line_fault(line: bytes, words: list[bytes]) -> str | None:
-    """The rule that a line with words fails, if any."""
+def line_fault(line: bytes, words: list[bytes], ended: bool) -> str | None:
+    """The rule that a line with words fails, if any. ``ended``: does it, or the run of lines
+    that it begins, have an end mark?"""
     n = len(words)
     bars = sum(w in _SEPARATORS for w in words)
     if bars >= 2 and bars * 5 >= n:
         return "navigation"
-    text = line.decode("utf-8")
-    if _BOILERPLATE.search(text):
+    if _BOILERPLATE.search(line.decode("utf-8")):
         return "boilerplate"
-    if text.rstrip(" \t\n\x0b\x0c\r")[-1] not in ENDINGS:
-        return "punctuation"
-    if len(_ODD.findall(line)) * 4 > n:
+    if not ended or len(_ODD.findall(line)) * 4 > n:
         return "punctuation"
     return None
 
 
+def ended_lines(lines: list[list[bytes]]) -> list[bool]:
+    """For lines given as words: has the line, or the run that it belongs to, an end mark?"""
+    out = [False] * len(lines)
+    goes_on = False  # does the line below continue one above?
+    below = False
+    for i in range(len(lines) - 1, -1, -1):
+        words = lines[i]
+        if not words:
+            goes_on = False
+            continue
+        own = words[-1].decode("utf-8")[-1] in ENDINGS
+        below = out[i] = own or (goes_on and below)
+        goes_on = _GOES_ON.match(words[0].decode("utf-8")) is not None
+    return out
+
+
 def judge(text: str | None, min_words: int = MIN_WORDS, max_lost: float = MAX_LOST) -> tuple:
     """All results for one text, the cleaned text last."""
     raw = utf8(text or "")
@@ -95,8 +118,8 @@ def judge(text: str | None, min_words: int = MIN_WORDS, max_lost: float = MAX_LO
     seen: set[bytes] = set()
     dups = chars = lost = lines = failed = 0
     clean = []
-    for line in raw.split(b"\n"):
-        own = line.split()
+    split = [(line, line.split()) for line in raw.split(b"\n")]
+    for (line, own), ended in zip(split, ended_lines([own for _, own in split]), strict=True):
         if not own:
             clean.append(line)
             continue
@@ -105,7 +128,7 @@ def judge(text: str | None, min_words: int = MIN_WORDS, max_lost: float = MAX_LO
         seen.add(line)
         size = len(b"".join(own).decode("utf-8"))
         chars += size
-        if line_fault(line, own):
+        if line_fault(line, own, ended):
             failed += 1
             lost += size
         else:

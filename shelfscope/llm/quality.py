@@ -7,7 +7,7 @@ fitted trees are complete binary trees in flat arrays, so that a batch of docume
 trees at once in numpy.
 
 Null and empty texts have all statistics zero and are scored like any other; labels that are
-null or whose document is missing are not used; with no label at all every score is 0.5, and
+null or whose document is missing are not used, an id with both labels counts as 1; with no label at all every score is 0.5, and
 with labels of one kind only the score is near that label; repeated rows each get their row;
 an empty table gives an empty result; other columns are ignored.
 """

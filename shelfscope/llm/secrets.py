@@ -9,9 +9,12 @@ dropped:
 * ``hex``: 16 or more lower-case hexadecimal digits
 
 Novelty. A candidate is a run of ``MIN_CANDIDATE`` or more key characters with letters and
-digits, in a line that holds a sensitive word, outside the base spans (``hex`` counts as one
-only where no letter or digit goes on beside it). The compressor is
-primed with a dictionary of identifiers followed by the text around the candidate; its
+digits in a sensitive context, outside the base spans (``hex`` counts as one only where no
+letter or digit goes on beside it). Sensitive are the line of a sensitive word, the next line
+with text after a line that ends in such a word and ``:`` or ``=``, and all lines between
+``-----BEGIN`` and ``-----END`` of a key, where letters alone are enough. The compressor is
+primed with a dictionary of identifiers followed by the text around the candidate (other
+occurrences of the candidate left out, so that a repeated key is as new as a single one); its
 marginal size is that of the candidate compressed with this dictionary less that of nothing.
 At ``MIN_NOVELTY`` bytes for each of its characters or more it is reported as ``novel``. From
 about 40 characters on, the compressor codes even random characters with the 4 to 6 bits
@@ -19,13 +22,17 @@ that their alphabet needs, so a longer candidate is also measured in equal windo
 ``WINDOW`` characters, and the sum of their sizes counts if it is larger.
 
 ``spans`` are ordered by start, then by kind as listed; positions count code points, ends are
-exclusive. Null text is empty and stays null when redacted; repeated rows each get their row;
+exclusive. Texts of any length are scanned in one pass: lines, spans and blocks are met in
+order, and only the ``CONTEXT`` around a candidate is compressed. Null text is empty and stays
+null when redacted; repeated rows each get their row;
 an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -61,7 +68,14 @@ _SENSITIVE = re.compile(
     r"passw(?:or)?d|passphrase|secret|token|credential|api[_-]?key|private|auth|bearer|signature|key\b",
     re.ASCII | re.IGNORECASE,
 )
-_CUES = (b"passw", b"passphrase", b"secret", b"token", b"credential", b"key", b"private", b"auth", b"bearer", b"signature")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*KEY[A-Z0-9 ]*-----")
+#: a line that announces the next one
+_NEXT = re.compile(
+    r"(?:passw(?:or)?d|passphrase|secret|token|credentials?|key|auth|bearer|signature)[\"']?\s*[:=]\s*\Z",
+    re.IGNORECASE,
+)
+_TEXT = re.compile(r"[^\x20\x09-\x0D]")
+_CUES = (b"-----begin", b"passw", b"passphrase", b"secret", b"token", b"credential", b"key", b"private", b"auth", b"bearer", b"signature")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 
 
@@ -88,25 +102,66 @@ def novelty(candidate: str, around: str) -> float:
     return max(whole, found) / len(raw)
 
 
-def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    found = []
+def _sensitive(text: str) -> list[tuple[int, int, bool]]:
+    """Sensitive ranges in order, without overlap; with each: is it the body of a block?"""
+    blocks = []
+    at = 0
+    while (m := _BEGIN.search(text, at)) is not None:
+        end = text.find("-----END", m.end())
+        at = len(text) if end < 0 else end
+        blocks.append((m.end(), at, True))
+    lines = []
     at = 0
     for m in _SENSITIVE.finditer(text):
         if m.start() < at:
             continue
-        start = text.rfind("\n", 0, m.start()) + 1
+        start = text.rfind("\n", at, m.start()) + 1 or at
         end = text.find("\n", m.end())
         end = len(text) if end < 0 else end
+        if _NEXT.search(text, max(start, end - 200), end):
+            more = _TEXT.search(text, end)
+            if more:
+                end = text.find("\n", more.start())
+                end = len(text) if end < 0 else end
         at = end
+        lines.append((start, end, False))
+    # blocks first: a line keeps what stands outside them
+    out, b = [], 0
+    for start, end, _ in lines:
+        while b < len(blocks) and blocks[b][1] <= start:
+            b += 1
+        k = b
+        while k < len(blocks) and blocks[k][0] < end:
+            if start < blocks[k][0]:
+                out.append((start, blocks[k][0], False))
+            start = max(start, blocks[k][1])
+            k += 1
+        if start < end:
+            out.append((start, end, False))
+    return sorted(out + blocks)
+
+
+def _around(text: str, a: int, b: int) -> str:
+    """The text around a candidate, without other occurrences of it."""
+    return (text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]).replace(text[a:b], "")
+
+
+def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidates that are new. ``taken``: spans of the base kinds, ordered by start."""
+    found = []
+    starts = [x for x, _ in taken]
+    # the furthest end of the spans so far
+    ends = list(accumulate((y for _, y in taken), max))
+    for start, end, block in _sensitive(text):
         for c in _CANDIDATE.finditer(text, start, end):
             a, b = c.span()
             own = c.group()
-            if any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)
+            if before and ends[before - 1] > a:
                 continue
-            if not re.search("[0-9]", own) or not re.search("[A-Za-z]", own):
+            if not re.search("[A-Za-z]", own) or not (block or re.search("[0-9]", own)):
                 continue
-            around = text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]
-            if novelty(own, around) >= MIN_NOVELTY:
+            if novelty(own, _around(text, a, b)) >= MIN_NOVELTY:
                 found.append((a, b))
     return found
 
@@ -129,7 +184,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
         out += [(*m.span(), 1) for m in _ACCESS.finditer(text)]
     out += [(*m.span(), 2) for m in _HEX.finditer(text)]
     if any(n in low for n in _CUES):
-        out += [(a, b, 3) for a, b in _novel(text, [x[:2] for x in out if not _piece(text, *x)])]
+        out += [(a, b, 3) for a, b in _novel(text, sorted(x[:2] for x in out if not _piece(text, *x)))]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 

@@ -250,17 +250,16 @@ DEFAULT = np.array([1.5, 0.2, 0.2, 0.2, 0.2, -4.0])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+    """Logistic regression by Newton's method, drawn towards ``DEFAULT`` as if by one row."""
     if len(set(y.tolist())) < 2:
         return DEFAULT
     x = np.hstack([x, np.ones((len(x), 1))])
-    weights = np.zeros(x.shape[1])
+    weights = DEFAULT
     penalty = ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
     for _ in range(30):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ weights)
+        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ (weights - DEFAULT))
         weights = weights + step
         if np.abs(step).max() < 1e-8:
             break

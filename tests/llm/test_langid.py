@@ -75,7 +75,7 @@ def test_query(spark, sf_dir, docs):
 
 def test_odd_rows(odd_docs, no_docs):
     learned = langid.profiles(odd_docs)
-    assert set(learned) == {"en", "de"}
+    assert set(learned) == {"", "en", "de"}  # an empty value is a value
     got = langid.identify(odd_docs, learned).collect()
     assert len(got) == odd_docs.count()
     und = [r for r in got if r.lang_pred == "und"]
@@ -83,3 +83,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert langid.profiles(no_docs) == {}
     assert {r.lang_pred for r in langid.identify(odd_docs, {}).collect()} == {"und"}
     assert langid.identify(no_docs, learned).count() == 0
+
+
+def test_marks_alone_are_no_letters(spark):
+    rows = [(1, "\u0301\u0302 \u0303", "en"), (2, "12 - \u0301", "en"), (3, "e\u0301t\u0301 la", "fr"), (4, "the end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.profiles(docs)).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "fr", "en"]
+    assert got[1].score == got[2].score == 0

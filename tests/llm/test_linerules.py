@@ -35,7 +35,10 @@ def test_base_against_brute_force(docs):
 
 
 def test_line_rules():
-    fault = lambda s: linerules.line_fault(linerules.utf8(s), linerules.utf8(s).split())
+    def fault(s):
+        raw = linerules.utf8(s)
+        return linerules.line_fault(raw, raw.split(), linerules.ended_lines([raw.split()])[0])
+
     assert fault("Home | News | About us.") == "navigation"
     assert fault("Licensed under the Apache License, Version 2.0.") == "boilerplate"
     assert fault("No end here") == "punctuation"
@@ -43,6 +46,36 @@ def test_line_rules():
     assert fault("A good sentence, with a $5 price.") is None
 
 
+CLEAN = {
+    "hindi": "यह एक साफ वाक्य है जो यहाँ खत्म होता है{} और यह दूसरा है{}".format("।", "॥"),
+    "urdu": "یہ ایک صاف جملہ ہے جو یہاں ختم ہوتا ہے۔",
+    "arabic": "هل هذه جملة نظيفة تنتهي بعلامة استفهام؟",
+    "chinese": "这 是 一个 干净 的 句子 ， 它 在 这里 结束 。",
+    "quoted": "Er sagte leise zu ihr: »Das ist ein sauberer Satz.«",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CLEAN))
+def test_clean_lines_of_other_scripts_stay(name):
+    text = "\n".join(f"{i} {CLEAN[name]}" for i in range(40))
+    found = linerules.judge(text)
+    assert found[8] == 0 and found[9] == 0
+
+
+def test_wrapped_prose_stays():
+    rng = random.Random(4)
+    words = [f"word{rng.randrange(5000)}" for _ in range(240)]
+    words[59::60] = [w + "." for w in words[59::60]]
+    lines = [" ".join(words[i : i + 12]) for i in range(0, 240, 12)]
+    found = linerules.judge("\n".join(lines))
+    assert found[6] and found[8] == 0
+    # a run that never ends, and lines that no line continues, do not pass
+    open_end = linerules.judge("\n".join(x.replace(".", "") for x in lines))
+    assert not open_end[6] and open_end[8] == 20
+    headings = linerules.judge("\n".join(x.replace(".", "").capitalize() for x in lines))
+    assert not headings[6] and headings[8] == 20
+
+
 def test_removal_and_verdict():
     rng = random.Random(1)
     lines = [" ".join("w%d" % rng.randrange(10**6) for _ in range(9)) + "." for _ in range(8)]

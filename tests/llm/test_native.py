@@ -68,7 +68,9 @@ URLS = [
     None, "", "no scheme", "http://NET/x", "http://a.net", "http://a.net/", "https://example.net/en/1?q=/fr/",
     "https://www.Example.NET/en/", "http://notexample.com/de/1", "http://example.com/de/1#x", "http://x.org/fr/",
     "http://x.org/FR/", "ftp://spam-farm.example.org/en/1", "a://b://c.net/d", "http://x.com/ads/big-banner.gif",
-    "http://buy-pills-online.example.com/", "http://cheap-pillsx.example.com/", "://", "http://net?x/", "http://é.org/fr/é",
+    "http://buy-pills-online.example.com/", "http://casino-bonus.example.org/", "http://pills24.example.com/x",
+    "http://x.com/Ad/1", "http://news.example.com/casino-opens-downtown", "http://adsworth.example.com/pillsbury",
+    "http://BUY-now-online.com", "http://free--bets.org/", "http://x.com/adsorb/", "http://cheap-pillsx.example.com/", "://", "http://net?x/", "http://é.org/fr/é",
 ]
 
 
@@ -95,13 +97,36 @@ def test_url_rules(spark):
         if r.rule:
             assert r.verdict == verdicts[r.rule] and r.pattern is None
         else:
-            every = [p for _, p in urlrules.PATTERNS if re.search(urlrules.expression(p), r.host + r.path, re.S)]
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.path)
+            every = [
+                p for _, p in urlrules.PATTERNS
+                if re.search(urlrules.expression(p), r.host + low if "/" in p else r.host, re.S)
+            ]
             assert r.pattern == min(every, key=lambda p: (-len(p), p), default=None)
             assert r.verdict == ("block" if every else "allow")
     empty = pages.limit(0)
     assert urlrules.filtered(empty).count() == 0
 
 
+def test_unwanted_hosts_that_no_list_names(spark):
+    """General words decide, as whole words of a host or as path parts."""
+    bad = ["casino-bonus.example.org", "pills24.example.com", "www.best-free-bets.net", "x.com/ad/1", "x.com/ADS/1/banner.gif"]
+    good = ["news.example.org/casino-opens", "adsworth.example.org", "x.com/adsorb/", "pillsbury.example.com", "freebetsy.org"]
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(bad + good)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlrules.filtered(pages, prefixes=()).collect()}
+    assert [got[i] for i in range(len(got))] == ["block"] * len(bad) + ["allow"] * len(good)
+
+
+def test_index_chooses_among_shared_tokens():
+    """Rules that share a token stand under their rarer one, so that few candidates run."""
+    rules = [r for r in urlrules.PATTERNS if "online" in r[1]]
+    counts = {t: 1 for _, p in rules for t in urlrules.literal_tokens(p)} | {"online": 100}
+    index = urlrules.Index(rules, counts)
+    assert "online" not in index.by_token and not index.always and len(rules) >= 5
+    assert sorted(r[1] for rows in index.by_token.values() for r in rows) == sorted(p for _, p in rules)
+    assert index.fit("online-poker.example.com", "/")[0] == "^online^poker^"
+
+
 def test_rarest_token(spark):
     pages = spark.createDataFrame([(1, "http://Spam-farm.example.org/farm"), (2, "http://x.org/Farm")], "page_id long, url string")
     rules = (("block", "spam-farm.example"), ("block", "org/farm"))

@@ -12,9 +12,7 @@ from shelfscope.llm.queries import best_fit_packing
 
 @pytest.fixture(scope="module")
 def slow():
-    t = Tokenizer.from_file(packing.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_path())  # default settings
 
 
 def test_same_ids_by_both_libraries(slow, docs):
@@ -23,9 +21,10 @@ def test_same_ids_by_both_libraries(slow, docs):
     texts = [r.text for r in docs.limit(50).collect()]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), 32, 10])) for _ in range(40)) for _ in range(1500)]
     texts += ["".join(chr(c) + (" " if c % 3 else "") for c in range(a, a + 500) if not 0xD800 <= c < 0xE000) for a in range(0, 0x32000, 500)]
-    texts += ["<|endoftext|> a", " " * 30_000 + "x", "a" * 30_000, "I'll we've 'S\u2028 \u00a0\u00a0 x\n\n\n y  "]
+    texts += ["<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y <|endof|>", " " * 30_000 + "x", "a" * 30_000, "I'll we've 'S\u2028 \u00a0\u00a0 x\n\n\n y  "]
     for text in texts:
         assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids, text[:50]
+    assert 50256 in fast.ids("a <|endoftext|> b")
 
 
 def laid_out(intervals, capacity):

@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 from test_native import shingles
-from test_simhash import brute_components, brute_print
+from test_neardup import brute as near_copies_left
 
 import corpus_pipeline
 from shelfscope.llm import linerules, packing, secrets
@@ -16,9 +16,8 @@ def brute(docs, items):
         found = linerules.judge(text)
         if found[6]:
             left[own] = found[-1]
-    ids = sorted(left)
-    roots = brute_components([brute_print(left[i]) for i in ids], ids)
-    left = {i: left[i] for i, c in zip(ids, roots) if i == c}
+    # near copies: a similarity of 0.8 over shingles of five words, as for every stage
+    left = {i: left[i] for i in near_copies_left(sorted(left.items()))}
     wanted = [s for x in items if (s := shingles(x))]
     left = {
         i: t for i, t in left.items()
