@@ -75,3 +75,15 @@ REVIEW = {
         "[class*='verified']",
     ),
 }
+
+#: Selectors of the rules themselves.
+OTHER = ("html", "a[href]", "title", "div", "div.comments", "script", "script[type='application/ld+json']")
+
+ALL = tuple(
+    dict.fromkeys(
+        [
+            *(s for found in (PRODUCT, REVIEW) for group in found.values() for s in group),
+            *FILLED_RATING, *REVIEW_ITEM, *OTHER,
+        ]
+    )
+)

@@ -33,10 +33,12 @@ def other_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("html", "elements", "texts")]
 
 
-def parse_pages(pages: DataFrame, keep_html: bool = False) -> DataFrame:
-    """Replace ``html`` by ``elements`` and ``texts`` (see ``functions.html``)."""
+def parse_pages(pages: DataFrame, keep_html: bool = False, selectors: tuple[str, ...] = ()) -> DataFrame:
+    """Replace ``html`` by ``elements`` and ``texts`` (see ``functions.html``).
+
+    ``selectors`` may be selected besides those of the library's own rules."""
     keep = other_columns(pages) + (["html"] if keep_html else [])
-    return pages.select(*keep, flatten(F.col("html")).alias("dom")).select(
+    return pages.select(*keep, flatten(F.col("html"), selectors).alias("dom")).select(
         *keep, F.col("dom.elements").alias("elements"), F.col("dom.texts").alias("texts")
     )
 

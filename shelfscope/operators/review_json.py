@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from shelfscope.functions import dates, text
 from shelfscope.functions.bind import let
 from shelfscope.functions.html import select_all
+from shelfscope.functions.json_scan import Range, balanced, objects_with
 from shelfscope.operators import pages as page_ops
 
 
@@ -134,18 +136,27 @@ def jsonld_reviews(parsed: DataFrame) -> DataFrame:
 EMBEDDED_FIELDS = {
     "body": r'"Comments":\s*"([^"]+)"', "rating": r'"Rating":\s*(\d+)', "name": r'"NickName":\s*"([^"]+)"',
 }
-# an object without objects in it; the possessive repeat keeps the search linear
-_OBJECT = r"\{[^{}]*+\}"
+_EMBEDDED_NAMES = ('"Comments"', '"Rating"', '"NickName"')
 
 
-def embedded_array(html: Column) -> Column:
-    """The review blobs of a page's source: objects that hold all of ``EMBEDDED_FIELDS``,
-    in whatever order. Every field is looked for inside its own object."""
+@F.arrow_udf(ArrayType(StringType()))
+def _embedded_objects(pages: pa.Array) -> pa.Array:
+    rows = [objects_with(p, _EMBEDDED_NAMES) for p in pages.to_pylist()]
+    return pa.array(rows, type=pa.list_(pa.string()))
+
+
+def embedded_objects(html: Column) -> Column:
+    """The objects of a page's source that hold all of ``EMBEDDED_FIELDS``, in whatever order,
+    with whatever else, as texts without what nested objects and arrays hold. Braces in
+    quoted texts are text. Only pages that name all fields are scanned."""
+    named = [html.contains(n) for n in _EMBEDDED_NAMES]
+    return _embedded_objects(F.when(named[0] & named[1] & named[2], html))
+
+
+def embedded_array(objects: Column) -> Column:
+    """The reviews in ``embedded_objects``."""
     body, rating, name = EMBEDDED_FIELDS.values()
-    objects = F.filter(
-        F.regexp_extract_all(html, F.lit(_OBJECT), 0),
-        lambda m: m.rlike(rating) & m.rlike(name) & m.rlike(body),
-    )
+    objects = F.filter(objects, lambda m: m.rlike(rating) & m.rlike(name) & m.rlike(body))
     return F.transform(
         objects,
         lambda m: F.struct(
@@ -160,7 +171,9 @@ def embedded_array(html: Column) -> Column:
 
 def embedded_reviews(pages: DataFrame) -> DataFrame:
     """One row per review blob in the page source."""
-    return _exploded(pages, page_ops.other_columns(pages), embedded_array(F.col("html")))
+    keep = page_ops.other_columns(pages)
+    found = pages.select(*keep, embedded_objects(F.col("html")).alias("objects"))
+    return _exploded(found, keep, embedded_array(F.col("objects")))
 
 
 # fixed values: names a field of a raw review record may have, in order of preference
@@ -300,20 +313,17 @@ def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame
     return typed.select(*keep, F.inline(F.when(filled_in, F.array(F.struct(*fields_)))))
 
 
-# fixed values: where pages keep review lists in scripts, and how a record is known
-LIST_PATTERNS = (
-    r"window\.__initialState__\s*=\s*({.*?});",
-    r'"ReviewList":\s*(\[.*?\])',
-    r'"CustomerReviews":\s*(\[.*?\])',
-    r'"Reviews":\s*(\[.*?\])',
-    r"reviewData\s*=\s*({.*?});",
-    r"reviews:\s*(\[.*?\])",
-    r'(\[{[^}]*"Rating":[^}]*"NickName":[^}]*"Comments":[^}]*}[^\]]*\])',
-    r'(\[{[^}]*"Comments":[^}]*"Rating":[^}]*"NickName":[^}]*}[^\]]*\])',
-    r'(\[{[^}]*"Rating":\s*\d+[^}]*"Comments":[^}]*}[^\]]*\])',
-    r'(\[{[^}]*"NickName":[^}]*"Rating":[^}]*"Comments":[^}]*}[^\]]*\])',
-    r'(\[{[^}]*"Title":[^}]*"Rating":[^}]*}[^\]]*\])',
+# fixed values: what stands before review lists in scripts, in order of preference, and the
+# fields that tell an array of reviews by its first record
+LIST_PLACES = (
+    (r"window\.__initialState__\s*=\s*", "{"),
+    (r'"ReviewList":\s*', "["),
+    (r'"CustomerReviews":\s*', "["),
+    (r'"Reviews":\s*', "["),
+    (r"reviewData\s*=\s*", "{"),
+    (r"reviews:\s*", "["),
 )
+FIRST_RECORDS = (('"Rating"', '"NickName"', '"Comments"'), ('"Rating"', '"Comments"'), ('"Title"', '"Rating"'))
 LIST_KEYS = (
     "ReviewList", "CustomerReviews", "Reviews", "reviewList", "reviews", "Review",
     "ProductReviews", "ItemReviews",
@@ -356,20 +366,62 @@ def find_review_list(document) -> list | None:
     return None
 
 
+#: deeper documents are beyond the JSON reader
+MAX_DEPTH = 500
+
+
+class _Script:
+    """The balanced ranges of a script, and which of them have been read in vain."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ranges = balanced(text)
+        self.at = {r.start: r for r in self.ranges}
+        self.done: list[tuple[int, int]] = []  # documents that hold no list
+
+    def named(self, place: str, bracket: str) -> list[Range]:
+        ends = (m.end() for m in re.finditer(place, self.text))
+        return [self.at[e] for e in ends if e in self.at and self.text[e] == bracket]
+
+    def arrays_of(self, names: tuple[str, ...]) -> list[Range]:
+        """Arrays whose first value is an object that holds ``names``."""
+        out = []
+        for r in self.ranges:
+            first = r.inner[0] if r.inner else None
+            if self.text[r.start] != "[" or first is None or self.text[first.start] != "{":
+                continue
+            if not self.text[r.start + 1 : first.start].strip() and all(n in first.own(self.text) for n in names):
+                out.append(r)
+        return out
+
+    def read(self, r: Range) -> list | None:
+        """The review list in a range that is a JSON document."""
+        k = bisect_right(self.done, (r.start, len(self.text)))
+        if r.height > MAX_DEPTH or k and self.done[k - 1][1] >= r.end:
+            return None
+        try:
+            found = find_review_list(json.loads(self.text[r.start : r.end]))
+        except (ValueError, RecursionError):
+            return None
+        if not found:
+            insort(self.done, (r.start, r.end))
+        return found
+
+
 def _review_records(scripts: list[str]) -> list[str]:
     """The records of the first review list in a page's scripts.
 
-    Documents that are no JSON, or nested beyond the reader's depth, are passed over.
+    Named places come first, then arrays whose first record has the fields of a review.
+    Documents that are no JSON, or nested deeper than ``MAX_DEPTH``, are passed over.
     """
-    for pattern in LIST_PATTERNS:
-        for script in scripts:
-            for match in re.finditer(pattern, script, re.DOTALL):
-                try:
-                    found = find_review_list(json.loads(match.group(1)))
-                    if found:
-                        return [json.dumps(r, ensure_ascii=False) for r in found if isinstance(r, dict)]
-                except (ValueError, RecursionError):
-                    continue
+    read = [_Script(s) for s in scripts]
+    ways = [lambda s, p=p: s.named(*p) for p in LIST_PLACES]
+    ways += [lambda s, n=n: s.arrays_of(n) for n in FIRST_RECORDS]
+    for way in ways:
+        for script in read:
+            for r in way(script):
+                if found := script.read(r):
+                    return [json.dumps(x, ensure_ascii=False) for x in found if isinstance(x, dict)]
     return []
 
 
@@ -406,7 +458,14 @@ def _uniform(reviews: Column, date) -> Column:
     )
 
 
-def _chosen(html: Column, elements: Column, texts: Column, max_blocks: int | None) -> Column:
+def _with_objects(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pages with ``elements``, ``texts`` and ``objects``, and their other columns."""
+    parsed = page_ops.parse_pages(pages, keep_html=True)
+    keep = page_ops.other_columns(parsed)
+    return parsed.select(*keep, "elements", "texts", embedded_objects(F.col("html")).alias("objects")), keep
+
+
+def _chosen(objects: Column, elements: Column, texts: Column, max_blocks: int | None) -> Column:
     """``struct<method, reviews>`` by the first strategy that finds any, NULL if none does.
 
     The strategies are chained, so a later one runs only where the earlier ones failed.
@@ -425,7 +484,7 @@ def _chosen(html: Column, elements: Column, texts: Column, max_blocks: int | Non
         page_ops.distinct_blocks(page_ops.block_array(elements, texts)), max_blocks
     )
     in_blocks = _uniform(blocks, lambda r: r["date"].cast("string"))
-    embedded = _uniform(embedded_array(html), lambda r: F.lit(None).cast("string"))
+    embedded = _uniform(embedded_array(objects), lambda r: F.lit(None).cast("string"))
     json_ld = _uniform(jsonld_array(elements), lambda r: r["date"].cast("string"))
     return or_else(
         "json_ld", json_ld, or_else("embedded", embedded, or_else("blocks", in_blocks, None))
@@ -443,9 +502,8 @@ def reviews_from_pages(
     Everything works on the arrays of one page row, so the job has no shuffle and a URL
     crawled many times is no hot key.
     """
-    parsed = page_ops.parse_pages(pages, keep_html=True)
-    keep = page_ops.other_columns(parsed)
-    best = _chosen(F.col("html"), F.col("elements"), F.col("texts"), max_blocks)
+    parsed, keep = _with_objects(pages)
+    best = _chosen(F.col("objects"), F.col("elements"), F.col("texts"), max_blocks)
     found = parsed.select(*keep, best.alias("_best")).filter("_best is not null")
     reviews = F.col("_best.reviews")
     rows = reviews if max_reviews is None else F.slice(reviews, 1, max_reviews)
@@ -463,10 +521,9 @@ def pages_to_records(
     A page without reviews has an empty array, 0 and no method; one without a product has
     NULL fields. No shuffle.
     """
-    parsed = page_ops.parse_pages(pages, keep_html=True)
-    keep = page_ops.other_columns(parsed)
+    parsed, keep = _with_objects(pages)
     elements, texts = F.col("elements"), F.col("texts")
-    best = _chosen(F.col("html"), elements, texts, max_blocks)
+    best = _chosen(F.col("objects"), elements, texts, max_blocks)
     found = parsed.select(
         *keep, page_ops.full_product(elements, texts, shop_name).alias("product"), best.alias("_best")
     )

@@ -298,7 +298,7 @@ def _shop_pages(d: Dialect) -> str:
     listed_ld = slots(lambda i: ld(i, ('"', '"')), ",")
     blob = slots(
         lambda i: f"""case when page_id % 2 = 0
-      then concat('{{"Comments": "', body_{i}, '","x":1,"Rating": ', cast(rating_{i} as varchar(2)), ',"NickName": "', name_{i}, '"}}')
+      then concat('{{"Comments": "', body_{i}, '","Image":{{"u":1,"Rating":9}},"Alt":"a {{b c","Rating": ', cast(rating_{i} as varchar(2)), ',"NickName": "', name_{i}, '"}}')
       else concat('{{"Rating": ', cast(rating_{i} as varchar(2)), ',"NickName": "', name_{i}, '","Comments": "', body_{i}, '"}}') end""",
         ",",
     )

@@ -7,7 +7,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscope.functions.html import flatten, raw_text, select_all, stripped_text
+from shelfscope.functions import selectors
+from shelfscope.functions.html import (
+    Matcher, _Flattener, flatten, number_of, raw_text, select_all, stripped_text,
+)
+from shelfscope.functions.json_scan import balanced, objects_with
 from shelfscope.operators import pages, review_json
 
 
@@ -16,7 +20,7 @@ def page(spark, *htmls):
 
 
 def texts_of(spark, html, selector, rule=stripped_text):
-    parsed = pages.parse_pages(page(spark, html))
+    parsed = pages.parse_pages(page(spark, html), selectors=(selector,))
     found = F.transform(select_all(F.col("elements"), selector), lambda e: rule(F.col("texts"), e))
     return parsed.select(found).first()[0]
 
@@ -131,6 +135,126 @@ def test_embedded_blobs_stay_apart(spark):
     assert [(r["reviewer_name"], r["rating"], r["body"]) for r in got] == [(f"n{k}", k, f"c{k}") for k in range(1, 7)]
 
 
+def test_embedded_blobs_with_braces_and_nested_objects(spark):
+    """Braces in a text and nested objects cost no review, wherever they stand."""
+    fields = ['"Comments":"fits {well} in a } slot"', '"Rating":%d', '"NickName":"n%d"']
+    extra = ['"Image":{"u":1,"Rating":9}', '"Replies":[{"by":"x {","n":[1,{}]}]', '"Note":"it\'s \\\\ \\" ok"']
+    blobs = []
+    for k, where in enumerate(range(4), 1):
+        own = fields[:where] + extra + fields[where:]
+        blobs.append("{" + ",".join(f % k if "%d" in f else f for f in own) + "}")
+    html = '<p>15" wide, don\'t { worry</p><script>var a = "x";function f(){if(a){b=\'"\'}}\nvar r = [' + ",\n".join(blobs) + "];</script>"
+    trial = '[{"Comments":"fits {well}","Rating":1,"NickName":"a"},{"Comments":"b","Rating":2,"NickName":"b","Image":{"u":1}},{"Comments":"c","Rating":3,"NickName":"c"}]'
+    got = review_json.embedded_reviews(page(spark, html, trial)).orderBy("url", "pos").collect()
+    assert [(r["rating"], r["reviewer_name"], r["body"]) for r in got] == [
+        *[(k, f"n{k}", "fits {well} in a } slot") for k in range(1, 5)],
+        (1, "a", "fits {well}"), (2, "b", "b"), (3, "c", "c"),
+    ]
+    best = review_json.reviews_from_pages(page(spark, html, trial)).groupBy("url", "total").count().orderBy("url")
+    assert [tuple(r) for r in best.collect()] == [("u0", 4, 4), ("u1", 3, 3)]
+
+
+def test_balanced_ranges_against_json(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([1, None, True, "a", "b}", "[{", 'q"\\', "it's", ""])
+        if rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return {f"k{i}{{": value(depth - 1) for i in range(rng.randrange(4))}
+
+    def count(v):
+        inner = v if isinstance(v, list) else v.values() if isinstance(v, dict) else ()
+        return isinstance(v, (list, dict)) + sum(map(count, inner))
+
+    for _ in range(300):
+        documents = [value(5) for _ in range(3)]
+        text = " ] x } ".join(json.dumps(d) if isinstance(d, (list, dict)) else "-" for d in documents)
+        found = balanced(text)
+        assert len(found) == sum(count(d) for d in documents if isinstance(d, (list, dict)))
+        assert [r.start for r in found] == sorted(r.start for r in found)
+        for r in found:
+            json.loads(text[r.start : r.end])
+    assert [(r.start, r.end) for r in balanced("{ [ } ] { a")] == [(0, 5)]
+    assert [r.height for r in balanced("[[],[[]]]")] == [3, 1, 2, 1]
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ['{"a":', "[", '{"', '\\"', "{'", '"Reviews":[{"Rating":1,', '[{"Rating":', "reviews: ", "{[}", '{"Comments":"NickName"Rating"'],
+)
+def test_hostile_scripts_end_quickly(unit):
+    text = "{" + unit * (100_000 // len(unit))
+    names = ('"Comments"', '"Rating"', '"NickName"')
+    start = time.perf_counter()
+    assert review_json._review_records([text, text + "]}" * 20_000]) == []
+    assert objects_with("".join(names) + text, names) == []
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize(
+    "unit", ["<b>x", "</p>", "<a ", "<a b='", '<a b="c" ', "<!--", "<", "</", "&amp", "<div class='product-wrap'>", "<h1>", "<pre> "],
+)
+def test_large_pages_are_read_once(unit):
+    """100,000 elements, open, unfinished or unmatched, take seconds at most."""
+    start = time.perf_counter()
+    _Flattener(Matcher(selectors.ALL)).page(unit * 100_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_matcher_against_a_plain_one():
+    """Chains of compounds, by every ancestor of every element."""
+    import random
+
+    rng = random.Random(8)
+    simple = ["p", "b", ".x", ".y", "#i", "p.x", "[data-a]", "[class*='x']:not(.y)", "b:first-child"]
+    chains = list({" ".join(rng.choice(simple) for _ in range(rng.randrange(1, 5))) for _ in range(60)})
+    for _ in range(40):
+        html = "".join(
+            rng.choice(["<p>", "<p class='x'>", "<b>", "<b class='y x'>", "<p id=i>", "<b data-a>", "</p>", "</b>", "t"])
+            for _ in range(80)
+        )
+        elements = _Flattener(Matcher(chains)).page(html)["elements"]
+        for chain in chains:
+            *outer, own = chain.split()
+
+            def fits(e, one):
+                return number_of(one) in plain[e["pos"]]
+
+            plain = {e["pos"]: e["marks"] for e in _Flattener(Matcher(simple)).page(html)["elements"]}
+
+            def inside(e, path):
+                return not path or any(
+                    a["pos"] < e["pos"] <= a["last"] and fits(a, path[-1]) and inside(a, path[:-1]) for a in elements
+                )
+
+            want = [e["pos"] for e in elements if fits(e, own) and inside(e, outer)]
+            assert [e["pos"] for e in elements if number_of(chain) in e["marks"]] == want, (chain, html)
+
+
+def test_markup_forms(spark):
+    html = """<!DOCTYPE html><?x y?><P Title='a>b' data-x="1 > 2" hidden CLASS=q>One<br/>two<a href=/u?a=1&amp;b=2>l</a>
+    <![CDATA[<b>no</b>]]><!-- <b>no</b> --><script type=x>if (a</b) "</scr"</script ><i title=it's>3 < 4 &lt; 5</i></p><b"""
+    row = pages.parse_pages(page(spark, html)).first()
+    found = [(e["tag"], dict(e["attrs"])) for e in row["elements"]]
+    assert found == [
+        ("p", {"title": "a>b", "data-x": "1 > 2", "hidden": "", "class": "q"}), ("br", {}),
+        ("a", {"href": "/u?a=1&b=2"}), ("script", {"type": "x"}), ("i", {"title": "it's"}),
+    ]
+    assert row["elements"][3]["script"] == 'if (a</b) "</scr"'
+    assert row["texts"] == ["One", "two", "l", "\n", "3 < 4 < 5", "<b"]
+
+
+def test_unknown_selectors_are_refused(spark):
+    with pytest.raises(ValueError, match="not flattened"):
+        select_all(F.col("elements"), ".never-named p")
+    with pytest.raises(ValueError, match="unsupported"):
+        flatten(F.col("html"), ("p > b",))
+
+
 def test_embedded_documents(spark):
     record = {"NickName": "n", "Rating": 0, "rating": "5", "Comments": "c", "Pros": "p", "TotalVoting": 2,
               "InDate": "10/28/2022", "HasPurchased": 1}
