@@ -16,9 +16,11 @@ def rating_histogram(products: DataFrame) -> DataFrame:
     """``category, cents, n``: products per category and rating (in hundredths).
 
     Unrated products are kept under a NULL ``cents`` so that row counts come from
-    the same pass. Double ratings are rounded to hundredths first, not cut.
+    the same pass. Double ratings are rounded to hundredths first, not cut; a rating that is
+    no DECIMAL(3,2) counts as missing, as in the imports (``quality.rejected_values`` counts
+    these).
     """
-    cents = (F.col("rating").cast("decimal(3,2)") * 100).cast("int")
+    cents = (F.col("rating").try_cast("decimal(3,2)") * 100).cast("int")
     return products.groupBy("category", cents.alias("cents")).agg(F.count("*").alias("n"))
 
 

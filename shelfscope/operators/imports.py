@@ -43,7 +43,21 @@ def import_reviews(reviews: DataFrame) -> DataFrame:
     )
 
 
-def replace_by_id(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert-or-replace by primary key: incoming rows win."""
+def replace_by_id(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Insert-or-replace by primary key: incoming rows win, and of those with one id the
+    last by ``order`` (which is not stored). Without ``order``, or where it ties, the greatest
+    row wins, so that the result is the same however the rows are dealt. Rows without an id
+    replace nothing and all stay.
+    """
+    columns = stored.columns
+    fields = F.struct(*[c for c in columns if c != "id"])
+    place = F.struct(F.col(order), fields) if order else fields
+    last = (
+        incoming.filter("id is not null").groupBy("id").agg(F.max_by(fields, place).alias("_r"))
+        .select("id", "_r.*").select(*columns)
+    )
     kept = stored.join(incoming.select("id").distinct(), "id", "left_anti")
-    return kept.select(*stored.columns).unionByName(incoming)
+    return (
+        kept.select(*columns).unionByName(last)
+        .unionByName(incoming.filter("id is null").select(*columns))
+    )

@@ -19,9 +19,11 @@ def price_stats(products: DataFrame, price: str = "discounted_price") -> DataFra
     holding each middle rank, and only that bin is ranked value by value. No window
     ever covers more than 10**5 rows.
     """
-    cents = (F.col(price).cast("decimal(10,2)") * 100).cast("long").alias("cents")
+    # a price that is no DECIMAL(10,2) counts as missing
+    value = F.col(price).try_cast("decimal(10,2)")
+    cents = (value * 100).cast("long").alias("cents")
     hist = (
-        products.filter(F.col(price).isNotNull())
+        products.filter(value.isNotNull())
         .groupBy("category", cents)
         .agg(F.count("*").alias("n"))
         .withColumn("bin", F.floor(F.col("cents") / _BIN))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfscope.functions.numeric import round_half_away, share
 from shelfscope.operators.histogram import rating_histogram
@@ -123,3 +123,17 @@ def top_categories(products: DataFrame, limit: int = 10) -> DataFrame:
         .orderBy(F.desc("product_count"), "category")
         .limit(limit)
     )
+
+
+def rejected_values(products: DataFrame, price: str = "discounted_price") -> DataFrame:
+    """One row: products whose rating or price is a value, but none that the analysis schema
+    (DECIMAL(3,2), DECIMAL(10,2)) can hold. Everywhere else such a value counts as missing."""
+
+    def rejected(column: str, kind: str) -> Column:
+        return F.count_if(F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull())
+
+    return products.agg(
+        F.count("*").alias("products"),
+        rejected("rating", "decimal(3,2)").alias("ratings"),
+        rejected(price, "decimal(10,2)").alias("prices"),
+    )

@@ -97,16 +97,23 @@ def new_reviews(
     store: DataFrame, batch: DataFrame, as_of: dt.datetime, order: str = "seq"
 ) -> DataFrame:
     """The batch rows to append: the first row of each unseen ``review_id`` and every
-    row without one."""
-    keyed = F.col("review_id").isNotNull() & (F.col("review_id") != "")
+    row without one.
+
+    The first row of a key is found from narrow rows (key, place in the batch), which are
+    combined on the map side and made durable; unseen keys then choose the wide rows in one
+    semi-join. Rows with equal key and place are one row.
+    """
+    keyed = F.coalesce(F.col("review_id") != "", F.lit(False))
     columns = [c for c in batch.columns if c != order]
-    first = (
-        batch.filter(keyed)
-        .groupBy("review_id")
-        .agg(F.min_by(F.struct(*[c for c in columns if c != "review_id"]), order).alias("r"))
-        .select("review_id", "r.*")
+    place = F.struct(F.col(order), F.xxhash64(*columns)).alias("_place")
+    first = durable(batch.filter(keyed).groupBy("review_id").agg(F.min(place).alias("_place")))
+    chosen = unseen(first, store, "review_id")
+    marked = batch.filter(keyed).withColumn("_place", place)
+    rows = (
+        marked.join(chosen, ["review_id", "_place"], "left_semi")
+        .dropDuplicates(["review_id"]).select(*columns)
+        .unionByName(batch.filter(~keyed).select(*columns))
     )
-    rows = unseen(first, store, "review_id").unionByName(batch.filter(~keyed | F.col("review_id").isNull()).select(*columns))
     return rows.select(
         "product_id",
         "reviewer_name",
@@ -164,14 +171,18 @@ def products_page(products: DataFrame, limit: int = 50, offset: int = 0) -> Data
 
 
 def products_after(
-    products: DataFrame, created_at: dt.datetime, product_id: int, limit: int = 50
+    products: DataFrame, created_at: dt.datetime | None, product_id: int, limit: int = 50
 ) -> DataFrame:
-    """The page that follows the given last row: a filter and a top-k at any depth."""
-    moment = _moment(created_at)
-    later = (F.col("created_at") < moment) | (
-        (F.col("created_at") == moment) & (F.col("id") > product_id)
-    )
-    return products.filter(later).orderBy(F.desc("created_at"), "id").limit(limit)
+    """The page that follows the given last row, in the order of ``products_page``: a filter
+    and a top-k at any depth. Products without a date come last; ``created_at`` is None when
+    the last row is one of them."""
+    at, below = F.col("created_at"), F.col("id") > product_id
+    if created_at is None:
+        later = at.isNull() & below
+    else:
+        moment = _moment(created_at)
+        later = at.isNull() | (at < moment) | ((at == moment) & below)
+    return products.filter(later).orderBy(F.desc_nulls_last("created_at"), "id").limit(limit)
 
 
 def reviews_page(
@@ -251,7 +262,8 @@ def products_nested(
     Parts are consecutive ranges in review order (day, then id): reviews are counted per
     product, day and range of ``per_document`` ids, and a running sum of these counts
     names the part, so no window covers the reviews of a product. A part has fewer than
-    twice ``per_document`` reviews; nothing is cut off. A product without reviews has
+    twice ``per_document`` reviews; nothing is cut off (reviews without an id are one range
+    of their day, however many they are). A product without reviews has
     part 0 with an empty array.
 
     The running sums are needed only for products with more than ``per_document``
@@ -279,7 +291,7 @@ def products_nested(
     same = (
         (F.col("product_id") == F.col("_product_id"))
         & F.col("day").eqNullSafe(F.col("_day"))
-        & (F.col("block") == F.col("_block"))
+        & F.col("block").eqNullSafe(F.col("_block"))
     )
     entry = F.struct(F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r"))
     in_order = F.sort_array(F.collect_list(entry)).alias("sorted")

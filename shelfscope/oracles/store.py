@@ -54,8 +54,9 @@ select * from products where id not in (select l_partkey + 1 from lineitem where
     "product_by_url": ctes("products") + " select * from products where url = 'https://shop.example/p/42'",
     "product_by_id": ctes("products") + " select * from products where id = 43",
     "products_page": ctes("products") + """
-select *, (select count(*) from products) as total, 70 < (select count(*) from products) as has_more
-from products order by created_at desc, id limit 50 offset 20""",
+select * replace (case when id % 7 <> 0 then created_at end as created_at),
+  (select count(*) from products) as total, 70 < (select count(*) from products) as has_more
+from products order by id % 7 = 0, created_at desc, id limit 50 offset 20""",
     "reviews_page": ctes("reviews") + """
 select *, review_date as date, (select count(*) from reviews where product_id = 17) as total,
   15 < (select count(*) from reviews where product_id = 17) as has_more
@@ -78,11 +79,13 @@ docs as (select product_id, list({'reviewer_name': reviewer_name, 'rating': rati
 select p.*, 0 as part, coalesce(cast(to_json(d.rs) as varchar), '[]') as reviews
 from products p left join docs d on p.id = d.product_id""",
     "products_nested_parts": ctes("products", "reviews") + """,
-units as (select product_id, review_date::date as day, floor(id / 7) as block, count(*) as n from reviews group by all),
-parts as (select product_id, day, block, cast(floor(coalesce(sum(n) over (partition by product_id order by day, block
+partly as (select * replace (case when id % 13 <> 0 then id end as id) from reviews),
+units as (select product_id, review_date::date as day, floor(id / 7) as block, count(*) as n from partly group by all),
+parts as (select product_id, day, block, cast(floor(coalesce(sum(n) over (partition by product_id order by day, block nulls first
     rows between unbounded preceding and 1 preceding), 0) / 7) as int) as part from units),
-docs as (select r.product_id, part, string_agg(concat_ws(' ', title, body), ';' order by review_date, id) as rs
-  from reviews r join parts p on r.product_id = p.product_id and r.review_date::date = p.day and floor(r.id / 7) = p.block group by all)
+docs as (select r.product_id, part, string_agg(concat_ws(' ', title, body), ';' order by review_date, id nulls first, reviewer_name, rating, title, body) as rs
+  from partly r join parts p on r.product_id = p.product_id and r.review_date::date = p.day
+    and floor(r.id / 7) is not distinct from p.block group by all)
 select p.id, coalesce(part, 0) as part, coalesce(rs, '') as reviews from products p left join docs d on p.id = d.product_id""",
     "store_overview": ctes("products", "reviews", "scraping_sessions") + """
 select p.*, count(r.id) as actual_review_count, avg(r.rating) as avg_review_rating,
@@ -92,8 +95,11 @@ select p.*, count(r.id) as actual_review_count, avg(r.rating) as avg_review_rati
   (select round(sum(case when success then 1 else 0 end) * 100.0e0 / count(*), 2) from scraping_sessions) as store_scraping_success_rate
 from products p left join reviews r on p.id = r.product_id group by all""",
     "products_after": ctes("products") + """
-select * from products where created_at < timestamp '2024-06-01' or (created_at = timestamp '2024-06-01' and id > 40)
-order by created_at desc, id limit 30""",
+select * replace (case when id % 7 <> 0 then created_at end as created_at) from products
+where id % 7 = 0 or created_at < timestamp '1990-01-01' or (created_at = timestamp '1990-01-01' and id > 40)
+order by id % 7 = 0, created_at desc, id limit 30""",
+    "products_after_undated": ctes("products") + """
+select * replace (cast(null as timestamp) as created_at) from products where id % 7 = 0 and id > 40 order by id limit 30""",
     "search_catalogue": ctes("amazon_products") + """
 select review_id, title, cast(discounted_price as double) as discounted_price, cast(rating as double) as rating from amazon_products
 where contains(lower(title), 'brand#1') and discounted_price <= 30000 and rating >= 2""",
@@ -106,6 +112,13 @@ held as (select id, title, brand, try_cast(price as decimal(10,2)) as price, try
 newer as (select * replace (id * 2 as id, concat('new ', title) as title) from held where review_count > 25),
 both_ as (select * from held where id not in (select id from newer) union all select * from newer)
 select * replace (cast(price as double) as price, cast(rating as double) as rating) from both_""",
+    "rejected_values": ctes("amazon_products") + """
+select count(*) as products,
+  count(*) filter (where try_cast(cast(rating as double) * case when rating_count % 5 = 0 then 4.0e0 else 1.0e0 end as decimal(3,2)) is null
+    and rating is not null) as ratings,
+  count(*) filter (where try_cast(cast(discounted_price as double) * case when rating_count % 7 = 0 then 1e6 else 1.0e0 end as decimal(10,2)) is null
+    and discounted_price is not null) as prices
+from amazon_products""",
     "load_rejects": ctes("amazon_products") + """
 select count(*) as read, count(*) filter (where rating_count = 13) as rejected,
   count(*) filter (where rating_count <> 13 and rating > 0 and category is not null) as kept from amazon_products""",

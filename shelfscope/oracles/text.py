@@ -103,11 +103,18 @@ from (select page_id, case page_id % 5 when 0 then url when 1 then substr(url, 8
     "normalize_urls": r"""
 select page_id, link, case when regexp_matches(link, '^https?://') then link
   when starts_with(link, '//') then concat(regexp_extract(url, '^[a-z]+:'), link)
+  when starts_with(link, 'mailto:') then link
+  when starts_with(link, '#') then concat(regexp_extract(url, '^[^#]+'), link)
+  when starts_with(link, '/a/./b/../c/') then concat(regexp_extract(url, '^[a-z]+://[^/?#]+'), replace(link, '/a/./b/../c/', '/a/c/'))
+  when starts_with(link, '../../up/') then concat(regexp_extract(url, '^[a-z]+://[^/?#]+'),
+    coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*/)', 1), '([^/]*/[^/]*/)$', ''), ''), '/'), 'up/')
   when starts_with(link, '/') then concat(regexp_extract(url, '^[a-z]+://[^/?#]+'), link)
   when starts_with(link, '?') then concat(regexp_extract(url, '^[^?#]+'), link)
   else concat(regexp_extract(url, '^[a-z]+://[^?#]*/'), link) end as absolute
 from (select page_id, url, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1),
-  [url, concat('//cdn.example.org/', page_id), concat('item/', page_id, '.html'), concat('?page=', page_id)])) as link from pages)""",
+  [url, concat('//cdn.example.org/', page_id), concat('item/', page_id, '.html'), concat('?page=', page_id),
+   concat('../../up/./', page_id, '/../x/..'), concat('#at-', page_id), concat('/a/./b/../c/', page_id, '?q=/../'),
+   concat('mailto:', page_id, '@example.org')])) as link from pages)""",
     "extract_brand": ctes("products") + r""",
 t as (select id, case id % 6 when 0 then concat('Brand: ', brand) when 1 then concat('manufacturer:  ', brand) when 2 then brand else null end as brand_text,
   case id % 6 when 3 then concat('intel ', title) when 4 then concat('Fast G.Skill Ryzen 7 ', title) when 5 then concat('AMDock ', title) else title end as name from products)

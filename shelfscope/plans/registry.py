@@ -173,9 +173,11 @@ def _replace_products(spark: SparkSession, sf: str) -> DataFrame:
     """Products of the batch's parts replace stored ones by id, unseen ones are added."""
     held = imports.import_products(view(spark, sf, "products"))
     newer = held.filter(F.col("review_count") > 25).withColumns(
-        {"id": F.col("id") * 2, "title": F.concat(F.lit("new "), F.col("title"))}
+        {"id": F.col("id") * 2, "title": F.concat(F.lit("new "), F.col("title")), "seq": F.col("id") % 3}
     )
-    return plain(imports.replace_by_id(held, newer))
+    # every third id comes again, earlier in the batch
+    again = newer.filter(F.col("seq") == 0).withColumns({"seq": F.lit(-1), "title": F.lit("old")})
+    return plain(imports.replace_by_id(held, newer.unionByName(again), "seq"))
 
 
 def _load_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,6 +197,18 @@ def _export_results(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.options(header="true", inferSchema="false").csv(written["category_stats"])
 
 
+def _rejected_values(products: DataFrame) -> DataFrame:
+    """Ratings and prices as doubles, some of them beyond the analysis schema."""
+    odd = products.withColumns(
+        {
+            "rating": F.col("rating").cast("double") * F.when(F.col("rating_count") % 5 == 0, 4.0).otherwise(1.0),
+            "discounted_price": F.col("discounted_price").cast("double")
+            * F.when(F.col("rating_count") % 7 == 0, 1e6).otherwise(1.0),
+        }
+    )
+    return quality.rejected_values(odd)
+
+
 SOURCES: dict[str, Query] = {
     "csv_scan": lambda spark, sf: catalog.csv_scan(spark, _dirty_file(spark, sf)),
     "load_catalog": _load_catalog,
@@ -210,6 +224,7 @@ SOURCES: dict[str, Query] = {
             durable(rating_histogram(imports.import_products(view(spark, sf, "products"))))
         )
     ),
+    "rejected_values": _on_view("amazon_products", _rejected_values),
     "table_info": lambda spark, sf: tables.table_info(view(spark, sf, "products")),
     "export_results": _export_results,
 }
@@ -228,12 +243,18 @@ def _nested(products: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def _nested_parts(products: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Short parts, so that every product has several."""
+    """Short parts, so that every product has several; some reviews have no id."""
+    reviews = reviews.withColumn("id", F.when(F.col("id") % 13 != 0, F.col("id")))
     docs = store.products_nested(products, reviews, per_document=7)
     ids = F.transform("reviews", lambda r: F.concat_ws(" ", r["title"], r["body"]))
     return docs.select("id", "part", F.array_join(ids, ";").alias("reviews"))
 
 
+def _some_undated(products: DataFrame) -> DataFrame:
+    """Every seventh product without a date."""
+    return products.withColumn("created_at", F.when(F.col("id") % 7 != 0, F.col("created_at")))
+
+
 def _delete(spark: SparkSession, sf: str) -> DataFrame:
     returned = table(spark, sf, "lineitem").filter(
         (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
@@ -315,7 +336,6 @@ STORE: dict[str, Query] = {
         "products", lambda p: store.product_by_url(p, "https://shop.example/p/42")
     ),
     "product_by_id": _on_view("products", lambda p: store.product_by_id(p, 43)),
-    "products_page": _on_view("products", lambda p: store.products_page(p, limit=50, offset=20)),
     "reviews_page": _on_view("reviews", lambda r: store.reviews_page(r, 17, limit=10, offset=5)),
     "reviews_by_product": _on_view("reviews", lambda r: store.reviews_by_product(r, 17)),
     "product_with_reviews": _on_views(
@@ -326,8 +346,14 @@ STORE: dict[str, Query] = {
     "products_nested": _on_views(("products", "reviews"), _nested),
     "products_nested_parts": _on_views(("products", "reviews"), _nested_parts),
     "store_overview": _on_views(("products", "reviews", "scraping_sessions"), store.store_overview),
+    "products_page": _on_view(
+        "products", lambda p: store.products_page(_some_undated(p), limit=50, offset=20)
+    ),
     "products_after": _on_view(
-        "products", lambda p: store.products_after(p, dt.datetime(2024, 6, 1), 40, limit=30)
+        "products", lambda p: store.products_after(_some_undated(p), dt.datetime(1990, 1, 1), 40, limit=30)
+    ),
+    "products_after_undated": _on_view(
+        "products", lambda p: store.products_after(_some_undated(p), None, 40, limit=30)
     ),
     "search_catalogue": _on_view(
         "amazon_products",
@@ -405,6 +431,10 @@ def _normalize_urls(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("//cdn.example.org/"), page_id),
             F.concat(F.lit("item/"), page_id, F.lit(".html")),
             F.concat(F.lit("?page="), page_id),
+            F.concat(F.lit("../../up/./"), page_id, F.lit("/../x/..")),
+            F.concat(F.lit("#at-"), page_id),
+            F.concat(F.lit("/a/./b/../c/"), page_id, F.lit("?q=/../")),
+            F.concat(F.lit("mailto:"), page_id, F.lit("@example.org")),
         ),
     )
     found = table(spark, sf, "pages").select("page_id", "url", F.explode(links).alias("link"))

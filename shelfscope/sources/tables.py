@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def custom_sql(spark: SparkSession, frames: dict[str, DataFrame], query: str) -> DataFrame:
-    """Run any Spark SQL over the given frames under their names; the names are free again
-    afterwards."""
+    """Run any Spark SQL over the given frames under their names. Afterwards the names mean
+    what they meant before: the caller's own temporary views are put back."""
+    before = {
+        name: spark.table(name)
+        for name in frames
+        if any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables(pattern=name))
+    }
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     try:
@@ -15,6 +20,8 @@ def custom_sql(spark: SparkSession, frames: dict[str, DataFrame], query: str) ->
     finally:
         for name in frames:
             spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def table_info(df: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscope.operators import sessions, store
+from shelfscope.operators import imports, prices, quality, sessions, store
+from shelfscope.operators.histogram import rating_histogram
 from shelfscope.operators.numbering import number_rows
 from shelfscope.schemas import METRICS, PRODUCTS, REVIEWS
-from shelfscope.sources import sinks
+from shelfscope.sources import sinks, tables
 from shelfscope.session import work_path
 from shelfscope.views import view
 
@@ -174,3 +175,65 @@ def test_expiry_keeps_the_limit_day(spark):
     )
     kept = sessions.expire_sessions(df, NOW, days=30)
     assert sorted(r["id"] for r in kept.collect()) == [1, 3]
+
+
+def test_null_ids_stay_in_products_with_several_parts(spark):
+    products = spark.createDataFrame([(1, "p")], "id long, title string")
+    columns = "id long, product_id long, reviewer_name string, rating double, title string, body string, review_date timestamp, verified_purchase boolean"
+    rows = [(None if i % 9 == 4 else i, 1, "n", 4.0, f"t{i}", "b", dt.datetime(2024, 1, 1 + i % 3), True) for i in range(25)]
+    reviews = spark.createDataFrame(rows, columns)
+    for size in (100, 7):
+        got = store.products_nested(products, reviews, per_document=size).collect()
+        assert sorted(r["title"] for row in got for r in row["reviews"]) == sorted(r[4] for r in rows)
+
+
+def test_pages_go_on_past_the_dated_rows(spark):
+    rows = [(i, None if i % 3 == 0 else dt.datetime(2024, 1, 1 + i % 4)) for i in range(1, 41)]
+    products = spark.createDataFrame(rows, "id long, created_at timestamp_ntz")
+    seen, last = [], None
+    page = store.products_page(products, limit=7).select("id", "created_at").collect()
+    while page:
+        seen += [r["id"] for r in page]
+        last = page[-1]
+        page = store.products_after(products, last["created_at"], last["id"], limit=7).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -r[1].timestamp() if r[1] else 0, r[0]))
+    assert seen == [r[0] for r in want]
+
+
+def test_last_of_repeated_incoming_ids_wins(spark):
+    schema = "id long, title string"
+    held = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], schema)
+    batch = spark.createDataFrame([(1, "late", 9), (1, "early", 2), (3, "x", 1), (None, "m", 1), (None, "m", 2)], schema + ", seq int")
+    got = imports.replace_by_id(held, batch, "seq").collect()
+    assert sorted(got, key=repr) == sorted([(1, "late"), (2, "b"), (3, "x"), (None, "n"), (None, "m"), (None, "m")], key=repr)
+    assert imports.replace_by_id(held, batch.drop("seq")).filter("id = 1").collect() == [(1, "late")]
+
+
+def test_first_review_of_a_key_by_place(spark):
+    columns = "seq long, product_id long, reviewer_name string, rating double, title string, body string, date string, verified_purchase boolean, review_id string, product_url string"
+    batch = spark.createDataFrame(
+        [(3, 1, "c", 1.0, "t3", "b", None, True, "k", "u"), (1, 1, "a", 2.0, "t1", "b", None, None, "k", "u"),
+         (1, 1, "a", 2.0, "t1", "b", None, None, "k", "u"), (2, 1, "x", 2.0, "t", "b", None, None, "old", "u"),
+         (4, 1, "y", 2.0, "t4", "b", None, None, None, "u"), (4, 1, "y", 2.0, "t4", "b", None, None, "", "u")], columns,
+    )
+    known = spark.createDataFrame([("old",)], "review_id string")
+    got = store.new_reviews(known, batch, dt.datetime(2024, 1, 1)).collect()
+    assert sorted((r["review_id"] or "", r["title"]) for r in got) == [("", "t4"), ("", "t4"), ("k", "t1")]
+
+
+def test_callers_view_survives_custom_sql(spark):
+    spark.createDataFrame([(7,)], "mine int").createOrReplaceTempView("held_name")
+    frame = spark.createDataFrame([(1,), (2,)], "x int")
+    assert tables.custom_sql(spark, {"held_name": frame, "free_name": frame}, "select count(*) n from held_name").first()["n"] == 2
+    assert spark.table("held_name").first()["mine"] == 7
+    assert not spark.catalog.tableExists("free_name")
+    spark.catalog.dropTempView("held_name")
+
+
+def test_values_beyond_the_schema_count_as_missing(spark):
+    rows = [("a", 12.5, 1e9), ("a", 4.5, 10.0), ("a", None, None), ("a", 3.5, 20.0)]
+    df = spark.createDataFrame(rows, "category string, rating double, discounted_price double")
+    hist = {r["cents"]: r["n"] for r in rating_histogram(df).collect()}
+    assert hist == {None: 2, 450: 1, 350: 1}
+    assert prices.price_stats(df).count() == 1
+    assert tuple(quality.rejected_values(df).first()) == (4, 1, 1)

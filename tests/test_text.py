@@ -139,3 +139,39 @@ def test_stored_date(spark):
         dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4),
         dt.datetime(2024, 1, 2, 1, 4, 5), None, None, None,
     ]
+
+
+# RFC 3986, section 5.4, base http://a/b/c/d;p?q; strict
+RFC_EXAMPLES = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g",
+    "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s",
+    "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x",
+    "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/",
+    "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/",
+    "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g",
+    "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..",
+    "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h",
+    "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y",
+    "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x",
+    "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http:g",
+}
+
+
+def test_references_resolve_as_the_rfc_says(spark):
+    rows = [("http://a/b/c/d;p?q", k, v) for k, v in RFC_EXAMPLES.items()]
+    rows += [
+        ("http://a", "g", "http://a/g"), ("http://a?x", "../g", "http://a/g"), ("http://a/b#f", "?y", "http://a/b?y"),
+        ("http://a//b//c", "../d", "http://a//b/d"), ("http://a/b", "x//../y\n", "http://a/x/y\n"),
+        ("http://a/b?q", "//h?z", "http://h?z"), ("http://a/b/", "", "http://a/b/"), ("http://é/ü/x", "../ö", "http://é/ö"),
+    ]
+    df = spark.createDataFrame(rows, "base string, link string, want string")
+    got = df.select("link", "want", urls.resolve(F.col("link"), F.col("base")).alias("got"))
+    assert [(r.link, r.got) for r in got.collect()] == [(r[1], r[2]) for r in rows]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_normalized_links(spark):
+    rows = [(None, "http://a/", ""), ("", "http://a/", ""), ("x", None, "x"), ("x", "", "x"), ("https://b/../c", "http://a/", "https://b/../c")]
+    df = spark.createDataFrame(rows, "link string, base string, want string")
+    assert all(r.want == r.got for r in df.withColumn("got", urls.normalize_url(F.col("link"), F.col("base"))).collect())
