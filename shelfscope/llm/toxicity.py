@@ -387,8 +387,11 @@ def learn(
     near = _counts(texts, "key", lexicon).filter(F.col("n") * both[0] * 5 >= F.col("t") * both[1])
     real = near.orderBy(F.desc("n"), "key").limit(MAX_KEYS).collect()
     lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r.key for r in real))
-    chosen = texts.orderBy(F.xxhash64("id"), "id").limit(sample)
-    found = _measured(chosen, lexicon, ["y"]).collect()
+    # the sample is chosen by id alone: at most ``sample`` rows of one column
+    chosen = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    measured = _measured(texts.join(F.broadcast(chosen), "id"), lexicon, ["id", "y"])
+    # a repeated id would add rows beyond the bound: one row for each
+    found = measured.groupBy("id").agg(F.min_by("y", "x").alias("y"), F.min("x").alias("x")).collect()
     x = np.array([r.x for r in found], float).reshape(len(found), len(STATISTICS))
     return Model(lexicon, fit(x, np.array([r.y for r in found], float)))
 
