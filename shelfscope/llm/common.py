@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfscope.session import durable
+from shelfscope.session import durable, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes of their texts, that may be broadcast; larger sides are left to
@@ -82,30 +82,47 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+#: links of a node that one task may join; more are spread over as many tasks as it takes
+_HUB = 256
+
+
+def _with_minimum(links: DataFrame, low: DataFrame) -> DataFrame:
+    """``links (a, b)`` with the ``m`` of their ``a`` from ``low (a, m, n)``. The links of a
+    node with many (``n``) are dealt by salt, its minimum goes to every salt."""
+    hubs = low.filter(F.col("n") > _HUB).select("a", F.ceil(F.col("n") / F.lit(_HUB)).cast("int").alias("salts"))
+    # fewer than one in _HUB / 2 of the nodes
+    salted = links.join(small_side(durable(hubs)), "a", "left").select(
+        "a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).cast("int").alias("salt")
+    )
+    last = F.greatest(F.ceil(F.col("n") / F.lit(_HUB)).cast("int"), F.lit(1)) - 1
+    every = low.select("a", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > _HUB, last).otherwise(0))).alias("salt"))
+    return salted.join(every, ["a", "salt"]).select("a", "b", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``: the least node reachable.
 
-    Large-star and small-star rounds: each joins the links with one row per node, so a
-    hub is never gathered, and each is written to the checkpoint folder. The rounds end
+    Large-star and small-star rounds: each joins the links with one row per node, or one per
+    salt of a hub, so a hub is never gathered, and each is written to the checkpoint folder. The rounds end
     when the links no longer change, after a number of rounds logarithmic in the nodes.
     """
-    now = durable(links.select("a", "b").filter("a <> b").distinct())
+    # Parquet, not checkpoints: these keep the estimated sizes of their plans, which grow to
+    # numbers of thousands of digits over the rounds
+    now = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = (
-            both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = _with_minimum(both, low).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         # every link now points down: a > b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            _with_minimum(large, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
             .filter("a <> b").distinct()
         )
-        now = durable(small)
+        now = stored(small, "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
