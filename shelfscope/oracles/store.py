@@ -112,6 +112,11 @@ held as (select id, title, brand, try_cast(price as decimal(10,2)) as price, try
 newer as (select * replace (id * 2 as id, concat('new ', title) as title) from held where review_count > 25),
 both_ as (select * from held where id not in (select id from newer) union all select * from newer)
 select * replace (cast(price as double) as price, cast(rating as double) as rating) from both_""",
+    "csv_line_breaks": ctes("amazon_products") + """
+select review_id, title, category, cast(rating as double) as rating, rating_count,
+  concat(review_content, chr(10), 'second, "line"', chr(10), chr(10), chr(13), chr(10), review_id) as review_content,
+  false as rejected
+from amazon_products""",
     "rejected_values": ctes("amazon_products") + """
 select count(*) as products,
   count(*) filter (where try_cast(cast(rating as double) * case when rating_count % 5 = 0 then 4.0e0 else 1.0e0 end as decimal(3,2)) is null

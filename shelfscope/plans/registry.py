@@ -147,6 +147,16 @@ def _dirty_file(spark: SparkSession, sf: str) -> str:
     return path
 
 
+def _csv_line_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue from CSV with line breaks, quotes and blank lines inside quoted texts."""
+    products = view(spark, sf, "amazon_products")
+    broken = F.concat(F.col("review_content"), F.lit('\nsecond, "line"\n\n\r\n'), F.col("review_id"))
+    path = work_path(spark, "breaks-csv")
+    catalog.write_csv(products.withColumn("review_content", broken), path)
+    rows = catalog.typed(catalog.csv_scan(spark, path, multi_line=True, with_broken=True))
+    return plain(rows.select("review_id", "title", "category", "rating", "rating_count", "review_content", "rejected"))
+
+
 def _load_catalog(spark: SparkSession, sf: str) -> DataFrame:
     target = work_path(spark, "catalog")
     loaded = catalog.load_catalog(spark, _clean_file(spark, sf), target, order_by=["review_id"])
@@ -211,6 +221,7 @@ def _rejected_values(products: DataFrame) -> DataFrame:
 
 SOURCES: dict[str, Query] = {
     "csv_scan": lambda spark, sf: catalog.csv_scan(spark, _dirty_file(spark, sf)),
+    "csv_line_breaks": _csv_line_breaks,
     "load_catalog": _load_catalog,
     "load_counts": _load_counts,
     "load_summary": _load_summary,

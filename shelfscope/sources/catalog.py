@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from shelfscope.operators.numbering import number_rows
 from shelfscope.schemas import CATALOG_COLUMNS
 from shelfscope.session import stored
+from shelfscope.sources import csv_records
 
 # fixed values: dialect of the catalogue files
 CSV_OPTIONS = {
@@ -38,26 +39,35 @@ def csv_scan(
 
     Column names come from the header, ``aliases`` (file name -> catalogue name) renames
     those that differ. Short rows are padded with NULL and extra fields cut off. Types
-    are never inferred, so the data is read once. Quoted line breaks need
-    ``multi_line``, which makes a file unsplittable, hence off by default; without it
-    ``with_broken`` adds a flag for lines whose quotes do not pair and whose number of
-    fields is not the header's, as the halves of such a row. Files whose header differs from the first one's fail the read.
+    are never inferred. Without ``multi_line`` the data is read once, and ``with_broken`` adds
+    a flag for lines whose quotes do not pair and whose number of fields is not the header's, as
+    the halves of a row with a quoted line break. With ``multi_line`` such rows are whole: files are
+    split all the same and read twice (``csv_records``), and only a record that its file does
+    not finish is broken. Files whose header differs from the first one's fail the read.
     """
-    reader = spark.read.options(
-        **CSV_OPTIONS, multiLine=str(multi_line).lower(), emptyValue=_EMPTY
-    )
+    reader = spark.read.options(**CSV_OPTIONS, emptyValue=_EMPTY)
     header = reader.csv(path).columns
     schema = ", ".join(f"`{c}` string" for c in header)
-    raw = reader.options(enforceSchema="false", columnNameOfCorruptRecord=_LINE).schema(
-        f"{schema}, {_LINE} string"
-    ).csv(path)
+    if multi_line:
+        options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"emptyValue": _EMPTY}
+        found = csv_records.records(spark, path, header)
+        parsed = F.from_csv("record", schema, options)
+        raw = found.select(parsed.alias("_r"), "unfinished").select("_r.*", "unfinished")
+    else:
+        raw = reader.options(enforceSchema="false", columnNameOfCorruptRecord=_LINE).schema(
+            f"{schema}, {_LINE} string"
+        ).csv(path)
     names = {(aliases or {}).get(c, c): c for c in header}
     missing = [c for c, _ in CATALOG_COLUMNS if c not in names]
     if "title" in missing or "rating" in missing or "category" in missing:
         raise ValueError(f"catalogue lacks columns {missing}")
-    # a line with another number of fields than the header comes with its text
-    quotes = F.length(_LINE) - F.length(F.replace(F.col(_LINE), F.lit('"'), F.lit("")))
-    broken = [F.coalesce(quotes % 2 == 1, F.lit(False)).alias(BROKEN)] if with_broken else []
+    if multi_line:
+        flag = F.col("unfinished")
+    else:
+        # a line with another number of fields than the header comes with its text
+        quotes = F.length(_LINE) - F.length(F.replace(F.col(_LINE), F.lit('"'), F.lit("")))
+        flag = F.coalesce(quotes % 2 == 1, F.lit(False))
+    broken = [flag.alias(BROKEN)] if with_broken else []
     return raw.select(
         *[
             _text(names[c]).alias(c) if c in names else F.lit(None).cast("string").alias(c)

@@ -10,6 +10,7 @@ from shelfscope.functions.text import title_category  # noqa: F401
 from shelfscope.operators import imports
 from shelfscope.plans import analysis
 from shelfscope.sources import catalog, sinks, tables
+from shelfscope.sources.csv_records import Assembler
 
 HEADER = (
     "title,category,discounted_price,actual_price,discount_percentage,rating,rating_count,about_product,"
@@ -147,3 +148,82 @@ def test_text_sink_keeps_order(spark, folder):
     path = os.path.join(folder, "report")
     sinks.write_text(lines, path, ("line_no",))
     assert [r[0] for r in spark.read.text(path).collect()] == ["a", "b", "c"]
+
+
+BREAKS = (
+    'one,c1,1,2,3,4,5,a,u,n,r1,t,"two\nlines",i,p',
+    'two,c1,1,2,3,4,5,"a ""quoted""\n\n""word""",u,n,r2,t,"é\r\n""\n""",i,p',
+    "three,c1,1,2,3,4,5,a,u,n,r3,t,x,i,p",
+    '"four\n",c1,1,2,3,4,5,a,u,n,r4,t,"' + "long\n" * 9 + '",i,p\r',
+    "",
+    'five,c1,1,2,3,4,5,a,u,n,r5,t,"",i,p',
+)
+
+
+def test_ranges_cut_at_every_byte():
+    """The pieces of two ranges, for every place where a file may be cut."""
+    text = "\n".join(BREAKS)
+    lines = text.split("\n")
+    starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+    whole = [t for _, t in _assembled(lines, False)]
+    for cut in range(len(text) + 1):
+        k = sum(s < cut for s in starts)  # a line belongs to the range it begins in
+        left = _assembled(lines[:k], False)
+        right = _assembled(lines[k:], "\n".join(lines[:k]).count('"') % 2 == 1)
+        kinds = [x for x, _ in left + right]
+        assert set(kinds) <= {"record", "tail", "head"} and kinds.count("tail") == kinds.count("head")
+        out = []
+        for kind, t in left + right:
+            if kind == "head":
+                out[-1] += "\n" + t
+            else:
+                out.append(t)
+        assert out == whole, cut
+
+
+def _assembled(lines, is_open):
+    work = Assembler(is_open)
+    return [x for line in lines for x in work.add(line)] + list(work.end())
+
+
+@pytest.mark.parametrize("size", [9, 150])
+def test_records_over_many_ranges(spark, folder, size):
+    """Records over several ranges; two files in one folder."""
+    import csv
+
+    path = write(folder, *BREAKS)
+    with open(path, encoding="utf-8", newline="") as f:
+        text = f.read()
+    with open(os.path.join(folder, "more.csv"), "w", encoding="utf-8", newline="") as f:
+        f.write(text.replace("r1", "s1").rstrip("\n"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in zip(names, (str(size), "0", "1")):
+            spark.conf.set(k, v)
+        rows = catalog.csv_scan(spark, folder, multi_line=True, with_broken=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = [r for r in csv.reader(text.splitlines(keepends=True))][1:]
+    # the reader here splits at "\n" alone and drops the "\r" of a record's end
+    want = [dict(zip(HEADER.split(","), r)) for r in want if r]
+    assert len(rows) == 2 * len(want) == 10 and not any(r["broken"] for r in rows)
+    got = sorted((r["review_id"], r["title"], r["about_product"], r["review_content"], r["product_link"]) for r in rows)
+    expected = [
+        (k, w["title"], w["about_product"], w["review_content"], "p")
+        for w in want for k in (w["review_id"], w["review_id"].replace("r1", "s1"))
+    ]
+    assert got == sorted(expected)
+
+
+def test_unfinished_records_and_other_headers(spark, folder):
+    path = write(folder, *BREAKS[:2], 'last,c1,1,2,3,4,5,a,u,n,r9,t,"never\nclosed')
+    rows = {r["title"]: r["broken"] for r in catalog.csv_scan(spark, path, multi_line=True, with_broken=True).collect()}
+    assert rows == {"one": False, "two": False, "last": True}
+    with open(os.path.join(folder, "z.csv"), "w") as f:
+        f.write(HEADER.replace("title", "name") + "\n")
+    with pytest.raises(Exception, match="another header"):
+        catalog.csv_scan(spark, folder, multi_line=True).collect()
+    empty = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    assert catalog.csv_scan(spark, write(empty), multi_line=True).count() == 0
