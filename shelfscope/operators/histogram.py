@@ -24,6 +24,18 @@ def rating_histogram(products: DataFrame) -> DataFrame:
     return products.groupBy("category", cents.alias("cents")).agg(F.count("*").alias("n"))
 
 
+def histogram_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``category, cents, n`` with signed counts: what the histogram gains when the rows of
+    ``before`` (replaced and deleted products) give way to those of ``after``."""
+    lost = rating_histogram(before).withColumn("n", -F.col("n"))
+    return folded(lost.unionByName(rating_histogram(after)))
+
+
+def folded(hist: DataFrame) -> DataFrame:
+    """A histogram with changes added up; combinations without products are gone."""
+    return hist.groupBy("category", "cents").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def _moments() -> list[Column]:
     r = F.col("cents").cast("decimal(19,0)")
     n = F.col("n").cast("decimal(19,0)")

@@ -254,3 +254,4 @@ amazon_products as (select case when regexp_matches(title, '(?i)cpu|processor')
     when regexp_matches(title, '(?i)memory|ram') then 'Memory' when regexp_matches(title, '(?i)storage|ssd|hdd') then 'Storage'
     else 'Other' end as category, try_cast(rating as decimal(3,2)) as rating from products)"""
 ORACLES["imported_category_stats"] = ORACLES["category_stats"].replace(ctes("amazon_products"), _IMPORTED)
+ORACLES["stream_category_stats"] = ORACLES["category_stats"]

@@ -117,6 +117,15 @@ select review_id, title, category, cast(rating as double) as rating, rating_coun
   concat(review_content, chr(10), 'second, "line"', chr(10), chr(10), chr(13), chr(10), review_id) as review_content,
   false as rejected
 from amazon_products""",
+    "table_versions": ctes("products") + """,
+second as (
+  select id, case when id % 10 = 3 then upper(title) else title end as title, price from products where id % 10 <> 5
+  union all select -id, title, price from products where id % 10 = 4)
+select id, title, price, 1 as version from products union all select *, 2 from second union all select *, 3 from second""",
+    "stored_lookups": ctes("products", "reviews") + """
+select 'url' as way, id, title from products where url = 'https://shop.example/p/42'
+union all select 'id', id, title from products where id = 44
+union all select 'reviews', id, body from reviews where product_id = 17""",
     "rejected_values": ctes("amazon_products") + """
 select count(*) as products,
   count(*) filter (where try_cast(cast(rating as double) * case when rating_count % 5 = 0 then 4.0e0 else 1.0e0 end as decimal(3,2)) is null

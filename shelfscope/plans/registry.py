@@ -16,7 +16,7 @@ from shelfscope.operators import (
 from shelfscope.operators.histogram import rating_histogram
 from shelfscope.plans import analysis
 from shelfscope.session import durable, work_path
-from shelfscope.sources import catalog, sinks, tables
+from shelfscope.sources import catalog, sinks, tables, versions
 from shelfscope.streaming import streams
 from shelfscope.views import dealt_view, stream_view, table, view
 
@@ -266,6 +266,36 @@ def _some_undated(products: DataFrame) -> DataFrame:
     return products.withColumn("created_at", F.when(F.col("id") % 7 != 0, F.col("created_at")))
 
 
+def _table_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three versions of the product table, the second by changes, the third compacted."""
+    path = work_path(spark, "versions")
+    products = view(spark, sf, "products").select("id", "title", "price")
+    first = sinks.replace_table(products, path)
+    newer = products.filter("id % 10 = 3").withColumn("title", F.upper("title"))
+    added = products.filter("id % 10 = 4").withColumn("id", -F.col("id"))
+    second = versions.change(path, newer.unionByName(added), "id", gone=products.filter("id % 10 = 5"))
+    # a writer that stops before its commit changes nothing
+    versions.write_folder(products.limit(0), path)
+    third = versions.compact(spark, path)
+    rows = [versions.read(spark, path, v).withColumn("version", F.lit(v)) for v in (first, second, third)]
+    return plain(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def _stored_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """A product by URL, one by id, and a product's reviews from tables laid out for it."""
+    products, reviews = work_path(spark, "products"), work_path(spark, "by-product")
+    sinks.write_products(view(spark, sf, "products"), products, buckets=64)
+    sinks.write_reviews_of_products(view(spark, sf, "reviews"), reviews, buckets=64)
+    by_url = sinks.stored_product_by_url(spark, products, "https://shop.example/p/42", 64)
+    by_id = sinks.stored_product_by_id(spark, products, 44)
+    own = sinks.stored_reviews_of(spark, reviews, 17, 64)
+    return (
+        by_url.select(F.lit("url").alias("way"), "id", "title")
+        .unionByName(by_id.select(F.lit("id").alias("way"), "id", "title"))
+        .unionByName(own.select(F.lit("reviews").alias("way"), "id", F.col("body").alias("title")))
+    )
+
+
 def _delete(spark: SparkSession, sf: str) -> DataFrame:
     returned = table(spark, sf, "lineitem").filter(
         (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
@@ -343,6 +373,8 @@ STORE: dict[str, Query] = {
         ("reviews", "review_batch"), lambda r, b: store.new_reviews(r, b, _MOMENT)
     ),
     "delete_products": _delete,
+    "table_versions": _table_versions,
+    "stored_lookups": _stored_lookups,
     "product_by_url": _on_view(
         "products", lambda p: store.product_by_url(p, "https://shop.example/p/42")
     ),
@@ -599,6 +631,29 @@ def _stream_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return added.drop("review_bucket", "stream_id", "batch_id", "id")
 
 
+def _stream_category_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Category statistics from a stored histogram: it begins with two thirds of the products,
+    a stream then inserts the rest with ratings that it corrects, and deletes some rows."""
+    path, arriving = work_path(spark, "histogram"), work_path(spark, "changes")
+    products = view(spark, sf, "amazon_products").select("category", "rating", "rating_count")
+    third = F.col("rating_count") % 3 == 0
+    wrong = F.struct("category", F.lit(1).cast(products.schema["rating"].dataType).alias("rating"))
+    right = F.struct("category", "rating")
+    none = F.lit(None).cast(products.select(right.alias("r")).schema["r"].dataType)
+    # inserted with a wrong rating, then corrected; and some inserted only to be deleted
+    steps = F.array(
+        F.struct(none.alias("before"), wrong.alias("after")), F.struct(wrong.alias("before"), right.alias("after")),
+        F.struct(none.alias("before"), wrong.alias("after")), F.struct(wrong.alias("before"), none.alias("after")),
+    )
+    late = products.filter(third)
+    streams.write_histogram(rating_histogram(products.filter(~third | third.isNull())), path)
+    late.select(F.explode(steps).alias("x")).select("x.*").repartition(6).write.parquet(arriving)
+    schema = spark.read.parquet(arriving).schema
+    stream = streams.file_stream(spark, arriving, schema, files_per_trigger=2)
+    streams.stream_rating_changes(stream, path, work_path(spark, "offsets")).awaitTermination()
+    return plain(category.category_stats(durable(streams.read_histogram(spark, path))))
+
+
 def _stream_totals(view_name: str, totals: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         path = work_path(spark, "totals")
@@ -616,6 +671,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 STREAMS: dict[str, Query] = {
     "stream_merge_products": _stream_merge,
     "stream_new_reviews": _stream_reviews,
+    "stream_category_stats": _stream_category_stats,
     "stream_daily_activity": _stream_totals("scraping_analytics", streams.daily_activity),
     "stream_success_rate": _stream_totals("scraping_sessions", _rounded),
 }

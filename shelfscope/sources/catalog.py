@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from shelfscope.operators.numbering import number_rows
 from shelfscope.schemas import CATALOG_COLUMNS
 from shelfscope.session import stored
-from shelfscope.sources import csv_records
+from shelfscope.sources import csv_records, versions
 
 # fixed values: dialect of the catalogue files
 CSV_OPTIONS = {
@@ -146,7 +146,7 @@ def load_catalog(
 ) -> DataFrame:
     """Scan, convert, filter and number a CSV catalogue; optionally replace ``target``.
 
-    ``target`` is a Parquet folder that is overwritten and read back. Without
+    ``target`` is a table of ``versions`` that is replaced in one step and read back. Without
     ``order_by`` the ids follow the file splits and numbering needs no shuffle. ``counts``
     receives rows read, rejected and kept from the same pass.
     """
@@ -160,8 +160,7 @@ def load_catalog(
     loaded = number_rows(rows, order_by)
     if target is None:
         return loaded
-    loaded.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    return versions.read(spark, target, versions.replace(loaded, target))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

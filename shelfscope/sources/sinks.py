@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfscope.operators import store as store_ops
 from shelfscope.session import durable, exists, stored
+from shelfscope.sources import versions
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Replace all rows of a Parquet table."""
-    df.write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str) -> int:
+    """Replace all rows of a table in one step (``versions``); ``versions.read`` reads it."""
+    return versions.replace(df, path)
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -47,18 +48,56 @@ def note_top(rows: DataFrame, path: str, before: DataFrame) -> None:
 
 
 def _write_buckets(products: DataFrame, path: str, mode: str) -> None:
-    """One folder per bucket. The rebalance hint lets AQE join small buckets into one
-    task and split large ones over several, so file sizes do not depend on the number
-    of buckets."""
+    """One folder per bucket, with a bloom filter of ids and URLs in every file. The
+    rebalance hint lets AQE join small buckets into one task and split large ones over several,
+    so file sizes do not depend on the number of buckets."""
     (
         products.hint("rebalance", F.col("url_bucket"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
+        .option("parquet.bloom.filter.enabled#url", "true")
+        .option("parquet.bloom.filter.enabled#id", "true")
         .partitionBy("url_bucket")
         .parquet(path)
     )
 
 
+def stored_product_by_url(spark: SparkSession, path: str, url: str, buckets: int = 1024) -> DataFrame:
+    """The product of a URL from a table of ``write_products``: only the URL's bucket is
+    listed and opened, and its files' bloom filters say which may hold it."""
+    bucket = F.pmod(F.xxhash64(F.lit(url)), F.lit(buckets)).cast("int")
+    return spark.read.parquet(path).filter((F.col("url_bucket") == bucket) & (F.col("url") == url)).drop("url_bucket")
+
+
+def stored_product_by_id(spark: SparkSession, path: str, product_id: int) -> DataFrame:
+    """The product of an id: files are passed over by the bloom filters of ids."""
+    return spark.read.parquet(path).filter(F.col("id") == product_id).drop("url_bucket")
+
+
+def _product_bucket(product_id, buckets: int):
+    return F.pmod(F.xxhash64(product_id.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+def write_reviews_of_products(reviews: DataFrame, path: str, buckets: int = 1024) -> None:
+    """A copy of the reviews laid out for look-ups by product: one folder per hash bucket
+    of ``product_id``, rows in its order inside a file."""
+    (
+        reviews.withColumn("product_bucket", _product_bucket(F.col("product_id"), buckets))
+        .hint("rebalance", F.col("product_bucket"))
+        .sortWithinPartitions("product_bucket", "product_id")
+        .write.mode("overwrite").option("parquet.bloom.filter.enabled#product_id", "true")
+        .partitionBy("product_bucket").parquet(path)
+    )
+
+
+def stored_reviews_of(spark: SparkSession, path: str, product_id: int, buckets: int = 1024) -> DataFrame:
+    """The reviews of a product from a table of ``write_reviews_of_products``: one bucket is
+    read."""
+    bucket = _product_bucket(F.lit(product_id), buckets)
+    own = (F.col("product_bucket") == bucket) & (F.col("product_id") == product_id)
+    return spark.read.parquet(path).filter(own).drop("product_bucket")
+
+
 def write_products(products: DataFrame, path: str, buckets: int = 1024) -> None:
     """A product table laid out for merging: one folder per hash bucket of ``url``."""
     _write_buckets(_bucketed(products, buckets), path, "static")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfscope.operators import store as store_ops
+from shelfscope.operators.histogram import folded, histogram_changes
 from shelfscope.operators.numbering import number_rows
 from shelfscope.session import durable, exists, stored
 from shelfscope.sources import sinks
@@ -156,6 +157,42 @@ def stream_new_reviews(
     return _start(batches.writeStream.foreachBatch(append), checkpoint, trigger)
 
 
+def append_rating_changes(batch: DataFrame, batch_id: int, stream: str, path: str) -> None:
+    """Keep the rating changes of one micro-batch, ``(before, after)`` pairs of structs with
+    ``category`` and ``rating``, in a folder of its own: a replay writes the same folder again."""
+    before, after = (batch.filter(f"{side} is not null").select(f"{side}.*") for side in ("before", "after"))
+    changes = histogram_changes(before, after)
+    changes.write.mode("overwrite").parquet(f"{path.rstrip('/')}/changes/{stream}-{batch_id:09d}")
+
+
+def stream_rating_changes(
+    batches: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep a stored rating histogram at the state of the products: every row of the stream is
+    an insert (``before`` null), an update or a delete (``after`` null). The products are not
+    read again."""
+    stream = stream_id(batches.sparkSession, checkpoint)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_rating_changes(batch, batch_id, stream, path)
+
+    return _start(batches.writeStream.foreachBatch(append), checkpoint, trigger)
+
+
+def write_histogram(hist: DataFrame, path: str) -> None:
+    """The histogram that ``stream_rating_changes`` starts from."""
+    hist.write.parquet(f"{path.rstrip('/')}/base")
+
+
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """The stored histogram with all changes added."""
+    root = path.rstrip("/")
+    hist = spark.read.parquet(f"{root}/base")
+    if exists(spark, f"{root}/changes"):
+        hist = hist.unionByName(spark.read.schema(hist.schema).parquet(f"{root}/changes/*"))
+    return folded(hist)
+
+
 def _replace(path: str):
     def write(result: DataFrame, batch_id: int) -> None:
         result.write.mode("overwrite").parquet(path)
