@@ -168,6 +168,8 @@ select title, cast(discounted_price as double) as discounted_price, cast(rating
 from amazon_products where category = 'Brand#7'""",
     "expire_sessions": ctes("scraping_sessions") + """
 select * from scraping_sessions where created_at >= timestamp '2024-01-31' - interval 14 days""",
+    "expire_stored_sessions": ctes("scraping_sessions") + """
+select * from scraping_sessions where created_at >= timestamp '2024-01-31 13:30:00' - interval 14 days""",
     "method_performance": ctes("scraping_analytics") + """
 select scraping_method, count(*) as total_scraping_sessions, round(avg(scraping_time), 6) as avg_scraping_time,
   cast(sum(total_reviews) as bigint) as total_reviews_scraped, count(*) as method_count

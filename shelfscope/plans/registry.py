@@ -266,6 +266,13 @@ def _some_undated(products: DataFrame) -> DataFrame:
     return products.withColumn("created_at", F.when(F.col("id") % 7 != 0, F.col("created_at")))
 
 
+def _expire_stored(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "sessions")
+    sinks.write_sessions(view(spark, sf, "scraping_sessions"), path)
+    sinks.expire_stored_sessions(spark, path, dt.datetime(2024, 1, 31, 13, 30), days=14)
+    return plain(sinks.read_sessions(spark, path))
+
+
 def _table_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Three versions of the product table, the second by changes, the third compacted."""
     path = work_path(spark, "versions")
@@ -415,6 +422,7 @@ STORE: dict[str, Query] = {
     "expire_sessions": _on_view(
         "scraping_sessions", lambda s: sessions.expire_sessions(s, _MOMENT, days=14)
     ),
+    "expire_stored_sessions": _expire_stored,
     "method_performance": _on_view("scraping_analytics", sessions.method_performance),
     "recent_activity": _on_view(
         "scraping_analytics", lambda m: sessions.recent_activity(m, _DAY)

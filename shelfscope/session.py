@@ -93,6 +93,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is directly in a folder."""
+    fs, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for files of this session only: they are
     deleted when it ends."""

@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfscope.operators import store as store_ops
-from shelfscope.session import durable, exists, stored
+from shelfscope.operators import sessions as sessions_ops, store as store_ops
+from shelfscope.session import durable, exists, folders, remove, stored
 from shelfscope.sources import versions
 
 
@@ -135,6 +135,45 @@ def upsert_products(
     _write_buckets(merged, path, "dynamic")
 
 
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """A session table with one folder per day; sessions without a time are one folder."""
+    (
+        sessions.withColumn("day", F.to_date("created_at"))
+        .hint("rebalance", F.col("day"))
+        .write.mode("overwrite").partitionBy("day").parquet(path)
+    )
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("day")
+
+
+def expire_stored_sessions(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 30) -> list[str]:
+    """Drop sessions older than ``days`` before ``as_of`` from a table of ``write_sessions``.
+
+    Whole days go as folders, unread; only the day of the limit is read and rewritten. Returns
+    the folders removed. May be run again after a failure.
+    """
+    limit = as_of - dt.timedelta(days=days)
+    root = path.rstrip("/")
+    last = f"day={limit.date().isoformat()}"
+    names = folders(spark, root)
+    gone = sorted(n for n in names if n.startswith("day=2") and n < last or n.startswith("day=1"))
+    if last in names:
+        rows = spark.read.parquet(root).filter(F.col("day") == F.lit(limit.date()))
+        kept = stored(sessions_ops.expire_sessions(rows, as_of, days), "sessions")
+        if kept.isEmpty():
+            gone.append(last)
+        else:
+            (
+                kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("day").parquet(root)
+            )
+    for name in gone:
+        remove(spark, f"{root}/{name}")
+    return gone
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -97,3 +97,25 @@ def test_histogram_follows_the_stream(spark):
     hist = durable(streams.read_histogram(spark, path))
     assert rows(hist) == rows(want)
     assert rows(category_stats(hist)) == rows(category_stats(want))
+
+
+def test_expiry_reads_one_day(spark, monkeypatch):
+    import datetime as dt
+
+    path = work_path(spark, "sessions")
+    now = dt.datetime(2024, 3, 31, 12)
+    rows_ = [(i, now - dt.timedelta(hours=5 * i)) for i in range(400)] + [(1000, None), (1001, dt.datetime(1999, 1, 1))]
+    df = spark.createDataFrame(rows_, "id long, created_at timestamp_ntz")
+    sinks.write_sessions(df, path)
+    read = []
+    real = sinks.sessions_ops.expire_sessions
+    monkeypatch.setattr(sinks.sessions_ops, "expire_sessions", lambda s, *a: read.append(s.select("day").distinct().count()) or real(s, *a))
+    gone = sinks.expire_stored_sessions(spark, path, now, days=30)
+    want = [r for r in rows_ if r[1] is None or r[1] >= now - dt.timedelta(days=30)]
+    assert rows(sinks.read_sessions(spark, path)) == sorted(want, key=repr)
+    assert len(gone) == len({r[1].date() for r in rows_ if r[1] and r[1].date() < dt.date(2024, 3, 1)})
+    assert read == [1]
+    # again: nothing more to drop
+    assert sinks.expire_stored_sessions(spark, path, now, days=30) == []
+    assert sinks.expire_stored_sessions(spark, path, now + dt.timedelta(days=400), days=1)
+    assert rows(sinks.read_sessions(spark, path)) == [(1000, None)]
