@@ -250,19 +250,31 @@ DEFAULT = np.array([1.5, 0.2, 0.2, 0.2, 0.2, -4.0])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method, drawn towards ``DEFAULT`` as if by one row."""
+    """Logistic regression by Newton's method, drawn towards ``DEFAULT`` as if by one row.
+
+    A step that does not lower the loss is halved: far from the optimum, where nearly all
+    probabilities are 0 or 1, a whole one leads away from it.
+    """
     if len(set(y.tolist())) < 2:
         return DEFAULT
     x = np.hstack([x, np.ones((len(x), 1))])
     weights = DEFAULT
     penalty = ridge * np.eye(x.shape[1])
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        margin = x @ w
+        return float((np.logaddexp(0, margin) - y * margin).sum() + 0.5 * ridge * ((w - DEFAULT) ** 2).sum())
+
+    now = loss(weights)
+    for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty
         step = np.linalg.solve(h, x.T @ (y - p) - penalty @ (weights - DEFAULT))
-        weights = weights + step
+        while (new := loss(weights + step)) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        weights, now = weights + step, new
     return weights
 
 

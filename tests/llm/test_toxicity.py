@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,23 @@ def test_context():
     assert low < 0.5 < high
 
 
+def test_fit_reaches_the_optimum():
+    """Clean texts with many weak hits: whole Newton steps from the start run away."""
+    rng = np.random.default_rng(0)
+    y = (np.arange(6000) % 10 == 0).astype(float)
+    x = np.zeros((6000, 5))
+    hit = rng.random(6000) < np.where(y, 0.95, 0.5)
+    base = rng.uniform(0.5, 1.5, (6000, 5)) * np.where(y, 1.0, 2.0)[:, None]
+    x[hit] = (base * [3.0, 6.0, 4.0, 1.0, 2.0])[hit]
+    weights = toxicity.fit(x, y)
+    model = toxicity.Model(toxicity.Lexicon({}), weights)
+    # the slope of the loss with its penalty is zero
+    held = np.hstack([x, np.ones((6000, 1))])
+    slope = held.T @ (y - model.score(x)) - (weights - toxicity.DEFAULT)
+    assert np.abs(slope).max() < 1e-3
+    assert not (model.score(x) >= 0.5).all()
+
+
 def test_chosen_keys():
     counts = {"clown ": (60, 0), "clow": (60, 0), "clo": (90, 400), "the ": (100, 900)}
     counts |= {"bad": (80, 2), "badu": (20, 0), "bade": (25, 1), "badi": (30, 0), "badu ": (20, 0)}
