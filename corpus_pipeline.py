@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import decontaminate, linerules, neardup, packing, secrets
+from shelfscope.llm import decontaminate, linerules, neardup, packing, secrets, simhash
 from shelfscope.session import work_path
 
 
@@ -24,8 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 or more."""
-    return neardup.keep_one(docs)
+    """One document of each group of near copies. The SimHash step of ``op3_simhash_dedup`` names
+    the first candidates, MinHash bands those that differ in more bits; of all of them, texts with
+    a similarity of five words of 0.8 or more are near copies."""
+    return neardup.keep_one(docs, simhash_radius=simhash.RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,11 @@ exactly: all with the set of most copies first, then those that it does not link
 are any, with all others of the group, in tiles of about ``TILE_SHINGLES`` shingles. A candidate
 that is not similar enough links nothing, whatever forest it was part of.
 
+With ``simhash_radius``, the links of ``simhash`` (fingerprints over words of three, repeats
+included, tiles compared by exclusive-or and bit counts) are the first candidates: bands whose
+sets these chains hold already need no comparison of their own. The fingerprints come from the
+pass that makes the sets, and the exact comparison decides as for all candidates.
+
 Special inputs are those of ``simhash``: null text and text without words are copies of each
 other; fewer words than ``width`` form one shingle; an empty table gives an empty result.
 """
@@ -215,9 +220,11 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), _ROW)
 
 
-def candidates(sieves: DataFrame, radius: int = RADIUS, agree: int = AGREE, tile: int = TILE) -> DataFrame:
+def candidates(
+    sieves: DataFrame, radius: int = RADIUS, agree: int = AGREE, tile: int = TILE, *, first: DataFrame | None = None
+) -> DataFrame:
     """``(a, b)``: links that connect all candidates among ``sieves (key, sieve, bands)``
-    that a chain of candidates connects."""
+    that a chain of candidates connects; ``first (a, b)``: candidates known already."""
     places = sieves.select(F.explode("bands").alias("s"), "key")
     # most bands are those of one set and go; a band of many sets is a skewed join, no window
     shared = places.groupBy("s").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub <> top")
@@ -237,6 +244,8 @@ def candidates(sieves: DataFrame, radius: int = RADIUS, agree: int = AGREE, tile
     link = StructType([StructField("a", LongType()), StructField("b", LongType())])
     columns = [F.col(c) for c in ("key", "hub", "sieve", "sieve2")]
     tied = durable(arrow_map(pairs, columns, sift, link, rows=8192))
+    if first is not None:
+        tied = tied.unionByName(first)
 
     # bands in which different chains still meet
     chains = durable(components(tied).withColumnRenamed("node", "key"))
@@ -311,6 +320,21 @@ def links(sets: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     return ties.filter("a <> b").unionByName(more)
 
 
+def _print_links(prints: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: links that connect the sets of ``prints (fp, print)`` whose SimHash fingerprints
+    a chain of links within ``radius`` connects; ``fp`` names a set."""
+    named = durable(prints.select("print", "fp").distinct())
+    near = simhash.links(named.select("print").distinct().withColumnRenamed("print", "fp"), radius)
+    nodes = durable(components(near))
+    chains = named.join(nodes, F.col("print") == F.col("node"), "left").select(
+        F.coalesce("root", "print").alias("chain"), "fp"
+    )
+    # combined in the tasks first; most chains are one set and go
+    shared = chains.groupBy("chain").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
+    shared = durable(shared.filter("b <> top").select("chain", "b"))
+    return chains.join(small_side(shared), "chain").select(F.col("fp").alias("a"), "b").filter("a <> b")
+
+
 def keep_one(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -318,30 +342,36 @@ def keep_one(
     width: int = WIDTH,
     radius: int = RADIUS,
     agree: int = AGREE,
+    simhash_radius: int | None = None,
 ) -> DataFrame:
     """``docs`` with one row of each group, that of the least id, columns unchanged."""
 
     def sieve(ids: list, texts: list) -> tuple:
         rows, bands = zip(*[_sieve(shingle_set(t, width)) for t in texts], strict=True)
         keys = np.frombuffer(b"".join(rows), _ROW)["key"].copy()
-        return ids, keys, rows, [b.view(np.int64) for b in bands]
+        prints = [None if simhash_radius is None else simhash.fingerprint(t) for t in texts]
+        return ids, keys, rows, [b.view(np.int64) for b in bands], prints
 
     own = docs.schema[id_col]
     schema = StructType(
-        [own, StructField("fp", LongType()), StructField("sieve", BinaryType()), StructField("bands", ArrayType(LongType()))]
+        [
+            own, StructField("fp", LongType()), StructField("sieve", BinaryType()),
+            StructField("bands", ArrayType(LongType())), StructField("print", LongType()),
+        ]
     )
     columns = [F.col(id_col), F.col(text_col)]
     prints = durable(arrow_map(docs, columns, sieve, schema))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")))
     one = durable(
         prints.groupBy(F.col("fp").alias("key"))
         .agg(
-            first.alias("k"), F.count("*").alias("copies"), F.any_value("sieve").alias("sieve"),
+            least.alias("k"), F.count("*").alias("copies"), F.any_value("sieve").alias("sieve"),
             F.any_value("bands").alias("bands"),
         )
         .select("key", F.col("k.id").alias("least"), "copies", "sieve", "bands")
     )
-    groups = durable(components(candidates(one, radius, agree)))
+    first = None if simhash_radius is None else durable(_print_links(prints, simhash_radius))
+    groups = durable(components(candidates(one, radius, agree, first=first)))
     members = durable(one.join(groups, F.col("key") == F.col("node")).select("key", "least", "copies", "root"))
 
     def sets(texts: list) -> tuple:

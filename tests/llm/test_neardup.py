@@ -133,3 +133,22 @@ def test_components_with_hubs(spark, monkeypatch):
     got = dict(common.components(spark.createDataFrame(links, "a long, b long")).collect())
     want = {i: 0 for i in [*range(40), 200, 201]} | {i: 100 for i in range(100, 131)} | {55: 54, 54: 54}
     assert got == want
+
+
+def test_stage_uses_the_fingerprints(spark, sf_dir, monkeypatch):
+    """Texts within two bits meet by the SimHash step alone; the exact comparison still decides."""
+    from shelfscope.llm import simhash
+
+    rng = random.Random(2)
+    body = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    rows = [(i, " ".join([*body, f"end{i}"])) for i in range(4)]
+    # repeats count for SimHash, not for the sets: within two bits, but not similar
+    rows += [(10 + i, "a b c " * 400 + " ".join(f"{i}x{k}" for k in range(12))) for i in range(2)]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert all((a ^ prints[0]).bit_count() <= 2 for a in prints[:4]) and (prints[4] ^ prints[5]).bit_count() <= 2
+    own = neardup._sieve
+    monkeypatch.setattr(neardup, "_sieve", lambda s: (own(s)[0], own(s)[1][:0]))  # no bands
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert want == [0, 10, 11]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == want
