@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,6 +21,8 @@ REVIEW_FIELDS = (
 
 # rows of a list of ids that may be broadcast
 _SHORT = 1_000_000
+# reviews that a task collects by product
+_TASK_ROWS = 250_000
 
 
 def _moment(as_of: dt.datetime) -> Column:
@@ -269,35 +272,36 @@ def products_nested(
     The running sums are needed only for products with more than ``per_document``
     reviews; all reviews of the others are part 0 by the same rule. The list of the
     former is broadcast if it is short.
+
+    Reviews are dealt to tasks of about ``_TASK_ROWS`` before they are collected: collecting sorts
+    the rows of a task, and doing so before the shuffle would sort those of a whole file split.
     """
-    day = F.to_date("review_date").alias("day")
-    block = F.floor(F.col("id") / per_document).alias("block")
-    rows = reviews.select("id", "product_id", *REVIEW_FIELDS, day, block)
-    totals = reviews.groupBy("product_id").agg(F.count("*").alias("n"))
-    large = durable(totals.filter(F.col("n") > per_document).select("product_id"))
+    unit = F.struct(F.to_date("review_date").alias("day"), F.floor(F.col("id") / per_document).alias("block"))
+    rows = reviews.select("id", "product_id", *REVIEW_FIELDS, unit.alias("unit"))
+    totals = durable(reviews.groupBy("product_id").agg(F.count("*").alias("n")))
+    tasks = math.ceil((totals.agg(F.sum("n")).first()[0] or 1) / _TASK_ROWS)
+    large = totals.filter(F.col("n") > per_document).select("product_id")
     if large.count() <= _SHORT:
         large = F.broadcast(large)
     rows, whole = (rows.join(large, "product_id", how) for how in ("left_semi", "left_anti"))
-    unit = ["product_id", "day", "block"]
-    counts = rows.groupBy(*unit).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("product_id", "unit").agg(F.count("*").alias("n"))
     earlier = (
-        Window.partitionBy("product_id").orderBy("day", "block")
+        Window.partitionBy("product_id").orderBy("unit")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     parts = counts.select(
-        *[F.col(c).alias(f"_{c}") for c in unit],
+        "product_id", "unit",
         F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / per_document).cast("int").alias("part"),
     )
-    same = (
-        (F.col("product_id") == F.col("_product_id"))
-        & F.col("day").eqNullSafe(F.col("_day"))
-        & F.col("block").eqNullSafe(F.col("_block"))
-    )
     entry = F.struct(F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r"))
     in_order = F.sort_array(F.collect_list(entry)).alias("sorted")
+    # a struct is never null, so a missing day or id joins as any other
+    placed = rows.repartition(tasks, "product_id", "unit").join(parts.hint("merge"), ["product_id", "unit"])
     docs = (
-        rows.join(parts, same).groupBy("product_id", "part").agg(in_order)
-        .unionByName(whole.groupBy("product_id").agg(in_order).withColumn("part", F.lit(0)))
+        placed.repartition(tasks, "product_id", "part").groupBy("product_id", "part").agg(in_order)
+        .unionByName(
+            whole.repartition(tasks, "product_id").groupBy("product_id").agg(in_order).withColumn("part", F.lit(0))
+        )
         .select("product_id", "part", F.col("sorted.r").alias("reviews"))
     )
     none = F.array().cast(docs.schema["reviews"].dataType)

@@ -237,3 +237,20 @@ def test_values_beyond_the_schema_count_as_missing(spark):
     assert hist == {None: 2, 450: 1, 350: 1}
     assert prices.price_stats(df).count() == 1
     assert tuple(quality.rejected_values(df).first()) == (4, 1, 1)
+
+
+def test_nested_reviews_are_dealt_before_they_are_collected(spark, sf_dir, monkeypatch):
+    """Collecting sorts the rows of a task: their number is bounded, whatever a file split holds."""
+    from shelfscope.views import view
+
+    tables = view(spark, sf_dir, "products"), view(spark, sf_dir, "reviews")
+    want = sorted(store.products_nested(*tables, per_document=7).selectExpr("id", "part", "to_json(reviews)").collect())
+    monkeypatch.setattr(store, "_TASK_ROWS", 500)
+    docs = store.products_nested(*tables, per_document=7)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    rows = tables[1].count()
+    dealt = -(-rows // 500)
+    assert dealt > 2 and plan.count(f", {dealt}), REPARTITION_BY_NUM") >= 3
+    for piece in plan.split("partial_collect_list")[1:]:
+        assert "REPARTITION_BY_NUM" in piece.split("Scan parquet")[0]
+    assert sorted(docs.selectExpr("id", "part", "to_json(reviews)").collect()) == want
