@@ -29,7 +29,7 @@ def number_rows(
     ``after`` is a one-row, one-column frame: numbering continues behind its value.
     """
     ordered = df.orderBy(*order_by) if order_by else df
-    placed = stored(ordered.withColumn("_slot", F.monotonically_increasing_id()), "numbered")
+    placed = stored(ordered.withColumn("_slot", F.monotonically_increasing_id()), "numbered", "zstd")
     part = F.shiftright("_slot", _SLOT_BITS).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

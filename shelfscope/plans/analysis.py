@@ -78,9 +78,9 @@ def load_checked(
 
     The text is parsed once; both halves read the typed rows.
     """
-    rows = stored(catalog.typed(catalog.csv_scan(spark, path, aliases, with_broken=True)), "typed")
+    rows = stored(catalog.typed(catalog.csv_scan(spark, path, aliases, with_broken=True)), "typed", "zstd")
     validation = quality.validate_dataset(rows.drop("rejected"))
-    catalog.number_rows(catalog.usable(rows)).write.mode("overwrite").parquet(target)
+    catalog.number_rows(catalog.usable(rows)).write.mode("overwrite").parquet(target, compression="zstd")
     return validation, spark.read.parquet(target)
 
 

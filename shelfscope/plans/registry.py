@@ -113,7 +113,7 @@ ANALYSIS: dict[str, Query] = {
 
 def _clean_file(spark: SparkSession, sf: str) -> str:
     path = work_path(spark, "catalog-csv")
-    catalog.write_csv(view(spark, sf, "amazon_products"), path)
+    catalog.write_csv(view(spark, sf, "amazon_products"), path, packed=True)
     return path
 
 
@@ -141,7 +141,7 @@ def _dirty_file(spark: SparkSession, sf: str) -> str:
     path = work_path(spark, "dirty-csv")
     (
         products.select(line.alias(",".join(names)))
-        .write.options(header="true", sep="\x01", quote="", escapeQuotes="false")
+        .write.options(header="true", sep="\x01", quote="", escapeQuotes="false", **catalog.PACKED)
         .csv(path)
     )
     return path

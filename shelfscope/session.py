@@ -76,10 +76,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back; for wide rows."""
+def stored(df: DataFrame, name: str = "stored", codec: str = "snappy") -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back; for wide rows. ``zstd`` as ``codec``
+    writes fewer bytes."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.parquet(path)
 
 

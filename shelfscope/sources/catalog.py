@@ -156,13 +156,19 @@ def load_catalog(
     rows = usable(rows)
     if order_by:
         # the text is parsed once, though a range sort reads its input twice
-        rows = stored(rows, "catalog-rows")
+        rows = stored(rows, "catalog-rows", "zstd")
     loaded = number_rows(rows, order_by)
     if target is None:
         return loaded
     return versions.read(spark, target, versions.replace(loaded, target))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Write a catalogue in the dialect ``csv_scan`` reads."""
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue='""').csv(path)
+#: rows of a compressed file: such files are not split, each is the work of one task
+PACKED = {"compression": "gzip", "maxRecordsPerFile": 250_000}
+
+
+def write_csv(df: DataFrame, path: str, packed: bool = False) -> None:
+    """Write a catalogue in the dialect ``csv_scan`` reads; ``packed``: compressed, in files of
+    bounded size."""
+    more = PACKED if packed else {}
+    df.write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue='""', **more).csv(path)

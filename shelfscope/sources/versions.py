@@ -49,7 +49,7 @@ def _commit(spark: SparkSession, path: str, version: int, folders: dict) -> None
 def write_folder(df: DataFrame, path: str) -> str:
     """First step: the rows in a folder of their own, named relative to the table."""
     name = f"data/{uuid.uuid4().hex}"
-    df.write.parquet(f"{path.rstrip('/')}/{name}")
+    df.write.parquet(f"{path.rstrip('/')}/{name}", compression="zstd")
     return name
 
 
