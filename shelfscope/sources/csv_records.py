@@ -18,12 +18,15 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfscope.session import durable, stored
 
 _RANGES = 1_000_000  # rows of the list of ranges that may be broadcast
+_LINES = 1 << 13  # lines that are put together at once
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +77,57 @@ class Assembler:
             self.held = []
 
 
+class Lines:
+    """``Assembler`` for arrays of lines: ``(kinds, texts)`` of what they end."""
+
+    def __init__(self, is_open: bool) -> None:
+        self.open = is_open
+        self.began_open = is_open
+        self.held: list[pa.Array] = []
+
+    def add(self, lines: pa.Array) -> tuple[list[str], pa.Array]:
+        quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
+        opened = (np.cumsum(quotes) + self.open) % 2 == 1
+        self.open = bool(opened[-1])
+        ends = np.nonzero(~opened)[0] + 1
+        if not len(ends):
+            self.held.append(lines)
+            return [], pa.array([], pa.string())
+        before = sum(map(len, self.held))
+        every = pa.concat_arrays([*self.held, lines])
+        self.held = [every.slice(before + ends[-1])] if ends[-1] < len(lines) else []
+        offsets = pa.array(np.concatenate([[0], before + ends]), pa.int32())
+        kinds = ["head" if self.began_open else "record"] + ["record"] * (len(ends) - 1)
+        self.began_open = False
+        return kinds, pc.binary_join(pa.ListArray.from_arrays(offsets, every), "\n")
+
+    def end(self) -> tuple[list[str], pa.Array]:
+        if not self.held:
+            return [], pa.array([], pa.string())
+        every = pa.concat_arrays(self.held)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), "\n")
+        self.held = []
+        return ["inside" if self.began_open else "tail"], text
+
+
+def _runs(files: pa.Array, starts: pa.Array) -> list[tuple[int, int]]:
+    """The rows ``(from, to)`` of each range in a batch."""
+    n = len(starts)
+    if n < 2:
+        return [(0, n)] if n else []
+    other = pc.or_(
+        pc.not_equal(starts.slice(1), starts.slice(0, n - 1)), pc.not_equal(files.slice(1), files.slice(0, n - 1))
+    )
+    cuts = [0, *(np.nonzero(other.to_numpy(zero_copy_only=False))[0] + 1).tolist(), n]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _filled(texts: pa.Array) -> list[bool]:
+    """Which texts are not blank."""
+    sure = pc.match_substring_regex(texts, "[!-~]").to_pylist()
+    return [x or bool(texts[i].as_py().strip()) for i, x in enumerate(sure)]
+
+
 def _header_of(text: str) -> list[str]:
     return next(csv.reader([text.removesuffix("\r").removeprefix("﻿")]), [])
 
@@ -94,31 +148,33 @@ def records(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, work, top = None, None, False
-        for batch in batches:
-            out: list[tuple] = []
-
-            def put(found: Iterator[tuple[str, str]]) -> None:
-                nonlocal top
-                for kind, text in found:
-                    if top:
-                        top = False
-                        if _header_of(text) != header:
-                            raise ValueError(f"{key[0]} has another header than the first file")
-                    elif kind != "record" or text.strip():
-                        out.append((*key, kind, text))
-
-            for file, start, line, is_open, first in zip(*[c.to_pylist() for c in batch.columns]):
-                if (file, start) != key:
-                    if work:
-                        put(work.end())
-                    key, work, top = (file, start), Assembler(is_open), first
-                put(work.add(line))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+        def rows(found: tuple[list[str], pa.Array]) -> Iterator[pa.RecordBatch]:
+            nonlocal top
+            types, texts = found
+            if top and types:
+                top = False
+                if _header_of(texts[0].as_py()) != header:
+                    raise ValueError(f"{key[0]} has another header than the first file")
+                types, texts = types[1:], texts.slice(1)
+            keep = [k != "record" or full for k, full in zip(types, _filled(texts))]
+            kept = texts.filter(pa.array(keep, pa.bool_()))
+            if n := len(kept):
+                own = [pa.array([v] * n, t) for v, t in zip(key, kinds)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, x in zip(types, keep) if x], kinds[2]), kept], names)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, _LINES):
+                batch = whole.slice(at, _LINES)
+                for a, b in _runs(batch.column(0), batch.column(1)):
+                    file, start, _, is_open, first = (c[a].as_py() for c in batch.columns)
+                    if (file, start) != key:
+                        if work:
+                            yield from rows(work.end())
+                        key, work, top = (file, start), Lines(is_open), first
+                    yield from rows(work.add(batch.column(2).slice(a, b - a)))
         if work:
-            out = [(*key, kind, text) for kind, text in work.end()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            yield from rows(work.end())
 
     parts = joined.select("file", "start", "line", "open", "first").mapInArrow(
         run, "file string, start long, kind string, text string"

@@ -1,6 +1,7 @@
 """CSV catalogues, imports, free SQL and exports."""
 
 import os
+import random
 import tempfile
 
 import pytest
@@ -10,7 +11,7 @@ from shelfscope.functions.text import title_category  # noqa: F401
 from shelfscope.operators import imports
 from shelfscope.plans import analysis
 from shelfscope.sources import catalog, sinks, tables
-from shelfscope.sources.csv_records import Assembler
+from shelfscope.sources.csv_records import Assembler, Lines
 
 HEADER = (
     "title,category,discounted_price,actual_price,discount_percentage,rating,rating_count,about_product,"
@@ -227,3 +228,39 @@ def test_unfinished_records_and_other_headers(spark, folder):
         catalog.csv_scan(spark, folder, multi_line=True).collect()
     empty = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     assert catalog.csv_scan(spark, write(empty), multi_line=True).count() == 0
+
+
+@pytest.mark.parametrize("is_open", [False, True])
+def test_lines_as_arrays(is_open):
+    """Arrays of lines, cut anywhere, give what the lines give one by one."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for n in (1, 2, 5, 40):
+        for _ in range(30):
+            lines = ["".join(rng.choice(['"', "a", " ", "\r", "é"]) for _ in range(rng.randrange(4))) for _ in range(n)]
+            one, many = Assembler(is_open), Lines(is_open)
+            want = [x for line in lines for x in one.add(line)] + list(one.end())
+            got, at = [], 0
+            while at < n:
+                to = at + rng.randrange(1, n + 1)
+                kinds, texts = many.add(pa.array(lines[at:to], pa.string()))
+                got += zip(kinds, texts.to_pylist())
+                at = to
+            kinds, texts = many.end()
+            got += zip(kinds, texts.to_pylist())
+            assert got == want, lines
+
+
+def test_packed_catalogue(spark, folder, monkeypatch):
+    """Compressed files are not split, so their rows are bounded; they hold the same catalogue."""
+    path = write(folder, *BREAKS)
+    rows = catalog.csv_scan(spark, path, multi_line=True)
+    monkeypatch.setitem(catalog.PACKED, "maxRecordsPerFile", 2)
+    catalog.write_csv(rows, f"{folder}/plain")
+    catalog.write_csv(rows.coalesce(1), f"{folder}/packed", packed=True)
+    files = [f for f in os.listdir(f"{folder}/packed") if f.startswith("part-")]
+    assert len(files) == 3 and all(f.endswith(".gz") for f in files)
+    plain, packed = (catalog.csv_scan(spark, f"{folder}/{x}", multi_line=True) for x in ("plain", "packed"))
+    assert sorted(map(str, packed.collect())) == sorted(map(str, plain.collect()))
+    assert packed.count() == rows.count() == 5
