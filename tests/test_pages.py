@@ -373,3 +373,26 @@ def test_repeated_blocks_are_limited_before_the_shuffle(spark):
     kept = pages.dedup_blocks(df)
     assert sorted((r["url"], r["pos"]) for r in kept.collect()) == [("u", 1), ("v", 1)]
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_a_batch_in_pieces(monkeypatch):
+    """A batch has any number of pages; only a few are Python objects at a time."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from shelfscope.functions import html
+
+    pages = pa.array([f"<p class='a{i}'>text {i}<b>x</b></p>" if i % 4 else None for i in range(11)])
+    matcher = html._matcher(html.known.ALL)
+    whole = html._doms(pages, matcher)
+    sizes = []
+
+    def array(rows, **kind):
+        sizes.append(len(rows))
+        return pa.array(rows, **kind)
+
+    monkeypatch.setattr(html, "_PAGES", 3)
+    monkeypatch.setattr(html, "pa", SimpleNamespace(array=array, concat_arrays=pa.concat_arrays))
+    assert html._doms(pages, matcher).equals(whole)
+    assert sizes == [3, 3, 3, 2]
+    assert len(html._doms(pages.slice(0, 0), matcher)) == 0
