@@ -197,6 +197,10 @@ def _number(value: Column) -> Column:
 _DOUBTFUL = r"^(-?[0.]+(E[+-]?\d+)?|false|\[\]|\{\})$"
 
 
+# what ``clean_text`` changes is in texts that hold one of these; most texts are clean already
+_UNCLEAN = r"[^A-Za-z0-9 \-_.,!?()$%&@#]|^ | $|  "
+
+
 def _record_review(v: Column) -> Column:
     """A raw review record (a JSON object) as a typed struct.
 
@@ -263,28 +267,32 @@ def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame
     keep = [c for c in records.columns if c != record]
     parsed = records.select(*keep, F.try_parse_json(record).alias("_v"))
     objects = parsed.select(*keep, F.explode(F.when(_is_object(F.col("_v")), F.array("_v"))).alias("_v"))
-    fields = objects.select(
-        *keep, "_v", F.try_variant_get("_v", "$", "map<string,string>").alias("_f")
+    read = objects.select(
+        *keep, F.try_variant_get("_v", "$", "map<string,string>").alias("_f"),
+        F.try_variant_get("_v", "$", "map<string,variant>").alias("_d"),
     )
+    # one function over the fields, not a branch for each alias: the generated method of these
+    # would be too long to be compiled to machine code
+    filled = F.map_filter(
+        "_f", lambda k, x: (x != "") & (~x.rlike(_DOUBTFUL) | (_kind(F.col("_d")[k]) == "STRING"))
+    )
+    fields = read.select(*keep, filled.alias("_f"))
 
-    def filled(name: str) -> Column:
-        x = F.col("_f")[name]
-        doubtful = F.when(_kind(_part(F.col("_v"), name)) == "STRING", x)
-        return F.when(x == "", None).when(x.rlike(_DOUBTFUL), doubtful).otherwise(x)
+    def first(names) -> Column:
+        found = F.transform(F.array(*map(F.lit, names)), lambda n: F.col("_f")[n])
+        return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
 
     values = fields.select(
         *keep,
-        *[
-            F.coalesce(*[filled(n) for n in names]).alias(f"_{field}")
-            for field, names in RECORD_ALIASES.items()
-        ],
+        *[first(names).alias(f"_{field}") for field, names in RECORD_ALIASES.items()],
         F.concat_ws(
-            " | ", F.concat(F.lit("Pros: "), filled("Pros")), F.concat(F.lit("Cons: "), filled("Cons"))
+            " | ", F.concat(F.lit("Pros: "), first(["Pros"])), F.concat(F.lit("Cons: "), first(["Cons"]))
         ).alias("_more"),
     )
 
     def cleaned(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), text.clean_text(F.col(name)))
+        x = F.col(name)
+        return F.when(x.rlike(_UNCLEAN), text.clean_text(x)).otherwise(x)
 
     def number(name: str) -> Column:
         return F.when(F.col(name).rlike(r"^\s*[-+]?[0-9.]"), F.col(name).try_cast("double"))
@@ -300,7 +308,7 @@ def standardize_reviews(records: DataFrame, record: str = "record") -> DataFrame
     )
     typed = clean.select(
         *keep,
-        text.clean_text(F.coalesce("_reviewer_name", F.lit("Anonymous"))).alias("reviewer_name"),
+        F.coalesce(cleaned("_reviewer_name"), F.lit("Anonymous")).alias("reviewer_name"),
         number("_rating").alias("rating"),
         "title",
         body.alias("body"),

@@ -396,3 +396,24 @@ def test_pages_of_a_batch_in_pieces(monkeypatch):
     assert html._doms(pages, matcher).equals(whole)
     assert sizes == [3, 3, 3, 2]
     assert len(html._doms(pages.slice(0, 0), matcher)) == 0
+
+
+def test_records_of_all_forms_in_short_methods(spark):
+    """The rows are those of ``record_array``, and no generated method is too long (8,000
+    bytes) for the JVM to compile."""
+    values = ["0", 0, 0.0, -0.0, "0.0", "", None, False, True, "false", [], {}, [1], {"a": 1}, "[]", "{}", 5, "5", "a  b", " é x*"]
+    records = [{name: v, "Pros": v, "body": "text"} for v in values for name in ("NickName", "Rating", "Title", "TotalVoting", "HasPurchased", "InDate")]
+    records += [{"Title": a, "title": b, "headline": "h"} for a in values for b in values]
+    texts = [json.dumps(r) for r in records] + ["", "[]", "no json", None, '{"Title": "a", "Title": "b"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, record string")
+    got = review_json.standardize_reviews(df)
+    want = df.select("k", F.inline(review_json.record_array(F.array("record"))))
+    assert got.count() == want.count() > 400
+    same = [str(r) for r in got.orderBy("k").collect()], [str(r) for r in want.orderBy("k").collect()]
+    assert same[0] == same[1]
+    rows = spark.range(1).select("id", F.col("id").cast("string").alias("record"))
+    plan = review_json.standardize_reviews(rows)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    )
+    sizes = [int(x.split(";")[0]) for x in plan.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) <= 8000
