@@ -29,15 +29,16 @@ def _moment(as_of: dt.datetime) -> Column:
     return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def unseen(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """Rows of ``batch`` whose ``key`` is not in ``store``.
+def known_keys(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """The store's keys that occur in the batch. With a small batch that is a broadcast
+    semi-join decided by Spark from its size, so the store is scanned once for one column
+    and never shuffled."""
+    return store.select(key).join(batch.select(key).distinct(), key, "left_semi")
 
-    The store's keys are first cut to those that occur in the batch. With a small batch
-    that is a broadcast semi-join decided by Spark from its size, so the store is
-    scanned once for one column and never shuffled.
-    """
-    known = store.select(key).join(batch.select(key).distinct(), key, "left_semi")
-    return batch.join(known, key, "left_anti")
+
+def unseen(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Rows of ``batch`` whose ``key`` is not in ``store``, by ``known_keys``."""
+    return batch.join(known_keys(batch, store, key), key, "left_anti")
 
 
 def latest_per_url(batch: DataFrame, order: str) -> DataFrame:
@@ -102,19 +103,20 @@ def new_reviews(
     """The batch rows to append: the first row of each unseen ``review_id`` and every
     row without one.
 
-    The first row of a key is found from narrow rows (key, place in the batch), which are
-    combined on the map side and made durable; unseen keys then choose the wide rows in one
-    semi-join. Rows with equal key and place are one row.
+    The first row of a key is a group limit: repeats go before the shuffle, so wide rows are
+    shuffled once, by key, and meet the store's keys there. Rows with equal key and place are
+    one row.
     """
     keyed = F.coalesce(F.col("review_id") != "", F.lit(False))
     columns = [c for c in batch.columns if c != order]
     place = F.struct(F.col(order), F.xxhash64(*columns)).alias("_place")
-    first = durable(batch.filter(keyed).groupBy("review_id").agg(F.min(place).alias("_place")))
-    chosen = unseen(first, store, "review_id")
-    marked = batch.filter(keyed).withColumn("_place", place)
+    own = batch.filter(keyed)
+    ranked = own.select(*columns, place).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("review_id").orderBy("_place"))
+    )
     rows = (
-        marked.join(chosen, ["review_id", "_place"], "left_semi")
-        .dropDuplicates(["review_id"]).select(*columns)
+        ranked.filter("_rank = 1").select(*columns)
+        .join(known_keys(own, store, "review_id"), "review_id", "left_anti").select(*columns)
         .unionByName(batch.filter(~keyed).select(*columns))
     )
     return rows.select(

@@ -70,13 +70,11 @@ _FOLDERS = ("review_bucket", "stream_id", "batch_id")
 def write_reviews(reviews: DataFrame, path: str, buckets: int = 64) -> None:
     """A review table laid out for appending streams: folders by hash bucket of the review
     key, then by stream and micro-batch."""
+    placed = reviews.select("*", _review_bucket(buckets)).hint("rebalance", F.col("review_bucket"))
+    # what is the same for all rows comes after the shuffle
     (
-        reviews.select(
-            "*", _review_bucket(buckets), F.lit("base").alias("stream_id"),
-            F.lit(-1).cast("bigint").alias("batch_id"),
-        )
-        .hint("rebalance", F.col("review_bucket"))
-        .write.mode("overwrite").partitionBy(*_FOLDERS).parquet(path)
+        placed.select("*", F.lit("base").alias("stream_id"), F.lit(-1).cast("bigint").alias("batch_id"))
+        .write.mode("overwrite").partitionBy(*_FOLDERS).parquet(path, compression="zstd")
     )
 
 
@@ -107,7 +105,7 @@ def append_batch(
     drops rows nor repeats them, and nobody else's rows are touched.
     """
     spark = batch.sparkSession
-    rows = stored(batch.select("*", _review_bucket(buckets)), "review-batch")
+    rows = stored(batch.select("*", _review_bucket(buckets)), "review-batch", "zstd")
     # at most ``buckets`` numbers
     touched = [r[0] for r in rows.select("review_bucket").distinct().collect()]
     own = (F.col("stream_id") == stream) & (F.col("batch_id") == batch_id)
@@ -118,12 +116,12 @@ def append_batch(
     top = durable(sinks.top_id(spark, path))
     numbered = number_rows(fresh, after=top)
     sinks.note_top(numbered, path, top)
-    placed = stored(numbered.select("*", _review_bucket(buckets)), "review-rows")
+    # the numbered rows are stored by now: the folders replaced are not read
+    placed = numbered.select("*", _review_bucket(buckets)).hint("rebalance", F.col("review_bucket"))
     (
         placed.select("*", F.lit(stream).alias("stream_id"), F.lit(batch_id).cast("bigint").alias("batch_id"))
-        .hint("rebalance", F.col("review_bucket"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_FOLDERS).parquet(path)
+        .partitionBy(*_FOLDERS).parquet(path, compression="zstd")
     )
 
 

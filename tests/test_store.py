@@ -254,3 +254,13 @@ def test_nested_reviews_are_dealt_before_they_are_collected(spark, sf_dir, monke
     for piece in plan.split("partial_collect_list")[1:]:
         assert "REPARTITION_BY_NUM" in piece.split("Scan parquet")[0]
     assert sorted(docs.selectExpr("id", "part", "to_json(reviews)").collect()) == want
+
+
+def test_wide_review_rows_are_shuffled_once(spark, sf_dir):
+    reviews, batch = view(spark, sf_dir, "reviews"), view(spark, sf_dir, "review_batch")
+    new = store.new_reviews(reviews, batch, dt.datetime(2024, 1, 31))
+    nodes = new._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    ).split("\n\n")
+    moved = [n for n in nodes if ") Exchange\n" in n and "product_url#" in n]
+    assert len(moved) == 1

@@ -114,3 +114,14 @@ def test_append_mode_leaves_open_days_out(spark, sf_dir):
     streams.stream_totals(stream, path, work_path(spark, "o"), mode="append").awaitTermination()
     days = [r["date"] for r in spark.read.parquet(path).collect()]
     assert len(days) == len(set(days)) == 28
+
+
+def test_a_micro_batch_is_stored_once_before_its_numbers(spark, sf_dir, monkeypatch):
+    reviews, batch = view(spark, sf_dir, "reviews"), view(spark, sf_dir, "review_batch")
+    table, names = work_path(spark, "table"), []
+    inner = streams.stored
+    monkeypatch.setattr(streams, "stored", lambda df, *more: (names.append(more), inner(df, *more))[1])
+    streams.write_reviews(reviews, table, buckets=4)
+    streams.append_batch(batch, 0, "s", table, NOW, buckets=4)
+    assert names == [("review-batch", "zstd")]
+    keyed_once(streams.read_reviews(spark, table).filter("batch_id >= 0"))
