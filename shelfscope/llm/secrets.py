@@ -34,12 +34,11 @@ import re
 from bisect import bisect_left
 from itertools import accumulate
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfscope.llm.common import arrow_map, utf8
+from shelfscope.llm.common import arrow_map, over_texts, utf8
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
@@ -226,14 +225,10 @@ def mask(text: str | None) -> str | None:
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """All documents, secrets masked; ``chars_col`` follows where the text changed."""
 
-    @F.pandas_udf(StringType())
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([mask(t) if isinstance(t, str) else None for t in texts], dtype=object)
-
     own = "__masked"
     while own in docs.columns:
         own += "_"
-    out = docs.withColumn(own, masked.asNondeterministic()(F.col(text_col)))
+    out = docs.withColumn(own, over_texts(mask, StringType())(F.col(text_col)))
     if chars_col:
         kind = docs.schema[chars_col].dataType
         same = F.col(own).eqNullSafe(F.col(text_col))

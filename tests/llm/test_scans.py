@@ -4,10 +4,14 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StringType
 
 from shelfscope.llm import pii, secrets
+from shelfscope.llm.common import over_texts
 from shelfscope.llm.queries import pii_anchors, secret_novelty
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -164,3 +168,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert out.dtypes == odd_docs.dtypes
     assert out.exceptAll(odd_docs).count() == 0 and odd_docs.exceptAll(out).count() == 0
     assert secrets.redacted(no_docs).count() == 0
+
+
+def test_texts_of_a_batch_are_objects_a_few_at_a_time():
+    texts = [None, *(f"{i} " + "word " * 200 for i in range(20_000)), "password = abcdefghijkl0"]
+    batch = pa.array(texts)
+    rule = over_texts(secrets.mask, StringType()).func
+    assert rule(batch.slice(0, 300)).to_pylist() == texts[:300] and rule(batch[-1:]).to_pylist() == [secrets.MASK]
+    assert rule(pa.array([], pa.string())).to_pylist() == []
+    del texts
+    tracemalloc.start()
+    rule(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000  # of 20 MB
