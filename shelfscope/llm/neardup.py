@@ -46,7 +46,7 @@ from pyspark.sql.types import (
 )
 
 from shelfscope.llm import simhash
-from shelfscope.llm.common import arrow_map, components, small_side, spanning, utf8
+from shelfscope.llm.common import arrow_map, components, short_batches, small_side, spanning_of, utf8
 from shelfscope.session import durable, stored
 
 WIDTH = 5
@@ -59,6 +59,8 @@ DEPTH = 4
 TILE = 4096
 TILE_SHINGLES = 1 << 18
 _BLOCK = 1 << 11
+_PAIRS = 1 << 18  # pairs compared at once, by their SimHashes
+_NEAR_PAIRS = 1 << 15  # and by all fields
 _SKETCH = 64
 _MAX_WORDS = 50_000  # hashes of words that a task remembers
 _PIECE = 1 << 17  # bytes of a text that are split at once
@@ -144,24 +146,25 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, agree: int) -> np.ndarray:
 
 def _candidates(a: np.ndarray, b: np.ndarray, radius: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the candidates between two arrays of ``_ROW``."""
-    left, right = [], []
     # copies of the fields: strided ones are slow
     fa, fb, na, nb = (np.ascontiguousarray(x[f]) for f in ("fp", "n") for x in (a, b))
-    rows = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), rows):
-        near = np.bitwise_count(fa[at : at + rows, None] ^ fb[None, :]) <= radius
-        near |= np.minimum(na[at : at + rows, None], nb[None, :]) < SURE
-        i, j = np.nonzero(near)
-        i += at
-        near = _near(a[i], b[j], radius, agree)
-        x, y = a["key"][i[near]], b["key"][j[near]]
-        if (differ := x != y).any():
-            forest = spanning(x[differ], y[differ])
-            left.append(forest[0])
-            right.append(forest[1])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return spanning(np.concatenate(left), np.concatenate(right))
+    rows = max(1, _PAIRS // max(1, len(b)))
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(a), rows):
+            near = np.bitwise_count(fa[at : at + rows, None] ^ fb[None, :]) <= radius
+            near |= np.minimum(na[at : at + rows, None], nb[None, :]) < SURE
+            i, j = np.nonzero(near)
+            i += at
+            # short or similar sets: all pairs get here, with two whole rows each
+            for k in range(0, len(i), _NEAR_PAIRS):
+                p, q = i[k : k + _NEAR_PAIRS], j[k : k + _NEAR_PAIRS]
+                near = _near(a[p], b[q], radius, agree)
+                x, y = a["key"][p[near]], b["key"][q[near]]
+                if (differ := x != y).any():
+                    yield x[differ], y[differ]
+
+    return spanning_of(found())
 
 
 def similar(keys: np.ndarray, sets: list[np.ndarray], others: np.ndarray, other_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +173,19 @@ def similar(keys: np.ndarray, sets: list[np.ndarray], others: np.ndarray, other_
     known, at = np.unique(np.concatenate(other_sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     held = np.zeros(len(known), np.int32)
-    left, right = [], []
-    for key, own in zip(keys, sets, strict=True):
-        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        place = place[known[place] == own]
-        held[place] = 1
-        both = np.add.reduceat(held[at], starts)
-        held[place] = 0
-        # in whole numbers: similarity of 80 % or more
-        j = np.nonzero((100 * both >= round(100 * SIMILAR) * (len(own) + sizes - both)) & (others != key))[0]
-        left.append(np.full(len(j), key))
-        right.append(others[j])
-    return spanning(np.concatenate(left), np.concatenate(right))
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for key, own in zip(keys, sets, strict=True):
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            place = place[known[place] == own]
+            held[place] = 1
+            both = np.add.reduceat(held[at], starts)
+            held[place] = 0
+            # in whole numbers: similarity of 80 % or more
+            j = np.nonzero((100 * both >= round(100 * SIMILAR) * (len(own) + sizes - both)) & (others != key))[0]
+            yield np.full(len(j), key), others[j]
+
+    return spanning_of(found())
 
 
 def _tiled(rows: DataFrame, unit: str, most: int, weight) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +217,7 @@ def _forests(pairs: DataFrame, compare) -> DataFrame:
                 a, b = compare(*[c[i].values for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=target)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return short_batches(pairs).mapInArrow(run, "a long, b long")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -288,7 +292,7 @@ def links(sets: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # a row (a, a): the set that most copies have does not link a
-    ties = durable(tiles.join(hubs, "root").mapInArrow(with_hub, "a long, b long"))
+    ties = durable(short_batches(tiles.join(hubs, "root")).mapInArrow(with_hub, "a long, b long"))
     rest = ties.filter("a = b").select(F.col("a").alias("key"), F.lit(0).alias("late"))
     marked = sets.select("root", "key", "shingles").join(rest, "key", "left")
     open_roots = marked.filter("late = 0").select("root").distinct()

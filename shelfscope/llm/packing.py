@@ -33,8 +33,9 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from math import isqrt
 
+import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
@@ -298,6 +299,14 @@ def _substitute(p: _Plan, grouped: list[list[list[int]]], use: list[tuple[int, i
         at += n
 
 
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: tuple[str, ...]) -> DataFrame:
+    """Rows of longs as a DataFrame, by way of Arrow: for a list of tuples Spark starts a second
+    set of Python workers on the executors and keeps it for a minute."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    table = pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+    return spark.createDataFrame(table)
+
+
 def packed(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -312,12 +321,10 @@ def packed(
     # at most ``capacity`` rows
     counts = dict(cut.groupBy("length").count().collect())
     rows = plan(counts, capacity, groups)
-    intervals = durable(
-        spark.createDataFrame(rows, "length long, lo long, hi long, first long, per long, at long")
-    )
+    intervals = durable(_table(spark, rows, ("length", "lo", "hi", "first", "per", "at")))
     # at most ``capacity`` rows as well
     salts = [(length, -(-n // max(WINDOW_ROWS, isqrt(n)))) for length, n in counts.items()]
-    salted = cut.join(F.broadcast(spark.createDataFrame(salts, "length long, salts int")), "length")
+    salted = cut.join(F.broadcast(_table(spark, salts, ("length", "salts"))), "length")
     salted = salted.withColumn(
         "salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("salts")).cast("int")
     )

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfscope.llm.common import arrow_map, over_texts, utf8
+from shelfscope.llm.common import arrow_map, over_texts, short_batches, utf8
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
@@ -228,7 +228,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
     own = "__masked"
     while own in docs.columns:
         own += "_"
-    out = docs.withColumn(own, over_texts(mask, StringType())(F.col(text_col)))
+    out = short_batches(docs).withColumn(own, over_texts(mask, StringType())(F.col(text_col)))
     if chars_col:
         kind = docs.schema[chars_col].dataType
         same = F.col(own).eqNullSafe(F.col(text_col))

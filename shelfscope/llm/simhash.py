@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shelfscope.llm.common import arrow_map, components, small_side, spanning, words_of
+from shelfscope.llm.common import arrow_map, components, short_batches, small_side, spanning_of, words_of
 from shelfscope.session import durable
 
 WIDTH = 3
@@ -41,6 +41,7 @@ RADIUS = 2
 PARTS = 4
 TILE = 4096
 _BLOCK = 1 << 14
+_PAIRS = 1 << 18  # pairs compared at once: all of them may be links
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -109,20 +110,18 @@ def _sparse(parts: int, radius: int) -> Iterator[tuple[int, ...]]:
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two arrays of fingerprints."""
-    left, right = [], []
-    rows = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), rows):
-        near = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
-        i, j = np.nonzero(near)
-        x, y = a[at + i], b[j]
-        differ = x != y
-        if differ.any():
-            forest = spanning(x[differ].view(np.int64), y[differ].view(np.int64))
-            left.append(forest[0])
-            right.append(forest[1])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return spanning(np.concatenate(left), np.concatenate(right))
+    rows = max(1, _PAIRS // max(1, len(b)))
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(a), rows):
+            near = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
+            i, j = np.nonzero(near)
+            x, y = a[at + i], b[j]
+            differ = x != y
+            if differ.any():
+                yield x[differ].view(np.int64), y[differ].view(np.int64)
+
+    return spanning_of(found())
 
 
 def links(
@@ -168,7 +167,7 @@ def links(
                     [pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], schema=target
                 )
 
-    return both.mapInArrow(compare, "a long, b long")
+    return short_batches(both).mapInArrow(compare, "a long, b long")
 
 
 def grouped(prints: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
