@@ -19,10 +19,9 @@ REVIEW_FIELDS = (
 )
 
 
-# rows of a list of ids that may be broadcast
-_SHORT = 1_000_000
-# reviews that a task collects by product
+# reviews that a task collects by product, and those of one product among them
 _TASK_ROWS = 250_000
+_TASK_SHARE = _TASK_ROWS // 10
 
 
 def _moment(as_of: dt.datetime) -> Column:
@@ -266,52 +265,62 @@ def products_nested(
 
     Parts are consecutive ranges in review order (day, then id): reviews are counted per
     product, day and range of ``per_document`` ids, and a running sum of these counts
-    names the part, so no window covers the reviews of a product. A part has fewer than
+    names the part. A part has fewer than
     twice ``per_document`` reviews; nothing is cut off (reviews without an id are one range
     of their day, however many they are). A product without reviews has
     part 0 with an empty array.
 
-    The running sums are needed only for products with more than ``per_document``
-    reviews; all reviews of the others are part 0 by the same rule. The list of the
-    former is broadcast if it is short.
-
-    Reviews are dealt to tasks of about ``_TASK_ROWS`` before they are collected: collecting sorts
-    the rows of a task, and doing so before the shuffle would sort those of a whole file split.
+    Reviews travel once: they are dealt by product to tasks of about ``_TASK_ROWS``, where a rank
+    by day and range is the running sum, and their products come to them. A product with more than
+    ``_TASK_SHARE`` reviews (and more than ``per_document``) would crowd a task, and no window
+    covers its reviews: they are dealt by day and range and then by part. The list of such products
+    is at most a row per ``_TASK_SHARE`` reviews, so it is broadcast.
     """
-    unit = F.struct(F.to_date("review_date").alias("day"), F.floor(F.col("id") / per_document).alias("block"))
-    rows = reviews.select("id", "product_id", *REVIEW_FIELDS, unit.alias("unit"))
+    unit = F.to_date("review_date").alias("day"), F.floor(F.col("id") / per_document).alias("block")
+    rows = reviews.select("id", "product_id", *REVIEW_FIELDS)
     totals = durable(reviews.groupBy("product_id").agg(F.count("*").alias("n")))
     tasks = math.ceil((totals.agg(F.sum("n")).first()[0] or 1) / _TASK_ROWS)
-    large = totals.filter(F.col("n") > per_document).select("product_id")
-    if large.count() <= _SHORT:
-        large = F.broadcast(large)
-    rows, whole = (rows.join(large, "product_id", how) for how in ("left_semi", "left_anti"))
+    # with fewer tasks than a join has by itself, it would deal the documents once more
+    tasks = max(tasks, int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    large = totals.filter(F.col("n") > max(per_document, _TASK_SHARE)).select("product_id")
+    entry = F.struct(F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r"))
+    in_order = F.sort_array(F.collect_list(entry)).alias("sorted")
+
+    def part(before: Column) -> Column:
+        return F.floor(before / per_document).cast("int").alias("part")
+
+    def documents(placed: DataFrame) -> DataFrame:
+        docs = placed.groupBy("product_id", "part").agg(in_order)
+        return docs.select("product_id", "part", F.col("sorted.r").alias("reviews"))
+
+    def beside(own: DataFrame, docs: DataFrame, how: str) -> DataFrame:
+        none = F.array().cast(docs.schema["reviews"].dataType)
+        return own.join(docs, own["id"] == docs["product_id"], how).select(
+            *[own[c] for c in products.columns],
+            F.coalesce("part", F.lit(0)).alias("part"),
+            F.coalesce("reviews", none).alias("reviews"),
+        )
+
+    # the list names these few products
+    listed, ids = F.broadcast(large), F.broadcast(large.withColumnRenamed("product_id", "id"))
+    rank = F.rank().over(Window.partitionBy("product_id").orderBy(*unit))
+    own = rows.join(listed, "product_id", "left_anti").repartition(tasks, "product_id")
+    docs = documents(own.withColumn("part", part(rank - 1)))
+    out = beside(products.join(ids, "id", "left_anti"), docs, "left")
+
+    rows = rows.join(listed, "product_id", "left_semi").withColumn("unit", F.struct(*unit))
     counts = rows.groupBy("product_id", "unit").agg(F.count("*").alias("n"))
     earlier = (
         Window.partitionBy("product_id").orderBy("unit")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     parts = counts.select(
-        "product_id", "unit",
-        F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / per_document).cast("int").alias("part"),
+        "product_id", "unit", part(F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     )
-    entry = F.struct(F.col("review_date").alias("at"), "id", F.struct(*REVIEW_FIELDS).alias("r"))
-    in_order = F.sort_array(F.collect_list(entry)).alias("sorted")
     # a struct is never null, so a missing day or id joins as any other
     placed = rows.repartition(tasks, "product_id", "unit").join(parts.hint("merge"), ["product_id", "unit"])
-    docs = (
-        placed.repartition(tasks, "product_id", "part").groupBy("product_id", "part").agg(in_order)
-        .unionByName(
-            whole.repartition(tasks, "product_id").groupBy("product_id").agg(in_order).withColumn("part", F.lit(0))
-        )
-        .select("product_id", "part", F.col("sorted.r").alias("reviews"))
-    )
-    none = F.array().cast(docs.schema["reviews"].dataType)
-    return products.join(docs, products["id"] == docs["product_id"], "left").select(
-        *[products[c] for c in products.columns],
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("reviews", none).alias("reviews"),
-    )
+    docs = documents(placed.repartition(tasks, "product_id", "part"))
+    return out.unionByName(beside(F.broadcast(products.join(ids, "id", "left_semi")), docs, "inner"))
 
 
 def store_overview(products: DataFrame, reviews: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -256,6 +256,51 @@ def test_nested_reviews_are_dealt_before_they_are_collected(spark, sf_dir, monke
     assert sorted(docs.selectExpr("id", "part", "to_json(reviews)").collect()) == want
 
 
+def test_nested_reviews_travel_once(spark, sf_dir, monkeypatch):
+    """Whole reviews are shuffled once, or twice for a product with many of them; however large
+    the tables are, no other join or list moves them. Parts are the same either way."""
+    tables = view(spark, sf_dir, "products"), view(spark, sf_dir, "reviews")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before, found = spark.conf.get(limit), []
+    try:
+        spark.conf.set(limit, "-1")
+        for share in (store._TASK_SHARE, 30, 0):
+            monkeypatch.setattr(store, "_TASK_SHARE", share)
+            docs = store.products_nested(*tables, per_document=7)
+            plan = docs._jdf.queryExecution().optimizedPlan().toString()
+            steps = docs._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            ).split("\n\n")
+            moved = [s for s in steps if ") Exchange\n" in s and ("body#" in s or "reviews#" in s)]
+            assert len(moved) == 3 and all("REPARTITION_BY_NUM" in s for s in moved), plan
+            found.append(sorted(docs.selectExpr("id", "part", "to_json(reviews)").collect()))
+    finally:
+        spark.conf.set(limit, before)
+    assert found[0] == found[1] == found[2] and len(found[0]) > tables[0].count()
+
+
+def test_nested_parts_of_repeated_and_missing_keys(spark, monkeypatch):
+    """Products that come twice, have no id or no reviews, beside reviews without a product; one
+    product has more reviews than a task takes of it."""
+    products = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r"), (2, "r"), (3, "s"), (None, "t")], "id long, title string")
+    columns = "id long, product_id long, reviewer_name string, rating double, title string, body string, review_date timestamp, verified_purchase boolean"
+    rows = [
+        (None if i % 5 == 0 else i, p, "n", 4.0, f"{p}-{i}", "b", None if i % 4 == 0 else dt.datetime(2024, 1, 1 + i % 3), True)
+        for p, n in ((1, 40), (2, 12), (9, 3), (None, 4)) for i in range(n)
+    ]
+    reviews = spark.createDataFrame(rows, columns)
+    found = []
+    for share in (1000, 20, 0):
+        monkeypatch.setattr(store, "_TASK_SHARE", share)
+        got = store.products_nested(products, reviews, per_document=5).collect()
+        found.append(sorted((r["id"] or 0, r["title"], r["part"], [x["title"] for x in r["reviews"]]) for r in got))
+    assert found[0] == found[1] == found[2]
+    for key, title, times in ((1, "p", 1), (1, "q", 1), (2, "r", 2)):
+        own = [x for k, t, _, xs in found[0] if (k, t) == (key, title) for x in xs]
+        assert sorted(own) == sorted([r[4] for r in rows if r[1] == key] * times)
+    assert [r for r in found[0] if r[0] in (0, 3)] == [(0, "t", 0, []), (3, "s", 0, [])]
+
+
 def test_wide_review_rows_are_shuffled_once(spark, sf_dir):
     reviews, batch = view(spark, sf_dir, "reviews"), view(spark, sf_dir, "review_batch")
     new = store.new_reviews(reviews, batch, dt.datetime(2024, 1, 31))
