@@ -152,7 +152,7 @@ def _csv_line_breaks(spark: SparkSession, sf: str) -> DataFrame:
     products = view(spark, sf, "amazon_products")
     broken = F.concat(F.col("review_content"), F.lit('\nsecond, "line"\n\n\r\n'), F.col("review_id"))
     path = work_path(spark, "breaks-csv")
-    catalog.write_csv(products.withColumn("review_content", broken), path)
+    catalog.write_csv(products.withColumn("review_content", broken), path, packed=True)
     rows = catalog.typed(catalog.csv_scan(spark, path, multi_line=True, with_broken=True))
     return plain(rows.select("review_id", "title", "category", "rating", "rating_count", "review_content", "rejected"))
 

@@ -42,7 +42,7 @@ def csv_scan(
     are never inferred. Without ``multi_line`` the data is read once, and ``with_broken`` adds
     a flag for lines whose quotes do not pair and whose number of fields is not the header's, as
     the halves of a row with a quoted line break. With ``multi_line`` such rows are whole: files are
-    split all the same and read twice (``csv_records``), and only a record that its file does
+    split all the same and read two or three times (``csv_records``), and only a record that its file does
     not finish is broken. Files whose header differs from the first one's fail the read.
     """
     reader = spark.read.options(**CSV_OPTIONS, emptyValue=_EMPTY)

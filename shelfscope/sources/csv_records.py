@@ -3,14 +3,18 @@
 A line break ends a record if the quotes before it in the file pair up. Whether they do at
 the start of a file range is known from the ranges before it:
 
-1. Ranges are counted: one row per range (file, start, quotes), from one splittable read. A
-   running sum per file says which ranges begin inside quotes.
+1. Ranges are counted: one row per range (file, start, quotes, first and last line with an odd
+   number of quotes), from one splittable read. A running sum per file says which ranges begin
+   inside quotes. Such a range ends a record by its first odd line; one that ends inside quotes
+   begins a record by its last odd line.
 2. Every task goes through its ranges again, each from its right state, and hands on whole
-   records. What a range has before its first record start and behind its last one, at
-   most two pieces, is put together per file, in range order.
+   records.
+3. The lines of records that go over a range's end are read once more, if there are any, and
+   put together per record.
 
-So the read is narrow, and what is shuffled are a row and a few pieces per range. A quote
-counts wherever it stands: a field that has one must be quoted and double it.
+So the read is narrow, what is shuffled are a row per range and the lines at ranges' ends, and
+no record is stored. A quote counts wherever it stands: a field that has one must be quoted and
+double it.
 """
 
 from __future__ import annotations
@@ -23,30 +27,58 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shelfscope.session import durable, stored
+from shelfscope.session import durable
 
 _RANGES = 1_000_000  # rows of the list of ranges that may be broadcast
 _LINES = 1 << 13  # lines that are put together at once
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, start, line)``: physical lines and the range that each begins in."""
+    """``(file, start, line, at)``: physical lines, the range that each begins in, and a number
+    that grows inside a range and is the same in every read."""
     raw = spark.read.option("lineSep", "\n").text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.col("value").alias("line"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"),
     )
 
 
 def ranges(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, start, open, first)`` per range: does it begin inside quotes, and is it the
-    first of its file that has a line?"""
+    """A row per range: ``file``, ``start``; ``open``, does it begin inside quotes; ``first``, is it
+    the first of its file that has a line; ``ends``, the line that ends a record begun earlier
+    if it is open; ``begins``, the line that begins a record which it does not finish, or NULL;
+    ``nr``, how many such records its file begins before it."""
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    counted = _lines(spark, path).groupBy("file", "start").agg(F.sum(quotes).alias("n"))
+    odd = F.when(quotes % 2 == 1, F.col("at"))
+    counted = _lines(spark, path).groupBy("file", "start").agg(
+        F.sum(quotes).alias("n"), F.min(odd).alias("ends"), F.max(odd).alias("last")
+    )
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     before = F.sum("n").over(earlier)
-    return counted.select(
-        "file", "start", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("open"), before.isNull().alias("first")
+    known = counted.select(
+        "file", "start", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("open"), before.isNull().alias("first"),
+        "ends", F.when((F.coalesce(before, F.lit(0)) + F.col("n")) % 2 == 1, F.col("last")).alias("begins"),
+    )
+    return known.withColumn("nr", F.coalesce(F.count("begins").over(earlier), F.lit(0)))
+
+
+def _beside(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, bool]:
+    """Lines with the row of their range, and whether they were shuffled for it."""
+    short = known.count() <= _RANGES
+    return lines.join(F.broadcast(known) if short else known, ["file", "start"]), not short
+
+
+def _over_ends(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """``(record, unfinished)`` for the records that go over the end of a range."""
+    rows, _ = _beside(lines, known.filter("open or begins is not null"))
+    head = F.col("open") & (F.col("ends").isNull() | (F.col("at") <= F.col("ends")))
+    tail = F.coalesce(F.col("at") >= F.col("begins"), F.lit(False))
+    end = F.coalesce(F.col("open") & (F.col("at") == F.col("ends")), F.lit(False))
+    place = F.struct("start", "at", "line", end.alias("end"))
+    pieces = rows.filter(head | tail).select("file", (F.col("nr") + tail.cast("int")).alias("nr"), place.alias("place"))
+    return pieces.groupBy("file", "nr").agg(F.sort_array(F.collect_list("place")).alias("p")).select(
+        F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("record"),
+        (~F.element_at("p", -1)["end"]).alias("unfinished"),
     )
 
 
@@ -137,15 +169,12 @@ def records(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     closing quote at the end of their file. Blank records are left out. A file with another
     header than ``header`` fails the read."""
     known = durable(ranges(spark, path))
-    side = F.broadcast(known) if known.count() <= _RANGES else known
-    joined = _lines(spark, path).withColumn("at", F.monotonically_increasing_id()).join(side, ["file", "start"])
-    if side is known:
+    lines = _lines(spark, path)
+    joined, shuffled = _beside(lines, known)
+    if shuffled:
         # shuffled: the lines of a range, which a file split bounds, in order again
         joined = joined.repartition("file", "start").sortWithinPartitions("file", "start", "at")
 
-    names = ["file", "start", "kind", "text"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, work, top = None, None, False
 
@@ -157,11 +186,9 @@ def records(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
                 if _header_of(texts[0].as_py()) != header:
                     raise ValueError(f"{key[0]} has another header than the first file")
                 types, texts = types[1:], texts.slice(1)
-            keep = [k != "record" or full for k, full in zip(types, _filled(texts))]
-            kept = texts.filter(pa.array(keep, pa.bool_()))
-            if n := len(kept):
-                own = [pa.array([v] * n, t) for v, t in zip(key, kinds)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, x in zip(types, keep) if x], kinds[2]), kept], names)
+            keep = [k == "record" and full for k, full in zip(types, _filled(texts))]
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([texts.filter(pa.array(keep, pa.bool_()))], ["record"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, _LINES):
@@ -176,18 +203,6 @@ def records(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
         if work:
             yield from rows(work.end())
 
-    parts = joined.select("file", "start", "line", "open", "first").mapInArrow(
-        run, "file string, start long, kind string, text string"
-    )
-    parts = stored(parts, "csv-records")
-    # a tail begins a record, which goes on until the next head
-    order = Window.partitionBy("file").orderBy("start", F.col("kind") == "tail")
-    pieces = parts.filter("kind <> 'record'").withColumn("nr", F.sum(F.when(F.col("kind") == "tail", 1)).over(order))
-    place = F.struct("start", (F.col("kind") == "tail").alias("last"), "text", "kind")
-    whole = pieces.groupBy("file", "nr").agg(F.sort_array(F.collect_list(place)).alias("p")).select(
-        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("record"),
-        (F.element_at("p", -1)["kind"] != "head").alias("unfinished"),
-    )
-    done = parts.filter("kind = 'record'").select(F.col("text").alias("record"), F.lit(False).alias("unfinished"))
-    every = done.unionByName(whole)
+    done = joined.select("file", "start", "line", "open", "first").mapInArrow(run, "record string")
+    every = done.withColumn("unfinished", F.lit(False)).unionByName(_over_ends(lines, known))
     return every.select(F.regexp_replace("record", r"\r\z", "").alias("record"), "unfinished")

@@ -12,6 +12,7 @@ from shelfscope.operators import imports
 from shelfscope.plans import analysis
 from shelfscope.sources import catalog, sinks, tables
 from shelfscope.sources.csv_records import Assembler, Lines
+from shelfscope.views import view
 
 HEADER = (
     "title,category,discounted_price,actual_price,discount_percentage,rating,rating_count,about_product,"
@@ -218,6 +219,48 @@ def test_records_over_many_ranges(spark, folder, size):
     assert got == sorted(expected)
 
 
+def test_records_are_not_stored(spark, sf_dir, folder):
+    """What a record reader and its query leave on disk: the packed catalogue, no copy of it."""
+    import __spark_entry__
+    from shelfscope.session import shared_folder
+
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    assert catalog.csv_scan(spark, write(folder, *BREAKS), multi_line=True).count() == 5
+    rows = __spark_entry__.queries()["csv_line_breaks"](spark, sf_dir)
+    assert rows.count() == view(spark, sf_dir, "amazon_products").count()
+    left = set(os.listdir(root)) - before
+    written = [x for x in left if not x.startswith("rdd-")]
+    assert len(written) == 1 and written[0].startswith("breaks-csv-")
+    files = [f for f in os.listdir(os.path.join(root, written[0])) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_records_over_range_ends_as_from_whole_files(spark, folder, size):
+    """Random files cut into small ranges give the records that the whole files give."""
+    from shelfscope.sources import csv_records
+
+    rng, want = random.Random(size), []
+    for k in range(4):
+        lines = ["".join(rng.choice(['"', '"', "a", ",", " ", "\r", "é"]) for _ in range(rng.randrange(7))) for _ in range(60)]
+        lines += ["x" * 90, '"' + "y" * 90, "z" * 90, 'z"'][: k + 1]
+        found = _assembled(lines, False)
+        want += [(t.removesuffix("\r"), kind != "record") for kind, t in found if kind != "record" or t.strip()]
+        with open(os.path.join(folder, f"{k}.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write("\n".join(["h", *lines]) + "\n" * (k % 2))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in zip(names, (str(size), "0", "1")):
+            spark.conf.set(k, v)
+        got = csv_records.records(spark, folder, ["h"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(want) and any(u for _, u in want)
+
+
 def test_unfinished_records_and_other_headers(spark, folder):
     path = write(folder, *BREAKS[:2], 'last,c1,1,2,3,4,5,a,u,n,r9,t,"never\nclosed')
     rows = {r["title"]: r["broken"] for r in catalog.csv_scan(spark, path, multi_line=True, with_broken=True).collect()}
